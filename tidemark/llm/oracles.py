@@ -80,4 +80,28 @@ SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken
 FROM mixed
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op2_secret_scan": OP2, "op9_source_mix": OP9}
+OP4 = """
+WITH vectors AS (
+  SELECT vec_id, max(list_transform(embedding, lambda v: CAST(v AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 GROUP BY vec_id
+), whole AS (
+  SELECT vec_id, list_transform(x, lambda v: floor(256 * v)) AS x FROM vectors
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+OP10 = """
+WITH own AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, sha256(coalesce(html, '')) AS same FROM pages
+), tops AS (
+  SELECT *, max(page_id) OVER (PARTITION BY same) AS top FROM own
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM tops
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_secret_scan": OP2, "op4_exact_top_k": OP4, "op9_source_mix": OP9, "op10_warc": OP10}
