@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
+from tidemark.llm.language import identify
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix, training_order
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.simhash import keep_one
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,6 +19,11 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language stays ambiguous, go."""
+    return identify(docs).where("lang_pred <> 'und' and not ambiguous").select(*COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents repeat stay in one of them only."""
     return _documents(dedup_lines(docs))
@@ -32,7 +39,12 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return training_order(mix(docs)).select(*COLUMNS)
 
 
-STAGES = [("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup), ("source_mix", source_mix)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document's tokens, with its sequence and offset."""
+    return pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup), ("source_mix", source_mix), ("packing", packing)]
 ORACLE_SQL = None
 
 
