@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 score = sigmoid(bias + sum of weights + sum over pairs of <v_i, v_j>): pairs such as an insult with a group
-mention count beyond their single weights. Which hashed terms take part is decided from class counts over all
-labelled rows; the machine itself is fitted on a bounded sample of them.
+mention count beyond their single weights. Which hashed terms take part, and the machine itself, are fitted on
+a bounded sample of labelled rows; scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -51,11 +51,16 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[terms].sum() + pairs, -30, 30))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the rows to learn from: crc32(doc_id) mod 3 is not 1. A document labelled twice is toxic if any label says so."""
+def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, text, toxic) of at most max_rows labelled documents, those of least doc_id hash, whose crc32(doc_id) mod 3 is not 1.
+
+    A document labelled twice is toxic if any label says so. The labels are cut to max_rows before they are broadcast, so texts
+    are not shuffled for them.
+    """
     own = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    own = own.where(remainder(F.col("_id"), 3) != 1).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.where(remainder(F.col("doc_id"), 3) != 1).join(own, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    return texts.join(F.broadcast(own), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
 
 
 def _class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +91,9 @@ def _g_squared(n: np.ndarray, held: np.ndarray) -> np.ndarray:
     return 2 * out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, k: int = 8, epochs: int = 30, seed: int = 0) -> Model:
-    """Terms from all labelled rows; weights and factors by AdaGrad on a sample of about max_rows rows at most, those of least doc_id hash."""
-    rows = labelled(docs, labels)
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, k: int = 8, epochs: int = 30, seed: int = 0) -> Model:
+    """Terms by G-squared, then weights and factors by AdaGrad, on a sample of at most max_rows labelled documents."""
+    rows = labelled(docs, labels, max_rows)
     n, held = _class_counts(rows)
     gain = _g_squared(n, held)
     terms = np.argsort(-gain, kind="stable")[:TERMS]
@@ -105,9 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, k: int = 8,
             found = [np.unique(x[x >= 0]).astype("<i4").tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "terms"])
 
-    share = min(1.0, max_rows / max(n.sum(), 1))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    got = sample.mapInArrow(features, "doc_id long, toxic int, terms binary").toPandas().sort_values("doc_id", kind="stable")
+    got = rows.mapInArrow(features, "doc_id long, toxic int, terms binary").toPandas().sort_values("doc_id", kind="stable")
     x = [np.frombuffer(b, "<i4") for b in got["terms"]]
     y = (got["toxic"].to_numpy() > 0).astype(float)
     return Model(place, *_adagrad(x, y, len(terms), bias, k, epochs, seed))
