@@ -91,7 +91,7 @@ def _g_squared(n: np.ndarray, held: np.ndarray) -> np.ndarray:
     return 2 * out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, k: int = 8, epochs: int = 30, seed: int = 0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, k: int = 8, epochs: int = 60, seed: int = 0) -> Model:
     """Terms by G-squared, then weights and factors by AdaGrad, on a sample of at most max_rows labelled documents."""
     rows = labelled(docs, labels, max_rows)
     n, held = _class_counts(rows)
@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, k: int = 8,
     return Model(place, *_adagrad(x, y, len(terms), bias, k, epochs, seed))
 
 
-def _adagrad(x: list[np.ndarray], y: np.ndarray, terms: int, bias: float, k: int, epochs: int, seed: int, rate: float = 0.1, decay: float = 1e-5) -> tuple[float, np.ndarray, np.ndarray]:
+def _adagrad(x: list[np.ndarray], y: np.ndarray, terms: int, bias: float, k: int, epochs: int, seed: int, rate: float = 0.2, decay: tuple[float, float] = (1e-6, 3e-2)) -> tuple[float, np.ndarray, np.ndarray]:
+    """decay: of weights and of factors; factors decay faster, so that a pair counts only for what its single terms leave."""
     rng = np.random.default_rng(seed)
     w, v = np.zeros(terms), rng.normal(0, 0.02, (terms, k))
     gw, gv, gb = np.full(terms, 1e-4), np.full((terms, k), 1e-4), 1e-4
@@ -136,10 +137,10 @@ def _adagrad(x: list[np.ndarray], y: np.ndarray, terms: int, bias: float, k: int
             gb += err.sum() ** 2
             bias -= rate * err.sum() / np.sqrt(gb)
             used, inverse = np.unique(term, return_inverse=True)
-            dw = np.bincount(inverse, err[row], len(used)) + decay * w[used]
+            dw = np.bincount(inverse, err[row], len(used)) + decay[0] * w[used]
             dv = np.zeros((len(used), k))
             np.add.at(dv, inverse, err[row][:, None] * (total[row] - vt))
-            dv += decay * v[used]
+            dv += decay[1] * v[used]
             gw[used] += dw**2
             gv[used] += dv**2
             w[used] -= rate * dw / np.sqrt(gw[used])
