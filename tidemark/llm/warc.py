@@ -1,7 +1,7 @@
 """WARC archives: writing with Spark's own writer, and reading back with segment reassembly.
 
-An archive is text that Spark writes, so any store that Spark reaches will do, and large files can be split when they
-are read: the version line of a record is the record separator. Payloads go out in chunked transfer framing; a chunk
+An archive is gzipped text that Spark writes, so any store that Spark reaches will do; a file has the records of one task. The
+version line of a record is the record separator. Payloads go out in chunked transfer framing; a chunk
 ends inside every version line in a payload, so the separator is never part of one. Blocks above `segment_bytes` become a
 first record and continuation records; reading groups them by origin identifier, orders them by segment number, checks the total
 length, and decodes the framing.
@@ -131,7 +131,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
                 out = [line for row in zip(*(c.to_pylist() for c in cols), strict=True) for line in records(*row)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n").text(path)
+    rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _parse(raw: bytes) -> tuple[dict[bytes, bytes], bytes, bool] | None:
