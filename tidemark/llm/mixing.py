@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Documents in a bucket of the prefix sum; buckets of one source are of even size, as they are cut by a hash.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1_000
 
 
 def words(text: Column) -> Column:
