@@ -112,6 +112,7 @@ class BlobLedger:
         """docs plus secrets: array of (start, rank, kind, stop) of the given rule versions, by start and then rule order."""
         rank = F.coalesce(*[F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)])
         per_blob = self.findings().withColumn("rank", rank).where("rank is not null").groupBy(F.col("sha").alias("_sha")).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "stop"))).alias("secrets"))
+        per_blob, _ = scratch.stored(per_blob, "blob-findings")  # a table of its own, so that the join can split a blob that many rows hold
         rows = docs.drop("secrets", "_own", "_sha").withColumn("_own", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
         none = F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,stop:bigint>>)")
         return rows.join(per_blob, F.col("_own") == F.col("_sha"), "left").withColumn("secrets", F.coalesce("secrets", none)).drop("_own", "_sha")
