@@ -20,7 +20,10 @@ from tidemark.llm.vectors import is_query, matrix, packed, ranked, unpacked, val
 
 #: Nodes of a block, and rows of the sorted runs that the first graph compares.
 BLOCK, RUN = 8192, 1024
+#: Nodes of a bucket of the merge.
+MERGE = 1024
 _CAND = np.dtype([("w", "<i8"), ("s", "<f4")])
+_EDGE = np.dtype([("u", "<i8"), ("w", "<i8"), ("s", "<f4")])
 
 
 def _pack_lists(u: np.ndarray, w: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -86,25 +89,56 @@ def _first_graph(rows: DataFrame, n: int, dim: int, k: int, seed: int) -> DataFr
     return spread.repartitionByRange(max(1, n // (4 * RUN)), "along").sortWithinPartitions("along").mapInArrow(compare, "u long, list binary")
 
 
-def _merge(lists: DataFrame, k: int) -> DataFrame:
-    """The k best of all lists of each node."""
+def _to_buckets(u: np.ndarray, w: np.ndarray, s: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Candidates as rows (bucket, packed candidates): few large rows, however many lists a node is in."""
+    bucket = ((u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    data = np.empty(len(u), _EDGE)
+    data["u"], data["w"], data["s"] = u[order], w[order], s[order]
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(u) else np.zeros(0, int)
+    for a, z in zip(cuts, np.append(cuts[1:], len(u)), strict=True):
+        parts = [data[i : min(i + 65536, z)].tobytes() for i in range(a, z, 65536)]
+        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["bucket", "data"])
+
+
+def _merge(candidates: DataFrame, k: int) -> DataFrame:
+    """The graph (u, list) of the k best candidates of each node, from (bucket, data) rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            all_ = np.concatenate(held)
+            return _top(all_["u"], all_["w"], all_["s"], k)
+
+        for batch in batches:
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now:
+                    if held:
+                        yield from _pack_lists(*best())
+                    now, held, size = bucket, [], 0
+                held.append(np.frombuffer(data, _EDGE))
+                size += len(held[-1])
+                if size > 2_000_000:
+                    u, w, s = best()
+                    held = [np.empty(len(u), _EDGE)]
+                    held[0]["u"], held[0]["w"], held[0]["s"] = u, w, s
+                    size = len(u)
+        if held:
+            yield from _pack_lists(*best())
+
+    return candidates.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, list binary")
+
+
+def _spread(graph: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, data) of (u, list)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
         for batch in batches:
-            table = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()
-            if not table:
-                continue
-            whole = table[0]
-            u = whole.column(0).to_numpy()
-            cut = int(np.searchsorted(u, u[-1], side="left"))
-            held = whole.slice(cut)
-            if cut:
-                yield from _pack_lists(*_top(*_unpack_lists(whole.slice(0, cut)), k))
-        if held is not None:
-            yield from _pack_lists(*_top(*_unpack_lists(held), k))
+            yield from _to_buckets(*_unpack_lists(batch), buckets)
 
-    return lists.repartition("u").sortWithinPartitions("u").mapInArrow(run, "u long, list binary")
+    return graph.mapInArrow(run, "bucket int, data binary")
 
 
 def _edges(graph: DataFrame) -> DataFrame:
@@ -127,7 +161,7 @@ def adjacency(graph: DataFrame, reverse: int) -> DataFrame:
 
 def _round(rows: DataFrame, graph: DataFrame, n: int, dim: int, k: int, reverse: int, each: int) -> DataFrame:
     """The graph after one round."""
-    blocks = max(1, -(-n // BLOCK))
+    blocks, buckets = max(1, -(-n // BLOCK)), max(1, -(-n // MERGE))
     lists, lists_path = scratch.stored(adjacency(graph, reverse).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")), "nn-lists")
 
     def bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +187,7 @@ def _round(rows: DataFrame, graph: DataFrame, n: int, dim: int, k: int, reverse:
 
         def finish() -> Iterator[pa.RecordBatch]:
             if state["found"]:
-                yield from _pack_lists(*reduced())
+                yield from _to_buckets(*reduced(), buckets)
 
         def hold(part: pa.RecordBatch) -> None:
             if state["index"] is None:
@@ -207,8 +241,8 @@ def _round(rows: DataFrame, graph: DataFrame, n: int, dim: int, k: int, reverse:
                     hold(pa.RecordBatch.from_arrays([part.column("id"), pa.concat_arrays([part.column("members")])], ["id", "members"]))
         yield from finish()
 
-    better = tasks.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "u long, list binary")
-    made, _ = scratch.stored(_merge(graph.unionByName(better), k), "nn-graph")
+    better = tasks.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "bucket int, data binary")
+    made, _ = scratch.stored(_merge(_spread(graph, buckets).unionByName(better), k), "nn-graph")
     scratch.drop(rows.sparkSession, lists_path)
     return made
 
@@ -222,7 +256,7 @@ def _changed(old: DataFrame, new: DataFrame) -> float:
 def build_graph(rows: DataFrame, n: int, dim: int, k: int, reverse: int, each: int, rounds: int) -> DataFrame:
     """(u, list) after NN-descent over (vec_id, vec): packed unit vectors in half precision."""
     starts = _first_graph(rows, n, dim, k, 1).unionByName(_first_graph(rows, n, dim, k, 2))
-    graph, _ = scratch.stored(_merge(starts, k), "nn-graph")
+    graph, _ = scratch.stored(_merge(_spread(starts, max(1, -(-n // MERGE))), k), "nn-graph")
     for _ in range(rounds):
         new = _round(rows, graph, n, dim, k, reverse, each)
         share = _changed(graph, new)
