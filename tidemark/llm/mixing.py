@@ -57,8 +57,8 @@ def due(demand: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, demand).otherwise(2 * demand / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * demand)))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
-    """One row per document: its columns, size, source_size, target, taken and positions, range-sorted by first position.
+def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
+    """One row per document: its columns, size, source_size, target, taken and positions, in no order yet.
 
     A source's documents stand in the order of md5(doc_id); their words fill [0, source_size), and
     each further pass over the source follows on. A copy is taken while it begins before the target.
@@ -91,12 +91,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
     begins = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda p: p * F.col("source_size") + F.col("_at"))
     rows = rows.withColumn("_begins", F.filter(begins, lambda x: x < F.col("target")))
     rows = rows.withColumn("positions", F.transform("_begins", lambda x: due(x / F.col("target"), F.col("slope"))))
-    out = rows.withColumn("taken", F.col("size") * F.size("_begins")).withColumn("_first", F.element_at(F.col("positions"), F.when(F.size("positions") > 0, 1)))
-    out = out.repartitionByRange(F.col("_first").asc_nulls_last()).sortWithinPartitions(F.col("_first").asc_nulls_last())
+    out = rows.withColumn("taken", F.col("size") * F.size("_begins"))
     return out.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns], *own)
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """A row for each copy that the mix takes, range-sorted by its training position."""
-    copies = mixed.select(*[c for c in mixed.columns if c not in ("positions", "position")], F.explode("positions").alias("position"))
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """placed(), range-sorted by first position; documents that are not taken come last."""
+    rows = placed(docs, **how).withColumn("_first", F.get("positions", F.lit(0)))
+    return rows.repartitionByRange(F.col("_first").asc_nulls_last()).sortWithinPartitions(F.col("_first").asc_nulls_last()).drop("_first")
+
+
+def training_order(docs: DataFrame, **how) -> DataFrame:
+    """A row for each copy that the mix takes, with its `position`, range-sorted by it. Texts are shuffled twice: by bucket and by position."""
+    rows = placed(docs.drop("position"), **how)
+    copies = rows.select(*[c for c in rows.columns if c != "positions"], F.explode("positions").alias("position"))
     return copies.repartitionByRange("position").sortWithinPartitions("position")
