@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import scratch
 from tidemark.llm.language import identify
 from tidemark.llm.line_dedup import dedup_lines
-from tidemark.llm.mixing import mix, training_order
+from tidemark.llm.mixing import training_order
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.simhash import keep_one
 
@@ -36,7 +36,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in training order."""
-    return training_order(mix(docs)).select(*COLUMNS)
+    return training_order(docs).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
