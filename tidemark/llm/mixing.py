@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm import scratch
+
 #: Documents in a bucket of the prefix sum; buckets of one source are of even size, as they are cut by a hash.
 BUCKET_ROWS = 1_000
 
@@ -71,17 +73,18 @@ def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[i
     """
     own = ("size", "source_size", "target", "taken", "positions")
     docs = docs.drop(*own)
-    sized = docs.select("doc_id", "source", words(F.col("text").cast("string")).alias("size"))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    plan = targets(sizes.select("source", "source_size"), weights, share, most).withColumn("slope", schedule(F.col("rank"), F.count(F.lit(1)).over(W.partitionBy())))
-    counted = sizes.agg(F.max("n").alias("n")).first()
-    buckets = max(1, -(-(counted["n"] or 0) // BUCKET_ROWS))
-
+    largest = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = max(1, -(-largest // BUCKET_ROWS))
     key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
+    bucket = F.floor(F.conv(F.substring(F.concat(F.col("_md5"), F.lit("0000000")), 1, 7), 16, 10).cast("long") * buckets / 268435456).cast("int")
+
+    # Sums by source and bucket, made before the shuffle and written once: sources and the offsets of buckets both follow from them.
+    sized = docs.select("source", key.alias("_md5"), words(F.col("text").cast("string")).alias("size")).withColumn("_bucket", bucket)
+    summed, _ = scratch.stored(sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")), "mix-sums")
+    sizes = summed.groupBy("source").agg(F.sum("_sum").alias("source_size"))
+    plan = targets(sizes, weights, share, most).withColumn("slope", schedule(F.col("rank"), F.count(F.lit(1)).over(W.partitionBy())))
     kept = docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns], "source", "doc_id", words(F.col("text").cast("string")).alias("size")).withColumn("_md5", key)
-    kept = kept.withColumn("_bucket", F.floor(F.conv(F.substring(F.concat(F.col("_md5"), F.lit("0000000")), 1, 7), 16, 10).cast("long") * buckets / 268435456).cast("int"))
-    # Offsets of the buckets within their source, from sums made before the shuffle.
-    summed = kept.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
+    kept = kept.withColumn("_bucket", bucket)
     heads = summed.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("_sum").over(W.partitionBy("source").orderBy("_bucket")) - F.col("_sum")).alias("_head"))
     rows = kept.join(heads, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     within = W.partitionBy("source", "_bucket").orderBy("_md5", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
