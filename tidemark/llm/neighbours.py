@@ -22,6 +22,8 @@ from tidemark.llm.vectors import is_query, matrix, packed, ranked, unpacked, val
 BLOCK, RUN = 8192, 1024
 #: Nodes of a bucket of the merge.
 MERGE = 1024
+#: Candidates that a task holds before it cuts them to the best of each node.
+HELD = 750_000
 _CAND = np.dtype([("w", "<i8"), ("s", "<f4")])
 _EDGE = np.dtype([("u", "<i8"), ("w", "<i8"), ("s", "<f4")])
 
@@ -98,7 +100,7 @@ def _to_buckets(u: np.ndarray, w: np.ndarray, s: np.ndarray, buckets: int) -> It
     bucket = bucket[order]
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(u) else np.zeros(0, int)
     for a, z in zip(cuts, np.append(cuts[1:], len(u)), strict=True):
-        parts = [data[i : min(i + 65536, z)].tobytes() for i in range(a, z, 65536)]
+        parts = [data[i : min(i + 16384, z)].tobytes() for i in range(a, z, 16384)]
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["bucket", "data"])
 
 
@@ -120,7 +122,7 @@ def _merge(candidates: DataFrame, k: int) -> DataFrame:
                     now, held, size = bucket, [], 0
                 held.append(np.frombuffer(data, _EDGE))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > HELD:
                     u, w, s = best()
                     held = [np.empty(len(u), _EDGE)]
                     held[0]["u"], held[0]["w"], held[0]["s"] = u, w, s
@@ -218,7 +220,7 @@ def _round(rows: DataFrame, graph: DataFrame, n: int, dim: int, k: int, reverse:
                 better = score > np.maximum(bar[u], -1.5)
                 state["found"].append((ids[u[better]], ids[w[better]], score[better]))
                 state["size"] += int(better.sum())
-                if state["size"] > 4_000_000:
+                if state["size"] > HELD:
                     state["found"] = [reduced()]
                     state["size"] = len(state["found"][0][0])
 
