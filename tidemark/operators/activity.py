@@ -38,16 +38,3 @@ def change(value: str, order: str, by: list[str] | None = None, alias: str = "ch
     """Relative change against the previous row."""
     w = W.partitionBy(*(by or [])).orderBy(order)
     return F.round(F.try_divide(F.col(value).cast("double") - F.lag(value).over(w), F.lag(value).over(w).cast("double")), 6).alias(alias)
-
-
-def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
-    """(account_id, started, ended, n_events) of technical sessions: a gap of more than gap_minutes begins another.
-
-    One window by account finds the gaps and one running sum numbers the sessions: a single shuffle.
-    """
-    w = W.partitionBy("account_id").orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = micros - F.lag(micros).over(w)
-    begins = events.withColumn("begins", (gap.isNull() | (gap > gap_minutes * 60_000_000)).cast("int"))
-    numbered = begins.withColumn("session", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy("account_id", "session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n_events"))

@@ -1,4 +1,4 @@
-"""Windows over a metric's own time series: changes, streaks, norms, bursts, silence.
+"""Windows over a metric's own time series: changes, streaks, norms, silence.
 
 A series has a row per period, so these windows are small whatever the events behind them weigh; series with several parts are
 partitioned by part.
@@ -40,12 +40,6 @@ def contradiction(value: str, order: str, by: list[str] | None = None, factor: f
     return F.greatest(F.try_divide(now, before), F.try_divide(before, now)) > factor
 
 
-def burst(events: DataFrame, key: str, hours: int) -> DataFrame:
-    """events plus n_recent: how many of the same key in the `hours` up to and including each."""
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    return events.withColumn("n_recent", F.count(F.lit(1)).over(W.partitionBy(key).orderBy(seconds).rangeBetween(-hours * 3600, 0)))
-
-
 def silence(days: DataFrame, on: str = "day") -> DataFrame:
     """(day, last_seen, silent_days) on an unbroken spine of days."""
     spine = calendar.day_spine(days, on)

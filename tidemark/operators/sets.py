@@ -40,17 +40,28 @@ def merged(*parts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def scored(rows: DataFrame, jump: Column | None = None) -> DataFrame:
-    """rows plus score = impact * confidence / effort and place; what jumps the queue comes first whatever its score."""
+    """rows plus score = impact * confidence / effort and place; what jumps the queue comes first whatever its score.
+
+    Items are numbered within their (jump, score) group; where a group begins follows from the sizes of the groups, of which there are few.
+    """
     score = F.round(F.try_divide(F.col("impact") * F.col("confidence"), F.col("effort").cast("double")), 6)
     first = F.coalesce(jump, F.lit(False)) if jump is not None else F.lit(False)
-    order = W.orderBy(first.desc(), F.col("score").desc_nulls_last(), "item")
-    return rows.withColumn("score", score).withColumn("place", F.row_number().over(order))
-
-
-def capacity_cut(ranked: DataFrame, capacity: float) -> DataFrame:
-    """ranked plus load (running effort by place) and taken; the rest is displaced."""
-    load = F.sum("effort").over(W.orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    return ranked.withColumn("load", load).withColumn("taken", load <= capacity)
+    rows = rows.withColumn("score", score).withColumn("_jump", first)
+    order = (F.col("_jump").desc(), F.col("score").desc_nulls_last())
+    groups = rows.groupBy("_jump", "score").agg(F.count(F.lit(1)).alias("_n"))
+    heads = groups.select(F.col("_jump").alias("_j"), F.col("score").alias("_s"), (F.sum("_n").over(W.orderBy(*order)) - F.col("_n")).alias("_head"))
+    joined = rows.join(heads, (F.col("_jump") == F.col("_j")) & F.col("score").eqNullSafe(F.col("_s")))
+    place = F.col("_head") + F.row_number().over(W.partitionBy("_jump", "score").orderBy("item"))
+    return joined.withColumn("place", place).drop("_jump", "_j", "_s", "_head")
+
+
+def capacity_cut(ranked: DataFrame, capacity: float, block: int = 10_000) -> DataFrame:
+    """ranked plus load (running effort by place) and taken; the rest is displaced. Sums run within blocks of places, on top of the blocks before."""
+    rows = ranked.withColumn("_block", F.floor(F.col("place") / block))
+    sums = rows.groupBy("_block").agg(F.sum("effort").alias("_n"))
+    heads = sums.select(F.col("_block").alias("_b"), (F.sum("_n").over(W.orderBy("_block")) - F.col("_n")).alias("_head"))
+    load = F.col("_head") + F.sum("effort").over(W.partitionBy("_block").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
+    return rows.join(heads, F.col("_block") == F.col("_b")).withColumn("load", load).withColumn("taken", F.col("load") <= capacity).drop("_block", "_b", "_head")
 
 
 def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:

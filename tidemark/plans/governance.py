@@ -259,25 +259,25 @@ def panel_levels(spark, sf):
     return A.panel(b.unionByName(fixed))
 
 
-_ITEMS = "WITH i AS (SELECT p_partkey AS item, p_size % 5 + 1 AS impact, p_size % 3 + 1 AS confidence, p_size % 8 + 1 AS effort, p_type LIKE '%PROMO%' AS p0 FROM part WHERE p_partkey <= 200),\n s AS (SELECT *, round(impact * confidence / effort::DOUBLE, 6) AS score FROM i), r AS (SELECT *, row_number() OVER (ORDER BY p0 DESC, score DESC, item) AS place FROM s)\n"
+_ITEMS = "WITH i AS (SELECT p_partkey AS item, p_size % 5 + 1 AS impact, p_size % 3 + 1 AS confidence, p_size % 8 + 1 AS effort, p_type LIKE '%PROMO%' AS p0 FROM part),\n s AS (SELECT *, round(impact * confidence / effort::DOUBLE, 6) AS score FROM i), r AS (SELECT *, row_number() OVER (ORDER BY p0 DESC, score DESC, item) AS place FROM s)\n"
 
 
 def backlog(spark, sf):
-    """A backlog of the first 200 parts."""
-    p, size = T.read(spark, sf, "part").where("p_partkey <= 200"), F.col("p_size")
+    """A backlog: every part is an item."""
+    p, size = T.read(spark, sf, "part"), F.col("p_size")
     return p.select(F.col("p_partkey").alias("item"), (size % 5 + 1).alias("impact"), (size % 3 + 1).alias("confidence"), (size % 8 + 1).alias("effort"), F.contains("p_type", F.lit("PROMO")).alias("p0"))
 
 
-@R.query(_ITEMS + "SELECT item, score, CAST(place AS INT) AS place FROM r")
+@R.query(_ITEMS + "SELECT item, score, place FROM r")
 def priority_rank(spark, sf):
     """Impact times confidence over effort; P0 classes jump the queue."""
     return sets.scored(backlog(spark, sf), F.col("p0")).select("item", "score", "place")
 
 
-@R.query(_ITEMS + "SELECT item, CAST(place AS INT) AS place, CAST(sum(effort) OVER (ORDER BY place) AS BIGINT) AS load, sum(effort) OVER (ORDER BY place) <= 100 AS taken FROM r")
+@R.query(_ITEMS + "SELECT item, place, CAST(sum(effort) OVER (ORDER BY place) AS BIGINT) AS load, sum(effort) OVER (ORDER BY place) <= 1000 AS taken FROM r")
 def capacity_cut(spark, sf):
     """What fits into the capacity in order of place; the rest is displaced."""
-    return sets.capacity_cut(sets.scored(backlog(spark, sf), F.col("p0")), 100).select("item", "place", "load", "taken")
+    return sets.capacity_cut(sets.scored(backlog(spark, sf), F.col("p0")), 1000).select("item", "place", "load", "taken")
 
 
 @R.query("SELECT * FROM (SELECT p_brand AS name, count(*) AS rows FROM part GROUP BY 1) ORDER BY rows DESC, name LIMIT 5")

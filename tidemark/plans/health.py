@@ -190,14 +190,14 @@ def gauge_daily(spark, sf):
 
 
 @R.query("""
-WITH e AS (SELECT event_id, account_id, k // 10 AS theme, ts, lead(ts) OVER (PARTITION BY account_id, k // 10 ORDER BY ts, event_id) AS again FROM ev WHERE event = 'error')
+WITH e AS (SELECT a.event_id, a.k // 10 AS theme, a.ts, min(n.ts) AS again FROM ev a LEFT JOIN ev n ON n.event = 'error' AND n.account_id = a.account_id AND n.k // 10 = a.k // 10 AND n.ts > a.ts WHERE a.event = 'error' GROUP BY ALL)
 SELECT theme, count(*) AS tickets, round(avg((again IS NULL OR again > ts + INTERVAL 14 DAY)::INT), 6) AS not_returning FROM e GROUP BY theme
 """, uses="ev")
 def ticket_recurrence(spark, sf):
     """Tickets whose author does not come back with the same theme within 14 days."""
-    rows = errors(spark, sf).withColumn("theme", F.expr("int(k div 10)"))
-    rows = rows.withColumn("again", F.lead("ts").over(W.partitionBy("account_id", "theme").orderBy("ts", "event_id")))
-    back = F.coalesce(intervals.within(F.col("ts"), F.col("again"), 14 * 24), F.lit(False))
+    e = errors(spark, sf).withColumn("theme", F.expr("int(k div 10)")).select("event_id", "theme", F.concat_ws(":", "account_id", "theme").alias("who"), "ts")
+    rows = intervals.next_after(e, e, "who")
+    back = F.coalesce(intervals.within(F.col("ts"), F.col("next_ts"), 14 * 24), F.lit(False))
     return rows.groupBy("theme").agg(F.count(F.lit(1)).alias("tickets"), series.rate(~back).alias("not_returning"))
 
 
@@ -231,13 +231,13 @@ def release_cancellations(spark, sf):
 @R.query("SELECT event_id, account_id, n_recent, n_recent >= 3 AS burst FROM (SELECT event_id, account_id, count(*) OVER (PARTITION BY account_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n_recent FROM ev WHERE event = 'error')", uses="ev")
 def burst_24h(spark, sf):
     """Three negatives within 24 hours."""
-    return series.burst(errors(spark, sf), "account_id", 24).select("event_id", "account_id", "n_recent", (F.col("n_recent") >= 3).alias("burst"))
+    return intervals.recent_count(errors(spark, sf), "account_id", 86400).select("event_id", "account_id", "n_recent", (F.col("n_recent") >= 3).alias("burst"))
 
 
 @R.query("SELECT day, n_max > 2 AS alert, CAST(n_max AS BIGINT) AS most_restarts FROM (SELECT day, max(n) AS n_max FROM (SELECT day, count(*) OVER (PARTITION BY product ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n FROM ev WHERE event = 'error' AND k >= 90) GROUP BY day)", uses="ev")
 def restart_alert(spark, sf):
     """More than two restarts (errors with k of 90 or more) of a product within 24 hours."""
-    n = series.burst(errors(spark, sf).where("k >= 90"), "product", 24)
+    n = intervals.recent_count(errors(spark, sf).where("k >= 90"), "product", 86400)
     return n.groupBy("day").agg(F.max("n_recent").alias("most_restarts")).select("day", (F.col("most_restarts") > 2).alias("alert"), "most_restarts")
 
 
@@ -256,6 +256,5 @@ def silence_days(spark, sf):
 @R.query("SELECT event_id, account_id, CAST(n AS BIGINT) AS in_minute, n <= 1 AS accepted FROM (SELECT event_id, account_id, count(*) OVER (PARTITION BY account_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS n FROM ev)", uses="ev")
 def rate_limit(spark, sf):
     """The batch form of the sliding rate limit, with one event a minute so that the limit shows on this data."""
-    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    n = F.count(F.lit(1)).over(W.partitionBy("account_id").orderBy(seconds).rangeBetween(-59, 0))
-    return T.events(spark, sf).select("event_id", "account_id", n.alias("in_minute"), (n <= 1).alias("accepted"))
+    rows = intervals.recent_count(T.events(spark, sf), "account_id", 59, "in_minute")
+    return rows.select("event_id", "account_id", "in_minute", (F.col("in_minute") <= 1).alias("accepted"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
@@ -184,13 +183,14 @@ def return_by_link(spark, sf):
 
 
 @R.query("""
-WITH b AS (SELECT account_id, ts, lead(ts) OVER (PARTITION BY account_id ORDER BY ts, event_id) AS nxt FROM ev WHERE event = 'purchase')
+WITH b AS (SELECT a.event_id, a.ts, min(n.ts) AS nxt FROM ev a LEFT JOIN ev n ON n.account_id = a.account_id AND n.event = 'purchase' AND n.ts > a.ts WHERE a.event = 'purchase' GROUP BY ALL)
 SELECT count(*) AS meetings, round(avg(coalesce(nxt <= ts + INTERVAL 14 DAY, false)::INT), 6) AS rebooked FROM b
 """, uses="ev")
 def next_booking(spark, sf):
     """Meetings followed by the next booking within two weeks."""
-    rows = T.actions(spark, sf).withColumn("nxt", F.lead("ts").over(W.partitionBy("account_id").orderBy("ts", "event_id")))
-    ok = F.coalesce(intervals.within(F.col("ts"), F.col("nxt"), 14 * 24), F.lit(False))
+    acts = T.actions(spark, sf).select("event_id", "account_id", "ts")
+    rows = intervals.next_after(acts, acts, "account_id")
+    ok = F.coalesce(intervals.within(F.col("ts"), F.col("next_ts"), 14 * 24), F.lit(False))
     return rows.agg(F.count(F.lit(1)).alias("meetings"), series.rate(ok).alias("rebooked"))
 
 
@@ -214,7 +214,7 @@ SELECT account_id, min(ts) AS started, max(ts) AS ended, count(*) AS n_events FR
 """, uses="ev")
 def sessionize(spark, sf):
     """Technical sessions; exactly 30 minutes is still the same one."""
-    return activity.sessions(T.events(spark, sf).select("account_id", "ts", "event_id")).select("account_id", "started", "ended", "n_events")
+    return intervals.sessions(T.events(spark, sf))
 
 
 @R.query("""
