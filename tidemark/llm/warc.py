@@ -114,12 +114,21 @@ def write_warc(pages: DataFrame, path: str) -> None:
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha", F.sha2("html", 256))
-    small, _ = scratch.stored(own.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", "sha"), "payload-digests")
-    twice = small.groupBy("sha").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha").alias("_sha"), "top")
-    visits = small.join(twice, (F.col("sha") == F.col("_sha")) & ((F.col("page_id") < F.col("top")) | (F.col("page_id").isNull() & F.col("top").isNotNull())))
+    digests, _ = scratch.stored(own.select("page_id", "sha", (F.octet_length("html") >= REVISIT_BYTES).alias("large")), "payload-digests")
+    twice, _ = scratch.stored(digests.groupBy("sha").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "top"), "repeated-payloads")
+    # One bit for each of 2^24 digest prefixes, 64 to a row: whatever the corpus weighs, 2^18 rows at most are broadcast. Payloads whose bit is
+    # clear occur once and are written where they are read; only the others are shuffled.
+    slot = F.conv(F.substring("sha", 1, 6), 16, 10).cast("long")
+    bits = twice.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(_slot % 64))")).alias("_bits"))
+    marked = own.withColumn("_slot", slot).join(F.broadcast(bits), F.floor(F.col("_slot") / 64) == F.col("_word"), "left")
+    marked = marked.withColumn("_again", F.coalesce(F.expr("shiftright(_bits, int(_slot % 64)) & 1L = 1L"), F.lit(False))).select("page_id", "url", "html", "sha", "_again")
+    visits = digests.where("large").join(twice.select(F.col("sha").alias("_sha"), "top"), (F.col("sha") == F.col("_sha")) & ((F.col("page_id") < F.col("top")) | (F.col("page_id").isNull() & F.col("top").isNotNull())))
     visits = visits.select(F.col("page_id").alias("_page"), "_sha", "top").distinct()
-    rows = own.join(visits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left")
-    rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("page_id", "sha").orderBy("url")))
+    again = marked.where("_again").join(visits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left")
+    again = again.withColumn("copy", F.row_number().over(W.partitionBy("page_id", "sha").orderBy("url")))
+    once = marked.where("not _again").withColumn("copy", F.lit(1)).withColumn("top", F.lit(None).cast("long"))
+    cols = ["page_id", "url", "html", "sha", "copy", "top"]
+    rows = once.select(cols).unionByName(again.select(cols))
     rows = rows.select("page_id", "url", F.when(F.col("top").isNull(), F.col("html")).alias("html"), F.sha1("html").alias("sha1"), "sha", "copy", "top")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
