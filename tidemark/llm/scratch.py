@@ -49,3 +49,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         fs, p = _fs(spark, path)
         fs.delete(p, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all scratch tables of all runs. Only when no query that reads them is still to run."""
+    drop(spark, f"{root(spark)}/tidemark")
