@@ -61,3 +61,20 @@ def render(order_id: Column, addressee: Column, urgent: Column, body: Column, wh
     """A ledger entry as text."""
     priority = F.when(urgent, "P0 · срочно").otherwise("обычный")
     return F.concat(F.lit("\n#### "), order_id, F.lit(" · "), X.first_line(body), F.lit("\n- **Адресат:** "), addressee, F.lit("\n- **Принято:** "), when, F.lit(" от "), author, F.lit("\n- **Приоритет:** "), priority, F.lit("\n- **Статус:** принято\n- **Распоряжение:**\n"), X.quote(body), F.lit("\n"))
+
+
+# The heading under which open orders stand, and what stands there while there are none.
+MARKER, PLACEHOLDER = "## Открытые", r"^\s*\n_пусто_\n"
+
+
+def insert(ledger: Column, additions: Column) -> Column:
+    """A ledger's text with additions right below the heading, above older ones; the placeholder goes. Null if there is no such heading."""
+    at = F.instr(ledger, MARKER)
+    head = F.substring(ledger, 1, at + len(MARKER) - 1)
+    tail = F.regexp_replace(F.substring(ledger, at + len(MARKER), F.length(ledger)), PLACEHOLDER, "\n")
+    return F.when(at > 0, F.concat(head, additions, tail))
+
+
+def chat_labels(updates: DataFrame) -> DataFrame:
+    """(chat_id, label): the last name seen of each chat."""
+    return updates.groupBy("chat_id").agg(F.max_by("author", "update_id").alias("label"))

@@ -72,3 +72,14 @@ def persist_cohorts(sizes: DataFrame, path: str) -> DataFrame:
     else:
         sizes.write.parquet(path)
     return spark.read.schema(sizes.schema).parquet(path)
+
+
+def read_export(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    """An export of any connected source (parquet, csv or json) with its agreed schema; columns beyond it are not read."""
+    reader = spark.read.schema(schema)
+    return reader.option("header", True).csv(path) if kind == "csv" else getattr(reader, {"parquet": "parquet", "json": "json"}[kind])(path)
+
+
+def without_nulls(fields: Column) -> Column:
+    """A map of outgoing fields without those that are not set."""
+    return F.map_filter(fields, lambda _, v: v.isNotNull())
