@@ -89,20 +89,20 @@ def _each(quotes: Column, level: str, rule: str) -> Column:
 def lint(docs: DataFrame) -> DataFrame:
     """(doc_id, level, slide, rule, quote) of decks (doc_id, text); slide is null for what concerns a whole deck."""
     s = slides(markdown.blocks(docs))
-    own = s.select("doc_id", "slide", F.explode(slide_findings(s)).alias("f")).select("doc_id", "f.level", "slide", "f.rule", "f.quote")
-    last = F.max("slide").alias("n")
-    tail = s.groupBy(F.col("doc_id").alias("_s")).agg(last, F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("slide", F.lower("text").alias("text"), F.exists("items", lambda e: e["kind"] == "human").alias("human"))))), 1, 2).alias("tail"))
-    deck = docs.select("doc_id").distinct().join(tail, F.col("doc_id") == F.col("_s"), "left").join(markdown.meta(docs), "doc_id")
+    closing = F.exists("items", lambda e: e["kind"] == "human") | F.contains(F.lower("text"), F.lit(P.CANCELLED))
+    row = F.struct("slide", slide_findings(s).alias("found"), closing.alias("closing"))
+    decks = s.select("doc_id", row.alias("row")).groupBy(F.col("doc_id").alias("_s")).agg(F.collect_list("row").alias("rows"), F.max("row.slide").alias("n"))
+    deck = docs.select("doc_id").distinct().join(decks, F.col("doc_id") == F.col("_s"), "left").join(markdown.meta(docs), "doc_id")
     empty = F.col("n").isNull()
-    closed = F.exists("tail", lambda t: t["human"] | F.contains(t["text"], F.lit(P.CANCELLED)))
+    closed = F.exists("rows", lambda r: (r["slide"] >= F.col("n") - 1) & r["closing"])
     whole = F.concat(
         _one(empty, ERROR, "no_slides"),
         _one(~empty & (F.col("n") > P.SLIDES), NOTE, "many_slides", F.col("n").cast("string")),
         _one(~empty & (F.col("date") == ""), NOTE, "no_date"),
         _one(~empty & ~closed, ERROR, "no_decisions"),
     )
-    deck = deck.select("doc_id", F.explode(whole).alias("f")).select("doc_id", "f.level", F.lit(None).cast("int").alias("slide"), "f.rule", "f.quote")
-    return own.unionByName(deck)
+    all_ = F.concat(F.array(F.struct(F.lit(None).cast("int").alias("slide"), whole.alias("found"), F.lit(False).alias("closing"))), F.coalesce("rows", F.expr("cast(array() as array<struct<slide:int,found:array<struct<level:string,rule:string,quote:string>>,closing:boolean>>)")))
+    return deck.select("doc_id", F.explode(all_).alias("r")).select("doc_id", "r.slide", F.explode("r.found").alias("f")).select("doc_id", "f.level", "slide", "f.rule", "f.quote")
 
 
 def summary(findings: DataFrame) -> DataFrame:
