@@ -18,27 +18,28 @@ from tidemark.llm import scratch
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost non-overlapping matches of pattern, of which those with `group` of at least min_chars count."""
+    """Leftmost non-overlapping matches of pattern, of which those with `group` of at least min_chars count. Every match holds `needle`."""
 
     kind: str
     version: int
     pattern: str
     group: int
     min_chars: int
+    needle: str = ""
 
 
 # The three base kinds as the contract words them, in its order.
 BASE = (
     Rule("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18),
+    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18, "AKIA"),
     Rule("hex", 1, r"[0-9a-f]+", 0, 16),
 )
 # Public token formats that the base kinds do not name.
 EXTRA = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1),
-    Rule("forge", 1, r"gh[opsu]_[A-Za-z0-9]+", 0, 40),
-    Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN "),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1, "eyJ"),
+    Rule("forge", 1, r"gh[opsu]_[A-Za-z0-9]+", 0, 40, "gh"),
+    Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]+", 0, 20, "xox"),
 )
 RULES = BASE + EXTRA
 _FOUND = "sha string, kind string, version int, start long, stop long"
@@ -62,7 +63,8 @@ def _scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     Matches and the pieces between them alternate, so a running sum of their lengths gives positions.
     """
     for i, r in enumerate(rules):
-        blobs = blobs.withColumn(f"m{i}", F.when(F.array_contains("todo", F.lit(i)), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))))
+        wanted = F.array_contains("todo", F.lit(i)) & (F.contains("text", F.lit(r.needle)) if r.needle else F.lit(True))  # a plain search first
+        blobs = blobs.withColumn(f"m{i}", F.when(wanted, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))))
     parts = [_spans(i, r) for i, r in enumerate(rules)]
     hits = blobs.where(F.greatest(*[F.size(f"m{i}") for i in range(len(rules))]) > 0)
     hits = hits.select("sha", F.explode(F.array_compact(F.array(*parts))).alias("matches")).select("sha", F.posexplode("matches").alias("pos", "m")).select("sha", "pos", "m.*")
