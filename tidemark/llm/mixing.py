@@ -100,8 +100,9 @@ def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[i
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """placed(), range-sorted by first position; documents that are not taken come last."""
-    rows = placed(docs, **how).withColumn("_first", F.get("positions", F.lit(0)))
-    return rows.repartitionByRange(F.col("_first").asc_nulls_last()).sortWithinPartitions(F.col("_first").asc_nulls_last()).drop("_first")
+    rows = placed(docs, **how).withColumns({"_first": F.get("positions", F.lit(0)), "_tie": F.xxhash64("doc_id")})
+    order = F.col("_first").asc_nulls_last(), F.col("_tie").asc()  # by hash after that, or all that are not taken would share a task
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_first", "_tie")
 
 
 def training_order(docs: DataFrame, **how) -> DataFrame:
