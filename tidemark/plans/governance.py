@@ -19,8 +19,11 @@ EVENTS = [Event(f"p{p}", name, "how is it used?", (Field("k", "number", True),))
 
 
 def raw_events(spark, sf):
-    """Events as they might arrive: some without an id, some of the wrong product, with extra, missing or mistyped fields, some twice."""
-    ev = T.events(spark, sf)
+    return as_sent(T.events(spark, sf))
+
+
+def as_sent(ev):
+    """Events as they might arrive: some without an id, some of the wrong product, with extra, missing or mistyped fields."""
     props = (
         F.when(F.col("k") == 11, F.create_map(F.lit("k"), F.col("k").cast("string"), F.lit("note"), F.lit("x")))
         .when(F.col("k") == 12, F.expr("cast(map() as map<string,string>)"))

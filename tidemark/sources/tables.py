@@ -18,10 +18,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RAW_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream of its files. A pattern, as a table may be one file, which a stream does not take by its plain name."""
+    return spark.readStream.schema(RAW_EVENTS).parquet(f"{sf_dir}/events.parque[t]")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shaped(read(spark, sf_dir, "events"))
+
+
+def shaped(raw: DataFrame) -> DataFrame:
     """event_id, account_id, event, ts, value, k, product, day, week. Product is k mod 3; day and week are Moscow's."""
     k = F.get_json_object("props", "$.k").cast("int")
-    return read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("account_id"), F.col("event_type").alias("event"), "ts", "value", k.alias("k"), (k % 3).alias("product"), calendar.day(F.col("ts")).alias("day"), calendar.week(F.col("ts")).alias("week"))
+    return raw.select("event_id", F.col("user_id").alias("account_id"), F.col("event_type").alias("event"), "ts", "value", k.alias("k"), (k % 3).alias("product"), calendar.day(F.col("ts")).alias("day"), calendar.week(F.col("ts")).alias("week"))
 
 
 def of(events_: DataFrame, *names: str) -> DataFrame:
