@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import scratch
 from tidemark.llm.vectors import is_query, matrix, packed, ranked, unpacked, valid
 
-#: Nodes of a block, and rows of the sorted runs that the first graph compares.
-BLOCK, RUN = 8192, 1024
+#: Nodes of a block at most, about, and blocks at least, so that small inputs use all cores too.
+BLOCK, BLOCKS = 8192, 16
+#: Rows of the sorted runs that the first graph compares.
+RUN = 1024
 #: Nodes of a bucket of the merge.
 MERGE = 1024
 #: Candidates that a task holds before it cuts them to the best of each node.
@@ -163,7 +165,7 @@ def adjacency(graph: DataFrame, reverse: int) -> DataFrame:
 
 def _round(rows: DataFrame, graph: DataFrame, n: int, dim: int, k: int, reverse: int, each: int) -> DataFrame:
     """The graph after one round."""
-    blocks, buckets = max(1, -(-n // BLOCK)), max(1, -(-n // MERGE))
+    blocks, buckets = max(BLOCKS, -(-n // BLOCK)), max(1, -(-n // MERGE))
     lists, lists_path = scratch.stored(adjacency(graph, reverse).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")), "nn-lists")
 
     def bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
