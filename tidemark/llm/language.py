@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.arrow import small_batches
+
 SLOTS = 1 << 16
 #: Bytes that one numpy pass looks at; longer texts go through it in overlapping pieces.
 PIECE = 4 << 20
@@ -153,6 +155,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     language by name. An empty table gives an empty table. Input columns with a result's name are replaced.
     """
     own = ["held_out", "lang_pred", "score", "ambiguous"]
+    small_batches(docs.sparkSession)
     docs = docs.drop(*own)
     model = model or fit(docs)
     names = docs.columns

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
+from tidemark.llm.arrow import small_batches
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: A key in more than this share of all (line, document) rows is hot; there can be no more of them than its inverse.
@@ -148,6 +149,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     lines. An empty table gives an empty table. Input columns named n_lines, n_dropped or _drop are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("n_lines", "n_dropped", "_drop")
     low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     low, high = (0, 0) if low is None else (low, high)

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
+from tidemark.llm.arrow import small_batches
 from tidemark.llm.vectors import is_query, matrix, packed, ranked, unpacked, valid
 
 #: Nodes of a block at most, about, and blocks at least, so that small inputs use all cores too.
@@ -316,6 +317,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, degree:
     returned; an empty table gives an empty table. Other columns are not read.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     whole = valid(vectors).where(F.exists("x", lambda v: v != 0))
     stored, _ = scratch.stored(whole, "nn-vectors")
     n, dim = stored.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()

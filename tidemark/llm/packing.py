@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
+from tidemark.llm.arrow import small_batches
 
 END = 2
 # Fixed value: the pre-tokenizing pattern that belongs to the byte_bpe_50k vocabulary.
@@ -73,6 +74,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def tokenized(docs: DataFrame, capacity: int = 1024, keep_ids: bool = False, paths: tuple[str, str] | None = None) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, the task that made it, its rank in that task by length, and its ids if asked for."""
+    small_batches(docs.sparkSession)
     paths = paths or vocabulary()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * keep_ids
 

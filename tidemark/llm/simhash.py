@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
+from tidemark.llm.arrow import small_batches
 from tidemark.llm.components import components
 
 BITS, PARTS = 64, 4
@@ -59,6 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
                 made = [fingerprint(t, width) for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(made, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

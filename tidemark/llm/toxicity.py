@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.arrow import small_batches
 from tidemark.llm.language import remainder
 
 SLOTS = 1 << 18
@@ -156,6 +157,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Mode
     held out. Repeated rows are each answered. An empty table gives an empty table. Input columns with a result's name are replaced.
     """
     own = ("held_out", "score", "predicted")
+    small_batches(docs.sparkSession)
     docs = docs.drop(*own)
     model = model or fit(docs, labels)
     names = docs.columns

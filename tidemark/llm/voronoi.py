@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
+from tidemark.llm.arrow import small_batches
 from tidemark.llm.vectors import is_query, matrix, packed, ranked, unpacked, valid
 
 #: Queries and vectors that meet in one task at most, about: blocks are cut by hash.
@@ -94,6 +95,7 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: i
     fewer than k candidates all are returned; an empty table gives an empty table. Other columns are not read.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows, _ = scratch.stored(quantised(vectors, scale), "quantised")
     square = F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
     high = F.aggregate("x", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v.cast("double"))))

@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
+from tidemark.llm.arrow import small_batches
 
 VERSION = b"WARC/1.1"
 SEPARATOR = "WARC/1.1\r\n"
@@ -112,6 +113,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
     page_ids count as less than any. Rows that repeat both payload and the largest page_id are all responses. An empty table
     writes archives without records. Other columns are not read.
     """
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha", F.sha2("html", 256))
     digests, _ = scratch.stored(own.select("page_id", "sha", (F.octet_length("html") >= REVISIT_BYTES).alias("large")), "payload-digests")
@@ -222,6 +224,7 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
     A revisit has the size of the response that it refers to, read back, and the digest in its header. `whole` is false
     where a length, a segment, the framing or a digest does not agree; damaged records are kept and named, not dropped.
     """
+    small_batches(spark)
     lines = spark.read.option("lineSep", SEPARATOR).text(path)
     got, _ = scratch.stored(lines.where("length(value) > 0").mapInArrow(_read_records(keep_payload), _OUT), "warc-records")
     parts = got.where("segment is not null").groupBy("origin").agg(F.collect_list(F.struct("segment", "total", "block", "whole", "record_id", "record_type", "page_id", "url", "said_digest")).alias("parts"))
