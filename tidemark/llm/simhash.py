@@ -276,12 +276,12 @@ def near_duplicates(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame
     rows only has a null component_id. An empty table gives an empty table.
     """
     rows, _ = scratch.stored(fingerprints(docs, width), "fingerprints")
-    nodes, nodes_path = scratch.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    nodes, _ = scratch.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
     edges = links(nodes, most)
     roots = components(edges)
     named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(heads, "root").select(F.col("fp").alias("_fp"), "component_id")
+    by_fp, _ = scratch.stored(named.join(heads, "root").select(F.col("fp").alias("_fp"), "component_id"), "fingerprint-components")  # a table of its own, so that the join can split a fingerprint that many rows share
     return rows.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
