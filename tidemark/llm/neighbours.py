@@ -54,7 +54,7 @@ def _top(u: np.ndarray, w: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarra
     order = np.lexsort((w, -s, u))
     u, w, s = u[order], w[order], s[order]
     new = np.ones(len(u), bool)
-    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])  # equal pairs have equal scores, so they are next to each other
+    new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])  # a pair's scores agree but for rounding; a double that slips through costs a place in a list, no more
     u, w, s = u[new], w[new], s[new]
     keep = np.arange(len(u)) - np.searchsorted(u, u, side="left") < k
     return u[keep], w[keep], s[keep]
