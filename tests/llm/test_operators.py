@@ -69,6 +69,11 @@ def test_lines_of_nothing_and_of_much(spark):
     assert got == {i: (20_000, 0 if i == 5 else 20_000) for i in range(6)}
 
 
+def test_lines_of_far_ids(spark):
+    ids = [-(1 << 63), -5, 0, 5, (1 << 63) - 1]
+    assert by_id(line_dedup.dedup_lines(docs(spark, ["x" * 50] * 5, ids=ids)), "n_dropped") == {i: int(i < ids[-1]) for i in ids}
+
+
 def test_runs_compact_in_levels_and_keep_the_first_keeper(spark):
     runs = line_dedup.LineRuns(spark, scratch.folder(spark, "t"), fanout=2)
     for batch in ([(9, b"a"), (8, b"a"), (9, b"b")], [(5, b"a"), (4, b"c")], [(3, b"c"), (2, b"b")], [(1, b"a")]):

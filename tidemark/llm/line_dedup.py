@@ -154,7 +154,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     low, high = (0, 0) if low is None else (low, high)
     width = max(1, -(-(high - low + 1) // batches))
-    sliced = line_keys(docs, min_chars).withColumn("slice", F.expr(f"int(({high} - doc_id) div {width})"))
+    wide = lambda v: f"cast({v} as decimal(20,0))"  # noqa: E731  ids may lie further apart than a long reaches
+    sliced = line_keys(docs, min_chars).withColumn("slice", F.expr(f"int(({wide(repr(str(high)))} - {wide('doc_id')}) div {wide(repr(str(width)))})"))
     path = scratch.folder(spark, "line-keys")
     sliced.write.partitionBy("slice").parquet(path)
     keys = spark.read.schema(sliced.schema).parquet(path)
