@@ -273,6 +273,33 @@ def test_neighbours_of_few(spark):
     assert [(g[1], g[2]) for g in got] == [(1, 1), (2, 2), (3, 3)]
 
 
+def recall_by_hand(x, rows, every=50, k=5):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for r in rows:
+        s = x @ x[r["query_id"]]
+        s[r["query_id"]] = -2
+        hits += r["score"] >= np.sort(s)[-k] - 1e-12
+    return hits / (k * -(-len(x) // every))
+
+
+@pytest.mark.parametrize("beam", [8, 300])
+def test_neighbours_widen_a_search_that_finds_too_little(spark, beam):
+    """Lists and beam too short for the table: a wider beam, or in the end a scan, makes up for it."""
+    x = np.random.default_rng(15).normal(size=(1500, 32))
+    got = neighbours.nearest_neighbours(table_of(spark, [(i, row.tolist()) for i, row in enumerate(x)]), degree=5, reverse=5, each=2, rounds=1, beam=beam, expand=8, hops=1).collect()
+    assert recall_by_hand(x.astype(np.float32).astype(np.float64), got) >= 0.9
+
+
+def test_graph_settles_however_many_rounds_that_takes(spark, monkeypatch):
+    shares = []
+    moved = neighbours._changed
+    monkeypatch.setattr(neighbours, "_changed", lambda old, new: shares.append(moved(old, new)) or (0.5 if len(shares) < 9 else shares[-1]))
+    x = np.random.default_rng(16).normal(size=(300, 8))
+    rows = neighbours.nearest_neighbours(table_of(spark, [(i, row.tolist()) for i, row in enumerate(x)]), degree=6, reverse=6)
+    assert len(shares) == 9 and shares[-1] < neighbours.MOVED and rows.count() == 30
+
+
 def test_packed_rows_come_back():
     x = np.arange(12, dtype=np.float64).reshape(3, 4)
     assert (vectors.unpacked(vectors.packed(x), 4, np.float64) == x).all()

@@ -2,7 +2,9 @@
 
 A round of NN-descent joins each node's list (its neighbours and those it is a neighbour of) with the
 vectors and holds the members of a list against each other: neighbours of neighbours meet. Nodes are dealt
-into blocks; a block gets each vector it needs once.
+into blocks; a block gets each vector it needs once. Rounds go on until lists settle, walks until the beam does.
+How wide the beam must be depends on the table: a sample of queries is answered by a full scan too, and the beam is
+doubled until the walk finds enough of that. Where no walk does, or one would see as much as a scan, all queries are scanned.
 """
 
 from __future__ import annotations
@@ -27,6 +29,12 @@ RUN = 1024
 MERGE = 1024
 #: Candidates that a task holds before it cuts them to the best of each node.
 HELD = 750_000
+#: Share of lists that still move when the graph counts as settled.
+MOVED = 0.05
+#: Queries answered exactly to learn the recall of a beam.
+SAMPLE = 256
+#: Queries and vectors that meet in one task of the full scan, about.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 _CAND = np.dtype([("w", "<i8"), ("s", "<f4")])
 _EDGE = np.dtype([("u", "<i8"), ("w", "<i8"), ("s", "<f4")])
 
@@ -164,8 +172,8 @@ def adjacency(graph: DataFrame, reverse: int) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("w").alias("m")).unionByName(back.select("v", "m")).groupBy("v").agg(F.collect_set("m").alias("members"))
 
 
-def _round(rows: DataFrame, graph: DataFrame, n: int, dim: int, k: int, reverse: int, each: int) -> DataFrame:
-    """The graph after one round."""
+def _round(rows: DataFrame, graph: DataFrame, n: int, dim: int, k: int, reverse: int, each: int) -> tuple[DataFrame, str]:
+    """The graph after one round, and its path."""
     blocks, buckets = max(BLOCKS, -(-n // BLOCK)), max(1, -(-n // MERGE))
     lists, lists_path = scratch.stored(adjacency(graph, reverse).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")), "nn-lists")
 
@@ -247,7 +255,7 @@ def _round(rows: DataFrame, graph: DataFrame, n: int, dim: int, k: int, reverse:
         yield from finish()
 
     better = tasks.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, "bucket int, data binary")
-    made, _ = scratch.stored(_merge(_spread(graph, buckets).unionByName(better), k), "nn-graph")
+    made = scratch.stored(_merge(_spread(graph, buckets).unionByName(better), k), "nn-graph")
     scratch.drop(rows.sparkSession, lists_path)
     return made
 
@@ -258,59 +266,107 @@ def _changed(old: DataFrame, new: DataFrame) -> float:
     return same.agg(F.avg((F.col("h") != F.col("_h")).cast("double"))).first()[0] or 0.0
 
 
-def build_graph(rows: DataFrame, n: int, dim: int, k: int, reverse: int, each: int, rounds: int) -> DataFrame:
-    """(u, list) after NN-descent over (vec_id, vec): packed unit vectors in half precision."""
+def build_graph(rows: DataFrame, n: int, dim: int, k: int, reverse: int, each: int, rounds: int | None = None) -> DataFrame:
+    """(u, list) after NN-descent over (vec_id, vec): packed unit vectors in half precision.
+
+    Lists only ever get better, so they settle, however many rounds that takes; `rounds` stops before.
+    """
     starts = _first_graph(rows, n, dim, k, 1).unionByName(_first_graph(rows, n, dim, k, 2))
-    graph, _ = scratch.stored(_merge(_spread(starts, max(1, -(-n // MERGE))), k), "nn-graph")
-    for _ in range(rounds):
-        new = _round(rows, graph, n, dim, k, reverse, each)
-        share = _changed(graph, new)
-        graph = new
-        if share < 0.05:
-            break
+    graph, path = scratch.stored(_merge(_spread(starts, max(1, -(-n // MERGE))), k), "nn-graph")
+    share, done = 1.0, 0
+    while share >= MOVED and done != rounds:
+        new, new_path = _round(rows, graph, n, dim, k, reverse, each)
+        share, done = _changed(graph, new), done + 1
+        scratch.drop(rows.sparkSession, path)
+        graph, path = new, new_path
     return graph
 
 
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot product over the product of norms, row by row: equal rows give equal scores wherever they stand."""
+    norm = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
+    return (a * b).sum(axis=1) / np.where(norm > 0, norm, 1)
+
+
 def _cosines(pairs: DataFrame, dim: int, kind) -> DataFrame:
     """(query_id, vec_id, score) of (query_id, vec_id, qvec, vec): dot product over the product of norms, in double precision."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (unpacked(batch.column(i), dim, kind).astype(np.float64) for i in (2, 3))
-            norm = np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((a * b).sum(axis=1) / np.where(norm > 0, norm, 1))], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_cosine(a, b))], ["query_id", "vec_id", "score"])
 
     return pairs.select("query_id", "vec_id", "qvec", "vec").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def greedy_search(rows: DataFrame, graph: DataFrame, every: int, dim: int, reverse: int, beam: int, expand: int, hops: int) -> DataFrame:
-    """(query_id, vec_id, score): each query's beam after walking the graph from its own node, best nodes first."""
-    lists, _ = scratch.stored(adjacency(graph, reverse), "nn-adjacency")
-    asked = rows.where(is_query("vec_id", every)).select(F.col("vec_id").alias("_q"), F.col("vec").alias("qvec"))
+def greedy_search(rows: DataFrame, lists: DataFrame, ids: DataFrame, dim: int, beam: int, expand: int, hops: int | None = None) -> DataFrame:
+    """(query_id, vec_id, score): the beam of each query of ids (_q) after walking the adjacency lists from its own node, best nodes first.
+
+    A walk ends when all of the beam is expanded; `hops` stops before.
+    """
+    asked = rows.join(ids, F.col("vec_id") == F.col("_q")).select("_q", F.col("vec").alias("qvec"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    front = asked.select(F.col("_q").alias("query_id"), F.col("_q").alias("vec_id"))
-    state, seen = None, front
-    for _ in range(hops):
+    front = ids.select(F.col("_q").alias("query_id"), F.col("_q").alias("vec_id"))
+    state, path, seen, done = None, None, front, 0
+    while done != hops:
         near = front.join(lists, F.col("vec_id") == F.col("v")).select("query_id", F.explode("members").alias("vec_id")).distinct()
-        near, near_path = scratch.stored(near.join(seen, ["query_id", "vec_id"], "left_anti"), "nn-near")
+        near, _ = scratch.stored(near.join(seen, ["query_id", "vec_id"], "left_anti"), "nn-near")
         pairs = near.join(rows, "vec_id").join(asked, F.col("query_id") == F.col("_q"))
         fresh = _cosines(pairs, dim, np.float16).withColumn("done", F.lit(False))
         if state is not None:
             marked = state.join(front.withColumn("now", F.lit(True)), ["query_id", "vec_id"], "left")
             fresh = fresh.unionByName(marked.select("query_id", "vec_id", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")))
-        state, _ = scratch.stored(fresh.withColumn("i", F.row_number().over(order)).where(F.col("i") <= beam).drop("i"), "nn-beam")
-        seen = seen.unionByName(near)
+        old = path
+        state, path = scratch.stored(fresh.withColumn("i", F.row_number().over(order)).where(F.col("i") <= beam).drop("i"), "nn-beam")
+        if old:
+            scratch.drop(rows.sparkSession, old)
+        seen, done = seen.unionByName(near), done + 1
         front, _ = scratch.stored(state.where("not done").withColumn("i", F.row_number().over(order)).where(F.col("i") <= expand).select("query_id", "vec_id"), "nn-front")
         if front.isEmpty():
             break
     return state.select("query_id", "vec_id", "score")
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, degree: int = 40, reverse: int = 40, each: int = 8, rounds: int = 7, beam: int = 128, expand: int = 24, hops: int = 5) -> DataFrame:
+def scan(both: DataFrame, ids: DataFrame, n: int, asked: int, dim: int, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest of the `asked` queries of ids (_q), each held against all n vectors, block by block."""
+    q_blocks, v_blocks = max(1, -(-asked // QUERY_BLOCK)), max(1, -(-n // VECTOR_BLOCK))
+
+    def block(blocks: int):
+        return F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+
+    def all_of(blocks: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        qid, vid = left["id"].to_numpy(), right["id"].to_numpy()
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(qid) and len(vid):
+            q, x = unpacked(left["x"], dim, np.float64), unpacked(right["x"], dim, np.float64)
+            q_unit, x_unit = (m / np.sqrt((m * m).sum(axis=1, keepdims=True)) for m in (q, x))
+            for i in range(0, len(qid), 64):
+                parts = []
+                for j in range(0, len(vid), 2048):
+                    s = q_unit[i : i + 64] @ x_unit[j : j + 2048].T
+                    other = qid[i : i + 64, None] != vid[j : j + 2048]
+                    s[~other] = -2
+                    if s.shape[1] > k:
+                        other &= s >= np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None] - 1e-12  # ties are told apart by _cosine
+                    a, b = np.nonzero(other)
+                    parts.append((qid[i + a], vid[j + b], _cosine(q[i + a], x[j + b])))
+                found.append(_top(*(np.concatenate(p) for p in zip(*parts, strict=True)), k))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(p) for p in zip(*found, strict=True)), strict=True)))
+
+    queries = both.join(ids, F.col("vec_id") == F.col("_q")).select(block(q_blocks).alias("a"), all_of(v_blocks).alias("b"), "vec_id", "exact").toDF("a", "b", "id", "x")
+    vectors = both.select(all_of(q_blocks).alias("a"), block(v_blocks).alias("b"), "vec_id", "exact").toDF("a", "b", "id", "x")
+    return ranked(queries.groupBy("a", "b").cogroup(vectors.groupBy("a", "b")).applyInArrow(meet, "query_id long, vec_id long, score double"), k)
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, degree: int = 40, reverse: int = 40, each: int = 8, rounds: int | None = None, beam: int = 128, expand: int = 24, hops: int | None = None, recall: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every`, about the k nearest by cosine among all other vectors.
 
     Every row is in the graph, and scores are exact cosines of the original vectors in double precision; ties go to the smaller
-    vec_id.
+    vec_id. The beam is doubled from `beam`, and expand with it, until the walk finds the share `recall` of the neighbours of a sample of
+    queries; if doubling gains nothing, or a walk would meet as many vectors as there are, every query is held against every vector.
 
     Edge cases: vectors null, zero or holding null or non-finite components take no part, nor does a row without vec_id. Rows that
     share a vec_id count once, as the largest vector. Shorter vectors count as padded with zeros. With fewer than k candidates all are
@@ -333,9 +389,26 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, degree:
     both, _ = scratch.stored(stored.mapInArrow(unit, "vec_id long, vec binary, exact binary"), "nn-units")
     rows = both.select("vec_id", "vec")
     graph = build_graph(rows, n, dim, degree, reverse, each, rounds)
-    found = greedy_search(rows, graph, every, dim, reverse, beam, expand, hops)
-    short = ranked(found, min(beam, 8 * k)).select("query_id", "vec_id")
+    lists, _ = scratch.stored(adjacency(graph, reverse), "nn-adjacency")
     exact = both.select("vec_id", F.col("exact").alias("vec"))
-    asked = both.where(is_query("vec_id", every)).select(F.col("vec_id").alias("_q"), F.col("exact").alias("qvec"))
-    pairs = short.join(exact, "vec_id").join(asked, F.col("query_id") == F.col("_q"))
-    return ranked(_cosines(pairs, dim, np.float64), k)
+
+    def walked(ids: DataFrame, beam: int, expand: int) -> DataFrame:
+        found = greedy_search(rows, lists, ids, dim, beam, expand, hops)
+        short = ranked(found, min(beam, 8 * k)).select("query_id", "vec_id")
+        asked = exact.join(ids, F.col("vec_id") == F.col("_q")).select("_q", F.col("vec").alias("qvec"))
+        return ranked(_cosines(short.join(exact, "vec_id").join(asked, F.col("query_id") == F.col("_q")), dim, np.float64), k)
+
+    ids = both.where(is_query("vec_id", every)).select(F.col("vec_id").alias("_q"))
+    sample, _ = scratch.stored(ids.orderBy(F.xxhash64("_q"), "_q").limit(SAMPLE), "nn-sample")
+    best, _ = scratch.stored(scan(both, sample, n, SAMPLE, dim, k), "nn-scanned")
+    least = best.groupBy(F.col("query_id").alias("_q")).agg(F.min("score").alias("least"))
+    wanted, asked, before = best.count(), ids.count(), -1.0
+    while True:
+        found, _ = scratch.stored(walked(sample, beam, expand), "nn-walked")
+        hit = found.join(least, F.col("query_id") == F.col("_q")).where("score >= least").count() / wanted if wanted else 1.0
+        if hit >= recall:
+            break
+        if hit <= before or 2 * beam * (degree + reverse) >= n:
+            return scan(both, ids, n, asked, dim, k)
+        beam, expand, before = 2 * beam, 2 * expand, hit
+    return found if asked <= SAMPLE else found.unionByName(walked(ids.join(sample, "_q", "left_anti"), beam, expand))
