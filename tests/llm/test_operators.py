@@ -291,6 +291,17 @@ def test_neighbours_widen_a_search_that_finds_too_little(spark, beam):
     assert recall_by_hand(x.astype(np.float32).astype(np.float64), got) >= 0.9
 
 
+def test_nearest_of_many_near_copies_are_told_apart(spark, monkeypatch):
+    """70 near-copies whose cosines differ by less than half precision can say: all of them are scored exactly."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 0)  # the walk alone, without a scan to fall back on
+    rng = np.random.default_rng(17)
+    x = np.concatenate((rng.normal(size=(1, 16)) + 1e-4 * rng.normal(size=(70, 16)), rng.normal(size=(300, 16)))).astype(np.float32).astype(np.float64)
+    got = neighbours.nearest_neighbours(table_of(spark, [(i, row.tolist()) for i, row in enumerate(x)]), every=1000, degree=69, reverse=69, beam=48)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit[1:] @ unit[0]
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [int(i) + 1 for i in np.argsort(-s)[:5]]
+
+
 def test_graph_settles_however_many_rounds_that_takes(spark, monkeypatch):
     shares = []
     moved = neighbours._changed

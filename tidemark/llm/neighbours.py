@@ -31,6 +31,8 @@ MERGE = 1024
 HELD = 750_000
 #: Share of lists that still move when the graph counts as settled.
 MOVED = 0.05
+#: What rounding two unit vectors to half precision can add to or take from their cosine, at most about.
+ROUNDING = 2.0**-10
 #: Queries answered exactly to learn the recall of a beam.
 SAMPLE = 256
 #: Queries and vectors that meet in one task of the full scan, about.
@@ -299,10 +301,10 @@ def _cosines(pairs: DataFrame, dim: int, kind) -> DataFrame:
     return pairs.select("query_id", "vec_id", "qvec", "vec").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def greedy_search(rows: DataFrame, lists: DataFrame, ids: DataFrame, dim: int, beam: int, expand: int, hops: int | None = None) -> DataFrame:
+def greedy_search(rows: DataFrame, lists: DataFrame, ids: DataFrame, dim: int, k: int, beam: int, expand: int, hops: int | None = None) -> DataFrame:
     """(query_id, vec_id, score): the beam of each query of ids (_q) after walking the adjacency lists from its own node, best nodes first.
 
-    A walk ends when all of the beam is expanded; `hops` stops before.
+    Nodes beyond the beam stay too while rounding may hide that they are among the k best, but are not expanded. A walk ends when all of the beam is expanded; `hops` stops before.
     """
     asked = rows.join(ids, F.col("vec_id") == F.col("_q")).select("_q", F.col("vec").alias("qvec"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
@@ -317,11 +319,12 @@ def greedy_search(rows: DataFrame, lists: DataFrame, ids: DataFrame, dim: int, b
             marked = state.join(front.withColumn("now", F.lit(True)), ["query_id", "vec_id"], "left")
             fresh = fresh.unionByName(marked.select("query_id", "vec_id", "score", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done")))
         old = path
-        state, path = scratch.stored(fresh.withColumn("i", F.row_number().over(order)).where(F.col("i") <= beam).drop("i"), "nn-beam")
+        placed = fresh.withColumn("i", F.row_number().over(order)).withColumn("kth", F.min(F.when(F.col("i") <= k, F.col("score"))).over(W.partitionBy("query_id")))
+        state, path = scratch.stored(placed.where((F.col("i") <= beam) | (F.col("score") >= F.col("kth") - 2 * ROUNDING)).drop("i", "kth"), "nn-beam")
         if old:
             scratch.drop(rows.sparkSession, old)
         seen, done = seen.unionByName(near), done + 1
-        front, _ = scratch.stored(state.where("not done").withColumn("i", F.row_number().over(order)).where(F.col("i") <= expand).select("query_id", "vec_id"), "nn-front")
+        front, _ = scratch.stored(state.withColumn("i", F.row_number().over(order)).where((F.col("i") <= beam) & ~F.col("done")).withColumn("i", F.row_number().over(order)).where(F.col("i") <= expand).select("query_id", "vec_id"), "nn-front")
         if front.isEmpty():
             break
     return state.select("query_id", "vec_id", "score")
@@ -393,10 +396,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, degree:
     exact = both.select("vec_id", F.col("exact").alias("vec"))
 
     def walked(ids: DataFrame, beam: int, expand: int) -> DataFrame:
-        found = greedy_search(rows, lists, ids, dim, beam, expand, hops)
-        short = ranked(found, min(beam, 8 * k)).select("query_id", "vec_id")
+        found = greedy_search(rows, lists, ids, dim, k, beam, expand, hops).select("query_id", "vec_id")
         asked = exact.join(ids, F.col("vec_id") == F.col("_q")).select("_q", F.col("vec").alias("qvec"))
-        return ranked(_cosines(short.join(exact, "vec_id").join(asked, F.col("query_id") == F.col("_q")), dim, np.float64), k)
+        return ranked(_cosines(found.join(exact, "vec_id").join(asked, F.col("query_id") == F.col("_q")), dim, np.float64), k)
 
     ids = both.where(is_query("vec_id", every)).select(F.col("vec_id").alias("_q"))
     sample, _ = scratch.stored(ids.orderBy(F.xxhash64("_q"), "_q").limit(SAMPLE), "nn-sample")
