@@ -302,6 +302,14 @@ def test_nearest_of_many_near_copies_are_told_apart(spark, monkeypatch):
     assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [int(i) + 1 for i in np.argsort(-s)[:5]]
 
 
+def test_first_graph_splits_copies(spark):
+    n = 4 * 4 * neighbours.RUN
+    unit = bytes(vectors.packed(np.array([[1.0, 0.0]], np.float16))[0].as_py())
+    rows = spark.range(n).select(F.col("id").alias("vec_id"), F.lit(unit).alias("vec"))
+    sizes = [r["count"] for r in neighbours._first_graph(rows, n, 2, 4, 1).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) < n / 2
+
+
 def test_graph_settles_however_many_rounds_that_takes(spark, monkeypatch):
     shares = []
     moved = neighbours._changed

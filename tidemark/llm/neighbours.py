@@ -101,7 +101,8 @@ def _first_graph(rows: DataFrame, n: int, dim: int, k: int, seed: int) -> DataFr
             yield from solve(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
     spread = rows.mapInArrow(project, "vec_id long, vec binary, along double")
-    return spread.repartitionByRange(max(1, n // (4 * RUN)), "along").sortWithinPartitions("along").mapInArrow(compare, "u long, list binary")
+    order = "along", F.xxhash64("vec_id")  # by hash after that, or all copies of a vector would share a task
+    return spread.repartitionByRange(max(1, n // (4 * RUN)), *order).sortWithinPartitions(*order).mapInArrow(compare, "u long, list binary")
 
 
 def _to_buckets(u: np.ndarray, w: np.ndarray, s: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
