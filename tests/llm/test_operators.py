@@ -310,6 +310,10 @@ def test_first_graph_splits_copies(spark):
     assert sum(sizes) == n and max(sizes) < n / 2
 
 
+def test_blocks_follow_the_nodes():
+    assert [neighbours._blocks(n) for n in (1, 8192, 8193, 16 * 8192, 32 * 8192)] == [1, 1, 2, 16, 32]
+
+
 def test_graph_settles_however_many_rounds_that_takes(spark, monkeypatch):
     shares = []
     moved = neighbours._changed

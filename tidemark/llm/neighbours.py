@@ -21,8 +21,8 @@ from tidemark.llm import scratch
 from tidemark.llm.arrow import small_batches
 from tidemark.llm.vectors import is_query, matrix, packed, ranked, unpacked, valid
 
-#: Nodes of a block at most, about, and blocks at least, so that small inputs use all cores too.
-BLOCK, BLOCKS = 8192, 16
+#: Nodes of a block at most, about.
+BLOCK = 8192
 #: Rows of the sorted runs that the first graph compares.
 RUN = 1024
 #: Nodes of a bucket of the merge.
@@ -175,9 +175,14 @@ def adjacency(graph: DataFrame, reverse: int) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("w").alias("m")).unionByName(back.select("v", "m")).groupBy("v").agg(F.collect_set("m").alias("members"))
 
 
+def _blocks(n: int) -> int:
+    """Blocks of n nodes. No least number: it would hide on small tables that rows to join grow with nodes x blocks."""
+    return max(1, -(-n // BLOCK))
+
+
 def _round(rows: DataFrame, graph: DataFrame, n: int, dim: int, k: int, reverse: int, each: int) -> tuple[DataFrame, str]:
     """The graph after one round, and its path."""
-    blocks, buckets = max(BLOCKS, -(-n // BLOCK)), max(1, -(-n // MERGE))
+    blocks, buckets = _blocks(n), max(1, -(-n // MERGE))
     lists, lists_path = scratch.stored(adjacency(graph, reverse).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")), "nn-lists")
 
     def bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
