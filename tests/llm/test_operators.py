@@ -228,6 +228,12 @@ def test_top_k_of_few_and_of_huge(spark):
     assert [g[2] for g in got] == [1, 2] and got[0][3] == min((256 * 10**9) ** 2, 2**63 - 1)
 
 
+def test_top_k_holds_huge_components(spark):
+    rows = voronoi.top_inner_products(table_of(spark, [(0, [1e30, 1.0]), (1, [1.0, 0.0]), (2, [-1e30, 0.0]), (50, [0.0, 1.0])])).collect()
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in rows}
+    assert got == {(0, 1): 2**63 - 1, (0, 50): 256 * 256, (0, 2): -(2**63), (50, 0): 256 * 256, (50, 1): 0, (50, 2): 0}
+
+
 def test_pruning_drops_far_groups(spark):
     """Two far clusters: a query's answer lies in its own, and bounds rule the other out."""
     rng = np.random.default_rng(4)

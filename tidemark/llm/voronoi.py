@@ -27,9 +27,8 @@ _LONG = float(1 << 62)
 
 
 def quantised(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, x): floor(scale * component) as longs. Vectors with a component beyond 2^62 then take no part."""
-    rows = valid(vectors).where(~F.exists("x", lambda v: F.abs(v * scale) >= _LONG))
-    return rows.select("vec_id", F.transform("x", lambda v: F.floor(v * scale)).alias("x"))
+    """(vec_id, x): floor(scale * component) as longs, held within 2^62."""
+    return valid(vectors).select("vec_id", F.transform("x", lambda v: F.floor(F.greatest(F.least(v * scale, F.lit(_LONG)), F.lit(-_LONG)))).alias("x"))
 
 
 def _lifted(x: np.ndarray, top: float, query: bool) -> np.ndarray:
@@ -91,8 +90,8 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: i
     Components are floor(scale * x); ties go to the smaller vec_id.
 
     Edge cases: vectors null or holding null or non-finite components take no part, nor does a row without vec_id. Rows that
-    share a vec_id count once, as the largest vector. Shorter vectors count as padded with zeros. Scores stay within 64 bits. With
-    fewer than k candidates all are returned; an empty table gives an empty table. Other columns are not read.
+    share a vec_id count once, as the largest vector. Shorter vectors count as padded with zeros. Components stay
+    within 2^62 and scores within 64 bits. With fewer than k candidates all are returned; an empty table gives an empty table. Other columns are not read.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -122,6 +121,8 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: i
             most = bounds[k] if len(bounds) > k else np.inf  # k + 1, as the query itself may be among them
             low[g] = np.minimum(low[g], between[c] - reach - most - slack)
             up[g] = np.maximum(up[g], between[c] + reach + most + slack)
+    if dim * peak * peak >= 2.0**63:  # scores that are held within 64 bits tie where distances do not
+        low[:], up[:] = -np.inf, np.inf
     group_of = np.zeros(len(pivot), np.int32)
     for g, own in enumerate(groups):
         group_of[own] = g
