@@ -492,6 +492,12 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0 and simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id_stay_where_their_texts_differ(spark):
+    texts = ["one clean text of its own", "another text with nothing in common", "one clean text of its own", "third words altogether here", "another text with nothing in common"]
+    got = simhash.keep_one(docs(spark, texts, ids=[3, 3, 5, 1, 1])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, texts[1]), (1, texts[3]), (3, texts[0])]
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

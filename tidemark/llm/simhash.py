@@ -268,6 +268,18 @@ def links(fps: DataFrame, most: int = 4) -> DataFrame:
     return dealt.mapInPandas(verify, "a long, b long")
 
 
+def _rooted(docs: DataFrame, most: int, width: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row; root is one fingerprint of the component."""
+    rows, _ = scratch.stored(fingerprints(docs, width), "fingerprints")
+    nodes, _ = scratch.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    edges = links(nodes, most)
+    roots = components(edges)
+    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp, _ = scratch.stored(named.join(heads, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "fingerprint-components")  # a table of its own, so that the join can split a fingerprint that many rows share
+    return rows.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id whose fingerprint is reachable by links of at most `most` bits.
 
@@ -275,19 +287,23 @@ def near_duplicates(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame
     so copies never meet pairwise. Repeated doc_ids keep their rows. A row without doc_id takes part; a component of such
     rows only has a null component_id. An empty table gives an empty table.
     """
-    rows, _ = scratch.stored(fingerprints(docs, width), "fingerprints")
-    nodes, _ = scratch.stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
-    edges = links(nodes, most)
-    roots = components(edges)
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp, _ = scratch.stored(named.join(heads, "root").select(F.col("fp").alias("_fp"), "component_id"), "fingerprint-components")  # a table of its own, so that the join can split a fingerprint that many rows share
-    return rows.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    return _rooted(docs, most, width).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame:
-    """docs with one document of each group: the smallest doc_id. Rows without doc_id always stay; of rows that share one, one stays."""
-    found = near_duplicates(docs, most, width)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """docs with one document of each group: the smallest doc_id. Rows without doc_id always stay; rows that share one are told apart by their fingerprints."""
+
+    def printed(text: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, width) for t in text], np.uint64).view(np.int64))
+
+    heads = _rooted(docs, most, width).where("doc_id = component_id")
+    kept, _ = scratch.stored(heads.groupBy("root", "doc_id").agg(F.min("fp").alias("_fp")).select(F.col("doc_id").alias("_kept"), "_fp"), "kept")
+    # Fingerprints are only needed to tell rows apart that share an id: others go by it alone.
+    shared = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).count().where("count > 1").select("_id")
+    shared, _ = scratch.stored(shared, "shared-ids")
+    key = F.col("doc_id").cast("long")
+    single = docs.join(shared, key == F.col("_id"), "left_anti").join(kept, key == F.col("_kept"), "left_semi")
+    several = docs.join(shared, key == F.col("_id"), "left_semi")
+    marked = several.withColumn("_print", F.pandas_udf(printed, "long")(F.col("text").cast("string")))
+    several = marked.join(kept, (key == F.col("_kept")) & (F.col("_print") == F.col("_fp")), "left_semi").dropDuplicates(["doc_id", "_print"]).drop("_print")
+    return single.unionByName(several).unionByName(docs.where("doc_id is null"))
