@@ -19,6 +19,11 @@ COLOURS = {"зелёный": "green", "зеленый": "green", "green": "green
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), value made once however often use names it. Within lambda functions Spark makes a repeated expression anew each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE, "")
 
@@ -115,20 +120,25 @@ def delta_direction(c: Column) -> Column:
 
 def metric_tile(c: Column) -> Column:
     """name | value | delta | note: padded to four, further bars stay in the note."""
-    parts = F.transform(F.split(c, r"\|", -1), strip)
-    at = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
-    note = strip(F.array_join(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), " | "))
-    return F.struct(at(0).alias("name"), at(1).alias("value"), at(2).alias("delta"), delta_direction(at(2)).alias("dir"), note.alias("note"))
+
+    def tile(parts: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+        note = strip(F.array_join(F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))), " | "))
+        return F.struct(at(0).alias("name"), at(1).alias("value"), at(2).alias("delta"), let(at(2), delta_direction).alias("dir"), note.alias("note"))
+
+    return let(F.transform(F.split(c, r"\|", -1), strip), tile)
 
 
 def status(c: Column) -> Column:
     """Colour and text; an unknown colour is amber and keeps the whole text."""
-    s = strip(c)
-    parts = F.split(s, r"(?U)\s+", 2)
-    word = F.regexp_replace(F.lower(F.get(parts, F.lit(0))), r"^[:|,]+|[:|,]+$", "")
-    colour = F.coalesce(*[F.when(word == k, F.lit(v)) for k, v in COLOURS.items()])
-    after = F.coalesce(strip(F.get(parts, F.lit(1))), F.lit(""))
-    return F.struct(F.coalesce(colour, F.lit("amber")).alias("color"), F.when(colour.isNull(), s).otherwise(after).alias("text"))
+    names = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
+
+    def read(s: Column) -> Column:
+        word = F.regexp_replace(F.lower(F.get(F.split(s, r"(?U)\s+", 2), F.lit(0))), r"^[:|,]+|[:|,]+$", "")
+        after = F.coalesce(strip(F.get(F.split(s, r"(?U)\s+", 2), F.lit(1))), F.lit(""))
+        return let(F.try_element_at(names, word), lambda colour: F.struct(F.coalesce(colour, F.lit("amber")).alias("color"), F.when(colour.isNull(), s).otherwise(after).alias("text")))
+
+    return let(strip(c), read)
 
 
 def plural_slides(n: Column) -> Column:
@@ -158,9 +168,8 @@ def has_header(rows: Column) -> Column:
     return (F.size(rows) > 1) & F.forall(F.coalesce(F.get(rows, F.lit(1)), F.expr("cast(array() as array<string>)")), lambda x: F.rlike(x, F.lit(r"^:?-{2,}:?$")) | (x == ""))
 
 
-def line_kind(c: Column) -> Column:
-    """Kind of a line of a deck, by the first prefix that fits."""
-    s = strip(c)
+def line_kind(s: Column) -> Column:
+    """Kind of a trimmed line of a deck, by the first prefix that fits."""
     starts = lambda p: F.startswith(s, F.lit(p))
     return (
         F.when(s == "", "blank").when(starts("# "), "title").when(starts("## "), "sub").when(starts("- ") | (s == "-"), "bullets").when(starts("|"), "table")

@@ -1,4 +1,4 @@
-"""The text rules as Column expressions over slides: one row per finding."""
+"""The text rules as Column expressions over slides: one row per finding. A deck is read, cut and judged within its row; nothing is shuffled."""
 
 from __future__ import annotations
 
@@ -21,26 +21,27 @@ def contains_any(c: Column, words: tuple[str, ...]) -> Column:
 
 def item_text(kind: Column, item: Column) -> Column:
     """What the rules read of an item: the values of a metric or status as one line."""
-    m, s = X.metric_tile(item), X.status(item)
-    part = lambda c: F.nullif(c, F.lit(""))
-    metric = F.concat_ws(" ", *[part(m[k]) for k in ("name", "value", "delta", "dir", "note")])
-    state = F.concat_ws(" ", part(s["color"]), part(s["text"]))
+    said = lambda *keys: lambda x: F.concat_ws(" ", *[F.nullif(x[k], F.lit("")) for k in keys])
+    metric = X.let(X.metric_tile(item), said("name", "value", "delta", "dir", "note"))
+    state = X.let(X.status(item), said("color", "text"))
     return F.when(kind == "metrics", metric).when(kind == "status", state).otherwise(item)
 
 
-def slides(blocks: DataFrame) -> DataFrame:
-    """(doc_id, slide, title, items, text, sizes): a row per slide; items keep their order, sizes are the lengths of bullet blocks."""
-    rows = blocks.withColumn("t", item_text(F.col("kind"), F.col("item")))
-    entry = F.struct("block", "item_no", "kind", F.col("t").alias("text"))
-    out = rows.groupBy("doc_id", "slide").agg(F.sort_array(F.collect_list(entry)).alias("all"))
-    kept = F.filter("all", lambda e: (X.strip(e["text"]) != "") & (e["kind"] != "title"))
-    titles = F.filter("all", lambda e: e["kind"] == "title")
-    title = F.coalesce(F.get(titles, F.lit(0))["text"], F.lit(""))
-    bullets = F.filter("all", lambda e: e["kind"] == "bullets")
-    ids = F.array_distinct(F.transform(bullets, lambda e: e["block"]))
-    sizes = F.transform(ids, lambda b: F.size(F.filter(bullets, lambda e: e["block"] == b)))
-    text = F.array_join(F.concat(F.when(title != "", F.array(title)).otherwise(F.expr("cast(array() as array<string>)")), F.transform(kept, lambda e: e["text"])), "\n")
-    return out.select("doc_id", "slide", title.alias("title"), kept.alias("items"), text.alias("text"), sizes.alias("sizes"))
+def slides(rows: DataFrame) -> DataFrame:
+    """A table with a slide's `blocks` in each row, and what rules read instead: title, items, text, kinds and sizes; items keep their order, sizes are the lengths of bullet blocks."""
+    more = [c for c in rows.columns if c != "blocks"]
+    none = F.expr("cast(array() as array<string>)")
+    titles = F.filter("blocks", lambda b: b["kind"] == "title")
+    body = F.filter("blocks", lambda b: b["kind"] != "title")
+    items = F.flatten(F.transform(body, lambda b: F.transform(b["items"], lambda x: F.struct(b["kind"].alias("kind"), item_text(b["kind"], x).alias("text")))))
+    rows = rows.select(
+        *more, F.coalesce(F.get(F.get(titles, F.lit(0))["items"], F.lit(0)), F.lit("")).alias("title"), F.filter(items, lambda e: X.strip(e["text"]) != "").alias("items"),
+        F.transform(body, lambda b: b["kind"]).alias("kinds"), F.transform(F.filter("blocks", lambda b: b["kind"] == "bullets"), lambda b: F.size(b["items"])).alias("sizes"),
+    )
+    text = F.array_join(F.concat(F.when(F.col("title") != "", F.array("title")).otherwise(none), F.transform("items", lambda e: e["text"])), "\n")
+    rows = rows.withColumn("text", text)
+    # Columns of their own, for what many rules read: within a rule's loop over words it would be made for each word anew.
+    return rows.withColumns({"low": F.lower("text"), "title_words": X.word_count(F.col("title")), "emoji": F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(X.EMOJI), F.lit(0))))})
 
 
 def _finding(level: str, rule: str, quote: Column | None = None) -> Column:
@@ -54,10 +55,9 @@ def _one(test: Column, level: str, rule: str, quote: Column | None = None) -> Co
     return F.when(test, F.array(_finding(level, rule, quote))).otherwise(F.expr(_NONE))
 
 
-def slide_findings(s: DataFrame) -> Column:
-    """All findings of a slide as one array."""
-    title, low = F.col("title"), F.lower("text")
-    n = X.word_count(title)
+def slide_findings() -> Column:
+    """All findings of a slide, of the columns that slides() makes, as one array."""
+    title, low, n = F.col("title"), F.col("low"), F.col("title_words")
     bare = F.regexp_replace(F.lower(title), r"^[ .:—-]+|[ .:—-]+$", "")
     topic, short = bare.isin(*P.TOPICS), (n < P.TITLE_MIN) & ~X.has_digit(title)
     parts = [
@@ -69,12 +69,11 @@ def slide_findings(s: DataFrame) -> Column:
     for words, level, rule in ((P.EMPTY, ERROR, "empty_phrase"), (P.BANNED, ERROR, "banned_word"), (P.NOMINAL, NOTE, "nominal_verb")):
         found = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
         parts.append(_each(found, level, rule))
-    emoji = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(X.EMOJI), F.lit(0))))
-    parts.append(_one(F.size(emoji) > 0, ERROR, "emoji", F.array_join(emoji, " ")))
+    parts.append(_one(F.size("emoji") > 0, ERROR, "emoji", F.array_join("emoji", " ")))
     prose = F.filter("items", lambda e: e["kind"].isin(*P.PROSE))
     said = F.flatten(F.transform(prose, lambda e: X.sentences(e["text"])))
     parts.append(_each(F.transform(F.filter(said, lambda x: X.word_count(x) > P.SENTENCE_WORDS), lambda x: F.concat(F.substring(X.strip(x), 1, 90), F.lit("…"))), NOTE, "long_sentence"))
-    evident = F.exists("items", lambda e: e["kind"].isin(*P.EVIDENCE)) | X.has_digit(F.col("text")) | contains_any(low, P.NO_DATA)
+    evident = F.exists("kinds", lambda k: k.isin(*P.EVIDENCE)) | X.has_digit(F.col("text")) | contains_any(low, P.NO_DATA)
     parts.append(_one(~evident, ERROR, "no_evidence"))
     parts.append(_each(F.transform(F.filter("sizes", lambda x: x > P.BULLETS), lambda x: x.cast("string")), NOTE, "many_bullets"))
     wordy = F.filter("items", lambda e: (e["kind"] == "bullets") & (X.word_count(e["text"]) > P.BULLET_WORDS))
@@ -88,21 +87,22 @@ def _each(quotes: Column, level: str, rule: str) -> Column:
 
 def lint(docs: DataFrame) -> DataFrame:
     """(doc_id, level, slide, rule, quote) of decks (doc_id, text); slide is null for what concerns a whole deck."""
-    s = slides(markdown.blocks(docs))
-    closing = F.exists("items", lambda e: e["kind"] == "human") | F.contains(F.lower("text"), F.lit(P.CANCELLED))
-    row = F.struct("slide", slide_findings(s).alias("found"), closing.alias("closing"))
-    decks = s.select("doc_id", row.alias("row")).groupBy(F.col("doc_id").alias("_s")).agg(F.collect_list("row").alias("rows"), F.max("row.slide").alias("n"))
-    deck = docs.select("doc_id").distinct().join(decks, F.col("doc_id") == F.col("_s"), "left").join(markdown.meta(docs), "doc_id")
-    empty = F.col("n").isNull()
-    closed = F.exists("rows", lambda r: (r["slide"] >= F.col("n") - 1) & r["closing"])
+    n = F.coalesce(F.size("slides"), F.lit(0))
+    closing = lambda x: (x["kind"] == "human") | F.contains(F.lower(x["s"]), F.lit(P.CANCELLED))
+    closed = F.exists(F.slice("slides", F.greatest(n - 1, F.lit(1)), F.lit(2)), lambda lines: F.exists(lines, closing))
     whole = F.concat(
-        _one(empty, ERROR, "no_slides"),
-        _one(~empty & (F.col("n") > P.SLIDES), NOTE, "many_slides", F.col("n").cast("string")),
-        _one(~empty & (F.col("date") == ""), NOTE, "no_date"),
-        _one(~empty & ~closed, ERROR, "no_decisions"),
+        _one(n == 0, ERROR, "no_slides"),
+        _one(n > P.SLIDES, NOTE, "many_slides", n.cast("string")),
+        _one((n > 0) & (F.col("date") == ""), NOTE, "no_date"),
+        _one((n > 0) & ~closed, ERROR, "no_decisions"),
     )
-    all_ = F.concat(F.array(F.struct(F.lit(None).cast("int").alias("slide"), whole.alias("found"), F.lit(False).alias("closing"))), F.coalesce("rows", F.expr("cast(array() as array<struct<slide:int,found:array<struct<level:string,rule:string,quote:string>>,closing:boolean>>)")))
-    return deck.select("doc_id", F.explode(all_).alias("r")).select("doc_id", "r.slide", F.explode("r.found").alias("f")).select("doc_id", "f.level", "slide", "f.rule", "f.quote")
+    rows = markdown.decks(docs).select("doc_id", whole.alias("whole"), F.posexplode_outer("slides").alias("pos", "lines"))
+    rows = slides(markdown.with_blocks(rows, "lines"))
+    at = lambda slide: lambda f: F.struct(slide.cast("int").alias("slide"), f["level"].alias("level"), f["rule"].alias("rule"), f["quote"].alias("quote"))
+    first = F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("whole")).otherwise(F.expr(_NONE))  # once a deck
+    own = F.when(F.col("pos").isNotNull(), slide_findings()).otherwise(F.expr(_NONE))
+    found = F.concat(F.transform(first, at(F.lit(None))), F.transform(own, at(F.col("pos") + 1)))
+    return rows.select("doc_id", F.explode_outer(found).alias("f")).where("f is not null").select("doc_id", "f.level", "f.slide", "f.rule", "f.quote")
 
 
 def summary(findings: DataFrame) -> DataFrame:

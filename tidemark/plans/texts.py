@@ -219,7 +219,7 @@ def decks(spark, sf):
     head = F.when(F.col("o_orderstatus") == "F", F.lit("@title Board\n@date 2026-01-01\n")).otherwise("@title Board\r\n")
     first = F.concat(F.lit("# Revenue of the week grew by "), k, F.lit("\n## why\n- one\n- two 😀\n\n@metric MRR | 10 | +1 | note\n@status зелёный all good\n| a | b |\n|---|---|\n| 1 | 2 |\n---\n"))
     second = F.when(k % 2 == 0, F.lit("# Риски\nполная синергия без опоры\n")).otherwise("# Decide on the price before 1 May\n@human: choose A or B\n")
-    return T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(head, first, second).alias("text"))
+    return T.spread(T.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")).select(F.col("o_orderkey").alias("doc_id"), F.concat(head, first, second).alias("text"))
 
 
 @R.query("""

@@ -1,13 +1,12 @@
 """Structured text as tables: decks, ledgers and inbox blocks.
 
-A document is one row; its lines are exploded with their numbers, and what a line means follows from windows over the
-lines of its document. Malformed text is kept and flagged, never dropped.
+A document is one row, and all that its text holds is cut out within that row, by functions over arrays of its lines: nothing is
+shuffled, and a row stands for itself whatever its doc_id. Malformed text is kept and flagged, never dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -22,50 +21,72 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line) with line ends normalised."""
-    return docs.select("doc_id", F.posexplode(F.split(X.newlines(F.col("text")), "\n", -1)).alias("pos", "line"))
+# The keys of a deck's meta lines.
+META = ("title", "date", "meeting")
+_META_LINE = rf"^@({'|'.join(META)}) "
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, all): the trimmed lines of each text, line ends normalised."""
+    return docs.select("doc_id", F.transform(F.split(X.newlines(F.col("text")), "\n", -1), X.strip).alias("all"))
+
+
+def _said(key: str) -> Column:
+    """The value of the last meta line of a key, empty without one."""
+    last = F.try_element_at(F.filter("all", lambda s: F.startswith(s, F.lit(f"@{key} "))), F.lit(-1))
+    return F.coalesce(X.strip(F.substring(last, len(key) + 3, 1_000_000_000)), F.lit(""))
 
 
 def meta(docs: DataFrame) -> DataFrame:
     """(doc_id, title, date, meeting): @-lines from anywhere in a document; the last one counts, a missing one is empty."""
-    rows = numbered(docs).withColumn("s", X.strip(F.col("line")))
-    found = rows.select("doc_id", "pos", F.regexp_extract("s", r"^@(title|date|meeting) ", 1).alias("key"), "s").where("key <> ''")
-    value = X.strip(F.substring(F.col("s"), F.length("key") + 3, F.length("s")))
-    last = lambda k: F.coalesce(F.max_by(F.when(F.col("key") == k, value), F.when(F.col("key") == k, F.col("pos"))), F.lit("")).alias(k)
-    own = found.groupBy(F.col("doc_id").alias("_m")).agg(*map(last, ("title", "date", "meeting")))
-    joined = docs.select("doc_id").distinct().join(own, F.col("doc_id") == F.col("_m"), "left")
-    return joined.select("doc_id", *[F.coalesce(k, F.lit("")).alias(k) for k in ("title", "date", "meeting")])
+    return _lines(docs).select("doc_id", *[_said(k).alias(k) for k in META])
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, slide, block, kind, item_no, item): the content of decks, a row per item. Slides are numbered without empty ones.
+def decks(docs: DataFrame) -> DataFrame:
+    """(doc_id, title, date, meeting, slides): slides without empty ones, each an array of (kind, s) for its lines but meta lines. Slides end at lines of dashes."""
+    kind = lambda s: F.when(F.rlike(s, F.lit(r"^-{3,}$")), F.lit("rule")).otherwise(X.line_kind(s))
+    body = F.transform(F.filter("all", lambda s: ~F.rlike(s, F.lit(_META_LINE))), lambda s: F.struct(kind(s).alias("kind"), s.alias("s")))
+    rows = _lines(docs).select("doc_id", *[_said(k).alias(k) for k in META], body.alias("body"))
+    ends = F.filter(F.sequence(F.lit(0), F.size("body")), lambda i: (i == F.size("body")) | (F.get("body", i)["kind"] == "rule"))
+    rows = rows.withColumn("ends", ends)
+    begin = lambda j: F.coalesce(F.get("ends", j - 1) + 1, F.lit(0))
+    parts = F.transform("ends", lambda end, j: F.slice("body", begin(j) + 1, end - begin(j)))
+    return rows.select("doc_id", *META, F.filter(parts, lambda p: F.exists(p, lambda x: x["kind"] != "blank")).alias("slides"))
 
-    Slides end at lines of dashes. Neighbouring lines of a kind make a block; a blank line, a title, a subtitle and a status end one. The
-    first title of a slide is its `title`; a further one is a subtitle, so that crooked input loses no text.
-    """
-    rows = numbered(docs).withColumn("s", X.strip(F.col("line"))).where(~F.rlike("s", F.lit(r"^@(title|date|meeting) ")))
-    rule = F.rlike("s", F.lit(r"^-{3,}$"))
-    by_line = W.partitionBy("doc_id").orderBy("pos")
-    rows = rows.withColumn("part", F.sum(rule.cast("int")).over(by_line)).where(~rule)
-    rows = rows.withColumn("kind", X.line_kind(F.col("s")))
-    in_part = W.partitionBy("doc_id", "part").orderBy("pos")
-    first = F.min(F.when(F.col("kind") == "title", F.col("pos"))).over(W.partitionBy("doc_id", "part"))
-    titled = (F.col("kind") == "title") & (F.length("s") > 2)
-    rows = rows.withColumn("kind", F.when(titled & (F.col("pos") != first), "sub").otherwise(F.col("kind")))
-    alone = F.col("kind").isin("title", "sub", "status")
-    begins = (F.col("kind") != F.lag("kind", 1, "").over(in_part)) | alone
-    rows = rows.withColumn("run", F.sum(begins.cast("int")).over(in_part)).where("kind <> 'blank'")
-    s = F.col("s")
+
+def _item(x: Column) -> Column:
+    """What a line says without its prefix."""
+    s, kind = x["s"], x["kind"]
     cut = lambda n: X.strip(F.substring(s, n, 1_000_000_000))
-    item = (
-        F.when(F.startswith(s, F.lit("# ")), cut(3)).when(F.startswith(s, F.lit("## ")), cut(4)).when(F.col("kind") == "bullets", cut(3)).when(F.col("kind") == "metrics", cut(9))
-        .when(F.col("kind") == "status", cut(9)).when(F.col("kind") == "human", X.strip(F.regexp_replace(cut(7), "^:+", ""))).when(F.col("kind") == "note", cut(3)).otherwise(s)
+    return (
+        F.when(F.startswith(s, F.lit("# ")), cut(3)).when(F.startswith(s, F.lit("## ")), cut(4)).when(kind == "bullets", cut(3)).when(kind == "metrics", cut(9))
+        .when(kind == "status", cut(9)).when(kind == "human", X.strip(F.regexp_replace(cut(7), "^:+", ""))).when(kind == "note", cut(3)).otherwise(s)
     )
-    rows = rows.withColumn("item", item)
-    number = F.dense_rank().over(W.partitionBy("doc_id").orderBy("part"))
-    block = F.dense_rank().over(W.partitionBy("doc_id", "part").orderBy("run"))
-    return rows.select("doc_id", number.alias("slide"), block.alias("block"), "kind", F.row_number().over(W.partitionBy("doc_id", "part", "run").orderBy("pos")).alias("item_no"), "item")
+
+
+def with_blocks(slides: DataFrame, lines: str) -> DataFrame:
+    """A table with a slide's lines in each row, and its `blocks`: an array of (kind, items) instead.
+
+    Neighbouring lines of a kind make a block; a blank line, a title, a subtitle and a status end one. The
+    first title of a slide is its `title`; a further one is a subtitle, so that crooked input loses no text.
+    """
+    more = [c for c in slides.columns if c != lines]
+    rows = slides.withColumn("_first", F.array_position(F.transform(lines, lambda x: x["kind"]), "title"))
+    rows = rows.select(*more, F.transform(lines, lambda x, i: F.struct(F.when((x["kind"] == "title") & (i + 1 != F.col("_first")), F.lit("sub")).otherwise(x["kind"]).alias("kind"), _item(x).alias("item"))).alias("_rows"))
+    begins = lambda i: (i == 0) | (F.get("_rows", i)["kind"] != F.get("_rows", i - 1)["kind"]) | F.get("_rows", i)["kind"].isin("title", "sub", "status")
+    rows = rows.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_rows") - 1), begins))
+    runs = F.transform("_starts", lambda at, j: F.slice("_rows", at + 1, F.coalesce(F.get("_starts", j + 1), F.size("_rows")) - at))
+    full = F.filter(runs, lambda run: F.get(run, F.lit(0))["kind"] != "blank")
+    return rows.select(*more, F.transform(full, lambda run: F.struct(F.get(run, F.lit(0))["kind"].alias("kind"), F.transform(run, lambda x: x["item"]).alias("items"))).alias("blocks"))
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, slide, block, kind, item_no, item): the content of decks, a row per item. Slides and blocks are numbered without empty ones."""
+    # Outer, as before an inner explode the optimiser puts a filter on the array's size, and makes all of the array a second time for it.
+    slides = with_blocks(decks(docs).select("doc_id", F.posexplode_outer("slides").alias("pos", "lines")).where("pos is not null"), "lines")
+    rows = slides.select("doc_id", (F.col("pos") + 1).alias("slide"), F.posexplode_outer("blocks").alias("b", "of")).where("b is not null")
+    rows = rows.select("doc_id", "slide", (F.col("b") + 1).alias("block"), "of.kind", F.posexplode_outer("of.items").alias("i", "item"))
+    return rows.select("doc_id", "slide", "block", "kind", (F.col("i") + 1).alias("item_no"), "item")
 
 
 def ledger(docs: DataFrame) -> DataFrame:

@@ -18,6 +18,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in as many partitions as there are cores, where a small file has fewer: for work that takes long a row and shuffles nothing."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 RAW_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
