@@ -95,9 +95,7 @@ def evaluate(rules: DataFrame, values: DataFrame, as_of: Column | None = None, f
     Every rule has a row for every period of its metric, and one without a period if the metric is missing altogether. A missing
     minimum is no minimum; a missing previous value cannot breach a rule that compares.
     """
-    told = values.join(F.broadcast(rules), "metric")  # rules are code: tens of rows
-    mute = rules.join(values.select("metric").distinct(), "metric", "left_anti")
-    joined = told.unionByName(mute, allowMissingColumns=True)
+    joined = rules.join(values, "metric", "left")  # values are series, a row per period, and are made once
     hit = F.coalesce(breached(), F.lit(False))
     enough = F.coalesce(F.col("n") >= F.col("min_n"), F.col("min_n").isNull(), F.lit(False))
     state = F.when(F.col("value").isNull(), "not_checked")

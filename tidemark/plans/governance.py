@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.registry import Event, Field
 from tidemark.operators import alerts as A
-from tidemark.operators import ingest, intervals, series, sets
-from tidemark.operators.activity import share
+from tidemark.operators import ingest, sets
+from tidemark.plans import metrics
 from tidemark.plans.base import Registry
 from tidemark.sources import tables as T
 
@@ -215,39 +214,34 @@ def dq_report(spark, sf):
     return out
 
 
-def metric_values(spark, sf):
-    """(metric, period, value, prev, n) by week, in per cent where the rules are."""
-    ev = T.events(spark, sf)
-    held = T.of(ev, "purchase").groupBy(F.col("week").alias("period")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    held = held.withColumn("n", F.row_number().over(W.orderBy("period")).cast("long")).withColumn("metric", F.lit("sessions_week"))
-    negative = T.of(ev, "error", "click").groupBy(F.col("week").alias("period")).agg((F.avg((F.col("event") == "error").cast("int")) * 100).alias("value"), F.count(F.lit(1)).alias("n")).withColumn("metric", F.lit("negative_share"))
-    unfinished = T.of(ev, "purchase").groupBy(F.col("week").alias("period")).agg((F.avg((F.col("k") < 80).cast("int")) * 100).alias("value"), F.count("k").alias("n")).withColumn("metric", F.lit("unfinished_share"))
-    tickets = T.of(ev, "error").where("k < 1").groupBy(F.col("week").alias("period")).agg(F.count(F.lit(1)).cast("double").alias("value"), F.count(F.lit(1)).alias("n")).withColumn("metric", F.lit("privacy_tickets"))
-    cols = ["metric", "period", "value", "n"]
-    out = held.select(cols).unionByName(negative.select(cols)).unionByName(unfinished.select(cols)).unionByName(tickets.select(cols))
-    return out.withColumn("prev", F.lag("value").over(W.partitionBy("metric").orderBy("period")))
-
-
-_VALUES = """
-WITH h AS (SELECT 'sessions_week' AS metric, week AS period, count(*)::DOUBLE AS value, row_number() OVER (ORDER BY week) AS n FROM ev WHERE event = 'purchase' GROUP BY week),
-u AS (SELECT * FROM h UNION ALL SELECT 'negative_share', week, avg((event = 'error')::INT) * 100, count(*) FROM ev WHERE event IN ('error', 'click') GROUP BY week
-  UNION ALL SELECT 'unfinished_share', week, avg((k < 80)::INT) * 100, count(k) FROM ev WHERE event = 'purchase' GROUP BY week UNION ALL SELECT 'privacy_tickets', week, count(*)::DOUBLE, count(*) FROM ev WHERE event = 'error' AND k < 1 GROUP BY week),
-v AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY period) AS prev FROM u),
+# The catalogue once more, typed out on its own, so that a wrong threshold in operators.alerts shows.
+_RULE_ROWS = """
+('M01', 'renewal_success', 'below', 90, 20, 'P0'), ('M02', 'renewal_success', 'drop_pp', 10, 20, 'P0'), ('M03', 'first_payment_success', 'drop_pp', 15, 20, 'P0'), ('M04', 'trial_conversion', 'below', 10, 30, 'P0'),
+('M05', 'trial_conversion_two_in_band', 'at_least', 1, 30, 'P1'), ('M06', 'mrr', 'drop_abs', 0, 30, 'P0'), ('M07', 'account_churn', 'above', 8, 30, 'P1'), ('M08', 'involuntary_churn', 'above', 25, 10, 'P1'),
+('M09', 'arpu', 'below', 1000, 30, 'P1'), ('M10', 'ltv_cac', 'below', 2.9, NULL, 'P1'), ('M11', 'refunds_week', 'above', 3, NULL, 'P1'),
+('P01', 'sessions_week', 'drop_pct', 20, 4, 'P0'), ('P02', 'sessions_stalled_3w', 'at_least', 1, 6, 'P1'), ('P03', 'activation', 'drop_pp', 15, 30, 'P1'), ('P04', 'note_coverage', 'drop_pp', 15, 50, 'P1'),
+('P05', 'wau_mau', 'below', 50, 50, 'P1'), ('P06', 'retention_d1', 'drop_pp', 10, 100, 'P1'), ('P07', 'retention_d7', 'drop_pp', 7, 100, 'P1'), ('P08', 'unfinished_share', 'above', 40, 100, 'P2'),
+('P09', 'installs_week', 'drop_pct', 30, 4, 'P2'), ('P10', 'cancelled_share', 'rise_pp', 10, 100, 'P2'),
+('R01', 'uptime', 'below', 99, NULL, 'P0'), ('R02', 'p95_to_norm', 'above', 2, 1000, 'P1'), ('R03', 'crash_free_sessions', 'below', 99, 500, 'P0'), ('R04', 'crash_free_users', 'drop_pp', 1, 500, 'P1'),
+('R05', 'calendar_sync_errors', 'above', 5, 100, 'P1'), ('R06', 'undelivered_reminders', 'above', 3, 100, 'P0'),
+('T01', 'tickets_per_100', 'rise_factor', 2, 10, 'P1'), ('T02', 'privacy_tickets', 'at_least', 1, 1, 'P0'), ('T03', 'data_incidents', 'at_least', 1, 1, 'P0'), ('T04', 'negative_share', 'above', 20, 10, 'P1'),
+('T05', 'negative_burst_24h', 'at_least', 3, 3, 'P0'), ('T06', 'store_rating', 'below', 4, 20, 'P1'), ('T07', 'store_rating', 'drop_abs', 0.3, 20, 'P1'), ('T08', 'overdue_tickets', 'at_least', 3, 3, 'P1'),
+('T09', 'cancellations_after_release', 'rise_factor', 2, 10, 'P0'),
+('S01', 'silent_days', 'at_least', 3, NULL, 'P1'), ('S02', 'silent_days', 'at_least', 7, NULL, 'P0'), ('S03', 'contradiction_factor', 'above', 2, NULL, 'P1')
 """
-_RULE_ROWS = ", ".join(f"('{r.rule_id}', '{r.metric}', '{r.op}', {r.threshold}::DOUBLE, {'NULL' if r.min_n is None else r.min_n}, '{r.priority}')" for r in A.RULES)
 
 
-@R.query(_VALUES + f"""
-rules(rule_id, metric, op, threshold, min_n, priority) AS (VALUES {_RULE_ROWS}),
+@R.query("WITH " + metrics.VALUES_SQL + f""",
+t(rule_id, metric, op, bound, min_n, priority) AS (VALUES {_RULE_ROWS}), rules AS (SELECT * EXCLUDE (bound), bound::DOUBLE AS threshold FROM t),
 j AS (SELECT r.*, v.period, v.value, v.prev, v.n, CASE op WHEN 'below' THEN value < threshold WHEN 'above' THEN value > threshold WHEN 'at_least' THEN value >= threshold
   WHEN 'drop_pct' THEN (prev - value) / nullif(prev, 0) * 100 > threshold WHEN 'rise_factor' THEN value > prev * threshold WHEN 'drop_pp' THEN prev - value > threshold WHEN 'rise_pp' THEN value - prev > threshold
   WHEN 'drop_abs' THEN CASE WHEN threshold > 0 THEN prev - value >= threshold ELSE value < prev END END AS hit FROM rules r LEFT JOIN v ON r.metric = v.metric)
 SELECT rule_id, metric, period, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'not_checked' WHEN coalesce(hit, false) AND (min_n IS NULL OR n >= min_n) THEN 'breach' WHEN coalesce(hit, false) THEN 'observation' ELSE 'ok' END AS state,
   CASE WHEN value IS NOT NULL AND coalesce(hit, false) AND (min_n IS NULL OR n >= min_n) THEN priority END AS priority FROM j
-""", uses="ev")
+""")
 def alerts(spark, sf):
-    """The whole catalogue over the weekly metrics at hand; rules whose metric is missing say so."""
-    return A.evaluate(A.table(spark), metric_values(spark, sf)).withColumn("value", F.round("value", 6))
+    """The whole catalogue over all metrics that the tables can give, by their own periods; rules whose metric is missing (ratings, data incidents, calendar synchronisation) say so."""
+    return A.evaluate(A.table(spark), metrics.values(spark, sf)).withColumn("value", F.round("value", 6))
 
 
 @R.query("""
