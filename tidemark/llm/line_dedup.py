@@ -2,7 +2,8 @@
 
 A run is a Parquet table bucketed and sorted by a 16-byte line hash. A batch of documents is
 aggregated to one row per line, merge-anti-joined with the runs, and added as a run of its own:
-lines not seen before fix their keeper, known ones add to the tally only. When a level holds `fanout`
+lines not seen before fix their keeper, known ones add to the tally only. As known lines are tallied too, the anti-join
+is an outer merge join that flags what the runs know. When a level holds `fanout`
 runs they are merged into one run of the next level, so a line is rewritten once per level.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
 from tidemark.llm.arrow import small_batches
+from tidemark.llm.columns import extended, plain, spare
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: A key in more than this share of all (line, document) rows is hot; there can be no more of them than its inverse.
@@ -113,16 +115,15 @@ class LineRuns:
         self.levels = [[]]
 
 
-def _cut(schema, min_chars: int):
-    """Of rows that end in an array of key hashes: the text without their lines, the number of lines and of dropped ones."""
-    names = [f.name for f in schema if f.name != "_drop"]
+def _cut(names: list[str], drops: str, min_chars: int):
+    """Of rows with an array of key hashes in column `drops`: the text without their lines, the number of lines and of dropped ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts, total, gone = [], [], []
-                for text, drop in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("_drop").to_pylist(), strict=True):
+                for text, drop in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column(drops).to_pylist(), strict=True):
                     lines = (text or b"").split(b"\n")
                     left = lines
                     if drop:
@@ -146,11 +147,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
 
     Edge cases: a null or empty text is one empty line, and comes back empty. Rows that share a doc_id
     count as one document and keep or lose lines together. Rows without doc_id neither count nor lose
-    lines. An empty table gives an empty table. Input columns named n_lines, n_dropped or _drop are replaced.
+    lines. An empty table gives an empty table. Input columns named n_lines or n_dropped are replaced; all others, of whatever name, come along.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("n_lines", "n_dropped", "_drop")
+    docs, restored = plain(docs.drop("n_lines", "n_dropped"))
     low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
     low, high = (0, 0) if low is None else (low, high)
     width = max(1, -(-(high - low + 1) // batches))
@@ -161,10 +162,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     keys = spark.read.schema(sliced.schema).parquet(path)
 
     runs = LineRuns(spark, scratch.folder(spark, "line-runs"), fanout)
-    for i in range(batches):
-        runs.add(keys.where(F.col("slice") == i))
-    heavy, _ = scratch.stored(runs.lines().where(F.col("n_docs") >= min_docs), "line-heavy")
-    runs.close()
+    try:
+        for i in range(batches):
+            runs.add(keys.where(F.col("slice") == i))
+        heavy, _ = scratch.stored(runs.lines().where(F.col("n_docs") >= min_docs), "line-heavy")
+    finally:  # runs are tables of the session's catalogue, which must not outlive a failure
+        runs.close()
 
     # A hot line would send all its documents to one task: hot ones, of which there can be 1/HOT_SHARE, are broadcast.
     total = keys.count()
@@ -172,7 +175,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     cold = heavy.where(F.col("n_docs") <= total * HOT_SHARE).select("key", "keeper")
     pairs = keys.select("key", "doc_id")
     hits = pairs.join(F.broadcast(hot), "key").unionByName(pairs.join(cold, "key")).where("doc_id <> keeper")
-    drops = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_drop"))
-    rows = docs.withColumn("text", F.col("text").cast("string")).join(drops, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_drop")
-    return rows.mapInArrow(_cut(rows.schema, min_chars), f"{out}, n_lines long, n_dropped long")
+    doc, drop = spare(docs, "_doc", "_drop")
+    drops = hits.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("key").alias(drop))
+    rows = docs.withColumn("text", F.col("text").cast("string")).join(drops, F.col("doc_id").cast("long") == F.col(doc), "left").drop(doc)
+    kept = rows.drop(drop)
+    return restored(rows.mapInArrow(_cut(kept.columns, drop, min_chars), extended(kept.schema, "n_lines long, n_dropped long")))
