@@ -2,7 +2,8 @@
 
 Every text version is a blob named by its SHA-256. The ledger holds which (blob, rule version) pairs
 were scanned and what was found; a scan reads only pairs the ledger lacks, appends them, and joins all
-findings back to every row that holds the blob.
+findings back to every row that holds the blob. Texts are shuffled only where a blob may occur twice or be in the
+ledger; all others are scanned where they are read.
 """
 
 from __future__ import annotations
@@ -14,32 +15,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.llm import scratch
+from tidemark.llm.columns import spare
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost non-overlapping matches of pattern, of which those with `group` of at least min_chars count. Every match holds `needle`."""
+    """Leftmost non-overlapping matches of pattern, of which those with `group` of at least min_chars count.
+
+    Every match holds one of `needles`, upper and lower case alike if `fold`; without needles any text may match.
+    """
 
     kind: str
     version: int
     pattern: str
     group: int
     min_chars: int
-    needle: str = ""
+    needles: tuple[str, ...] = ()
+    fold: bool = False
 
+    def may_match(self, text: Column, lower: Column) -> Column:
+        """A plain search for the needles, far cheaper than the pattern; then the pattern."""
+        found = F.lit(not self.needles)
+        for needle in self.needles:
+            found = found | F.contains(lower if self.fold else text, F.lit(needle))
+        return found & F.rlike(text, F.lit(self.pattern))
 
-# The three base kinds as the contract words them, in its order.
+
+# The three base kinds as the contract words them, in its order. Runs of one class need no shorter matches than count: a run
+# that is too short holds no other match.
 BASE = (
-    Rule("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18, "AKIA"),
-    Rule("hex", 1, r"[0-9a-f]+", 0, 16),
+    Rule("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, ("passw", "secret", "token", "api"), True),
+    Rule("access", 1, r"AKIA[A-Z0-9]{14,}", 0, 18, ("AKIA",)),
+    Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
 )
-# Public token formats that the base kinds do not name.
+# Public token formats that the base kinds do not name. The head of a jwt is bounded, or runs of "eyJ" would cost their length squared.
 EXTRA = (
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-----BEGIN "),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1, "eyJ"),
-    Rule("forge", 1, r"gh[opsu]_[A-Za-z0-9]+", 0, 40, "gh"),
-    Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]+", 0, 20, "xox"),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("-----BEGIN ",)),
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{1,1000}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1, (".eyJ",)),
+    Rule("forge", 1, r"gh[opsu]_[A-Za-z0-9]+", 0, 40, ("gho_", "ghp_", "ghs_", "ghu_")),
+    Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]+", 0, 20, ("xox",)),
 )
 RULES = BASE + EXTRA
 _FOUND = "sha string, kind string, version int, start long, stop long"
@@ -47,33 +61,49 @@ _SEEN = "sha string, kind string, version int"
 
 
 def _spans(i: int, rule: Rule) -> Column:
-    """Of a text with matches m<i>: for each, the length of the piece before it, its own, and whether it is long enough."""
+    """Of a text: for each match of a rule, the length of the piece before it, its own, and whether it is long enough."""
 
     def one(gap: Column, match: Column) -> Column:
         judged = F.regexp_extract(match, rule.pattern, rule.group) if rule.group else match
         return F.struct(F.lit(i).alias("rule"), F.length(gap).cast("long").alias("gap"), F.length(match).cast("long").alias("size"), (F.length(judged) >= rule.min_chars).alias("ok"))
 
-    said = F.col(f"m{i}")
-    return F.when(F.size(said) > 0, F.zip_with(F.slice(F.split("text", rule.pattern, -1), F.lit(1), F.size(said)), said, one))
+    said = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))
+    return F.zip_with(F.slice(F.split("text", rule.pattern, -1), F.lit(1), F.size(said)), said, one)
 
 
 def _scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings of (sha, text, todo): the rules named in todo, on whole texts, in code points.
 
-    Matches and the pieces between them alternate, so a running sum of their lengths gives positions.
+    Most texts match no rule: they go by plain tests, and only of the rest are matches listed. Matches and the pieces between them
+    alternate, so a running sum of their lengths gives positions.
     """
+    text, lower = F.col("text"), F.lower("text")
+    wanted = [F.array_contains("todo", F.lit(i)) & r.may_match(text, lower) for i, r in enumerate(rules)]
+    hits = blobs.select("sha", "text", F.filter(F.array(*[F.when(w, F.lit(i)) for i, w in enumerate(wanted)]), lambda i: i.isNotNull()).alias("which"))
+    # Outer, as before an inner explode the optimiser puts a filter on the array's size, and runs all patterns a second time for it.
+    hits = hits.select("sha", "text", F.explode_outer("which").alias("rule")).where("rule is not null")
+    found = F.lit(None)
     for i, r in enumerate(rules):
-        wanted = F.array_contains("todo", F.lit(i)) & (F.contains("text", F.lit(r.needle)) if r.needle else F.lit(True))  # a plain search first
-        blobs = blobs.withColumn(f"m{i}", F.when(wanted, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))))
-    parts = [_spans(i, r) for i, r in enumerate(rules)]
-    hits = blobs.where(F.greatest(*[F.size(f"m{i}") for i in range(len(rules))]) > 0)
-    hits = hits.select("sha", F.explode(F.array_compact(F.array(*parts))).alias("matches")).select("sha", F.posexplode("matches").alias("pos", "m")).select("sha", "pos", "m.*")
+        found = F.when(F.col("rule") == i, _spans(i, r)).otherwise(found)
+    hits = hits.select("sha", F.posexplode_outer(found).alias("pos", "m")).where("pos is not null").select("sha", "pos", "m.*")
     upto = W.partitionBy("sha", "rule").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     hits = hits.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(upto)).where("ok")
     kind, version = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.version) for r in rules])
     return hits.select("sha", F.get(kind, F.col("rule")).alias("kind"), F.get(version, F.col("rule")).alias("version"), (F.col("stop") - F.col("size")).alias("start"), "stop")
 
 
+def _slot(sha: str) -> Column:
+    """One of 2^24 numbers for a digest."""
+    return F.conv(F.substring(sha, 1, 6), 16, 10).cast("long")
+
+
+def _marked(rows: DataFrame, shas: DataFrame) -> DataFrame:
+    """rows of (sha, ...) plus `perhaps`: false where sha is surely none of shas. Whatever the number of shas, the marks are 2^18 rows of 64 bits at most, which are broadcast."""
+    marks = shas.select(_slot("sha").alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(_slot % 64))")).alias("_bits"))
+    told = rows.withColumn("_slot", _slot("sha")).join(F.broadcast(marks), F.floor(F.col("_slot") / 64) == F.col("_word"), "left")
+    return told.withColumn("perhaps", F.coalesce(F.expr("shiftright(_bits, int(_slot % 64)) & 1L = 1L"), F.lit(False))).drop("_slot", "_word", "_bits")
+
+
 class BlobLedger:
     """Two Parquet folders under path: scanned (blob, kind, version) triples and findings. Both are only appended to.
 
@@ -96,39 +126,50 @@ class BlobLedger:
 
     def scan(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
         """Scan what docs holds and the ledger lacks."""
-        texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        blobs = texts.select(F.sha2("text", 256).alias("sha"), "text").dropDuplicates(["sha"])
-        every = F.array(*map(F.lit, range(len(rules))))
-        if scratch.exists(self.spark, f"{self.path}/scanned"):
-            number = F.coalesce(*[F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)])
-            seen = self.scanned().select("sha", number.alias("rule")).where("rule is not null").groupBy("sha").agg(F.collect_set("rule").alias("seen"))
-            blobs = blobs.join(seen, "sha", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.expr("array()").cast("array<int>")))).drop("seen")
-        else:
-            blobs = blobs.withColumn("todo", every)
-        blobs = blobs.where(F.size("todo") > 0)
-        _scan(blobs, rules).write.mode("append").parquet(f"{self.path}/findings")
+        texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.sha2("text", 256).alias("sha"), "text")
+        shas, path = scratch.stored(texts.groupBy("sha").agg(F.count(F.lit(1)).alias("n")), "blobs")
+        number = F.coalesce(*[F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)])
+        seen = self.scanned().select("sha", number.alias("rule")).where("rule is not null").groupBy("sha").agg(F.collect_set("rule").alias("seen"))
+        every, none = F.array(*map(F.lit, range(len(rules)))), F.expr("cast(array() as array<int>)")
+
+        def unseen(blobs: DataFrame) -> DataFrame:
+            return blobs.join(seen, "sha", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", none))).drop("seen").where(F.size("todo") > 0)
+
+        # A text whose blob surely occurs once here and is new to the ledger is scanned where it is read; only others are shuffled to meet their like.
+        told = _marked(texts, shas.where("n > 1").select("sha").unionByName(seen.select("sha")))
+        once = told.where(~F.col("perhaps")).select("sha", "text", every.alias("todo"))
+        again = unseen(told.where("perhaps").select("sha", "text").dropDuplicates(["sha"]))
+        _scan(once.unionByName(again.select("sha", "text", "todo")), rules).write.mode("append").parquet(f"{self.path}/findings")
         kind, version = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.version) for r in rules])
-        blobs.select("sha", F.explode("todo").alias("i")).select("sha", F.get(kind, F.col("i")).alias("kind"), F.get(version, F.col("i")).alias("version")).write.mode("append").parquet(f"{self.path}/scanned")
+        fresh = unseen(shas.select("sha")).select("sha", F.explode("todo").alias("i"))
+        fresh.select("sha", F.get(kind, F.col("i")).alias("kind"), F.get(version, F.col("i")).alias("version")).write.mode("append").parquet(f"{self.path}/scanned")
+        scratch.drop(self.spark, path)
 
     def join_back(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """docs plus secrets: array of (start, rank, kind, stop) of the given rule versions, by start and then rule order."""
+        docs = docs.drop("secrets")
+        own, sha = spare(docs, "_own", "_sha")
         rank = F.coalesce(*[F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)])
-        per_blob = self.findings().withColumn("rank", rank).where("rank is not null").groupBy(F.col("sha").alias("_sha")).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "stop"))).alias("secrets"))
+        per_blob = self.findings().withColumn("rank", rank).where("rank is not null").groupBy(F.col("sha").alias(sha)).agg(F.sort_array(F.collect_list(F.struct("start", "rank", "kind", "stop"))).alias("secrets"))
         per_blob, _ = scratch.stored(per_blob, "blob-findings")  # a table of its own, so that the join can split a blob that many rows hold
-        rows = docs.drop("secrets", "_own", "_sha").withColumn("_own", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+        rows = docs.withColumn(own, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
         none = F.expr("cast(array() as array<struct<start:bigint,rank:int,kind:string,stop:bigint>>)")
-        return rows.join(per_blob, F.col("_own") == F.col("_sha"), "left").withColumn("secrets", F.coalesce("secrets", none)).drop("_own", "_sha")
+        return rows.join(per_blob, F.col(own) == F.col(sha), "left").withColumn("secrets", F.coalesce("secrets", none)).drop(own, sha)
 
 
-def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES, versions: int = 1) -> DataFrame:
     """docs plus a `secrets` column; unseen (blob, rule version) pairs are scanned, the rest comes from the ledger.
 
+    docs go to the ledger in `versions` parts by doc_id, one after another, as commits of a history would; a later part scans
+    only what earlier ones did not hold. All rows are answered, whatever the number of parts.
+
     Edge cases: null text is the empty text, which has no secrets. Equal texts share one blob, whatever
     their ids; rows with null or repeated ids each get the findings of their text. An empty table gives an
-    empty table. Without a ledger a new one is made in the shared scratch folder. An input column `secrets` is replaced.
+    empty table. Without a ledger a new one is made in the shared scratch folder. An input column `secrets` is replaced; all others, of whatever name, come along.
     """
     ledger = ledger or BlobLedger(docs.sparkSession, scratch.folder(docs.sparkSession, "blob-ledger"))
-    ledger.scan(docs, rules)
+    for i in range(versions):
+        ledger.scan(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(versions)) == i) if versions > 1 else docs, rules)
     return ledger.join_back(docs, rules)
 
 
