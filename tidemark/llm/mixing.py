@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
+from tidemark.llm.columns import quoted, spare
 
 #: Documents in a bucket of the prefix sum; buckets of one source are of even size, as they are cut by a hash.
 BUCKET_ROWS = 1_000
@@ -59,23 +60,23 @@ def due(demand: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, demand).otherwise(2 * demand / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * demand)))
 
 
-def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
-    """One row per document: its columns, size, source_size, target, taken and positions, in no order yet.
+def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, tie: str | None = None) -> DataFrame:
+    """One row per document: its columns, size, source_size, target, taken and positions, in no order yet; and, if named, a column `tie` with a hash of what it is ordered by.
 
-    A source's documents stand in the order of md5(doc_id); their words fill [0, source_size), and
+    A source's documents stand in the order of md5(doc_id), those without doc_id in that of md5(text); their words fill [0, source_size), and
     each further pass over the source follows on. A copy is taken while it begins before the target.
     The copy at offset x is due at the inverse demand of x / target. taken is size times the copies
     taken, so it is at most `most` times size, and a source's sum misses its target by less than a document.
 
     Edge cases: null text has size 0 and null source is a source of its own. Documents of size 0 are
-    taken while their offset lies before the target, adding nothing. Rows with equal doc_id stand by
-    size; rows that agree in both are interchangeable. Input columns that carry a result's name are replaced.
+    taken while their offset lies before the target, adding nothing. Rows with equal doc_id stand together, by
+    size; rows that agree in both are interchangeable. Input columns that carry a result's name are replaced; all others, of whatever name, come along.
     """
     own = ("size", "source_size", "target", "taken", "positions")
     docs = docs.drop(*own)
     largest = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     buckets = max(1, -(-largest // BUCKET_ROWS))
-    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
+    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))  # a key for all rows without doc_id would be one bucket
     bucket = F.floor(F.conv(F.substring(F.concat(F.col("_md5"), F.lit("0000000")), 1, 7), 16, 10).cast("long") * buckets / 268435456).cast("int")
 
     # Sums by source and bucket, made before the shuffle and written once: sources and the offsets of buckets both follow from them.
@@ -83,7 +84,7 @@ def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[i
     summed, _ = scratch.stored(sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")), "mix-sums")
     sizes = summed.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     plan = targets(sizes, weights, share, most).withColumn("slope", schedule(F.col("rank"), F.count(F.lit(1)).over(W.partitionBy())))
-    kept = docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns], "source", "doc_id", words(F.col("text").cast("string")).alias("size")).withColumn("_md5", key)
+    kept = docs.select(*[F.col(quoted(c)).alias(f"_in_{c}") for c in docs.columns], "source", "doc_id", words(F.col("text").cast("string")).alias("size"), key.alias("_md5"))
     kept = kept.withColumn("_bucket", bucket)
     heads = summed.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("_sum").over(W.partitionBy("source").orderBy("_bucket")) - F.col("_sum")).alias("_head"))
     rows = kept.join(heads, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
@@ -95,18 +96,19 @@ def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[i
     rows = rows.withColumn("_begins", F.filter(begins, lambda x: x < F.col("target")))
     rows = rows.withColumn("positions", F.transform("_begins", lambda x: due(x / F.col("target"), F.col("slope"))))
     out = rows.withColumn("taken", F.col("size") * F.size("_begins"))
-    return out.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns], *own)
+    return out.select(*[F.col(quoted(f"_in_{c}")).alias(c) for c in docs.columns], *own, *([F.xxhash64("_md5").alias(tie)] if tie else []))
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """placed(), range-sorted by first position; documents that are not taken come last."""
-    rows = placed(docs, **how).withColumns({"_first": F.get("positions", F.lit(0)), "_tie": F.xxhash64("doc_id")})
-    order = F.col("_first").asc_nulls_last(), F.col("_tie").asc()  # by hash after that, or all that are not taken would share a task
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("_first", "_tie")
+    first, tie = spare(docs, "_first", "_tie")
+    rows = placed(docs, tie=tie, **how).withColumn(first, F.get("positions", F.lit(0)))
+    order = F.col(first).asc_nulls_last(), F.col(tie).asc()  # by hash after that, or all that are not taken would share a task
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop(first, tie)
 
 
 def training_order(docs: DataFrame, **how) -> DataFrame:
     """A row for each copy that the mix takes, with its `position`, range-sorted by it. Texts are shuffled twice: by bucket and by position."""
     rows = placed(docs.drop("position"), **how)
-    copies = rows.select(*[c for c in rows.columns if c != "positions"], F.explode("positions").alias("position"))
+    copies = rows.select(*[quoted(c) for c in rows.columns if c != "positions"], F.explode("positions").alias("position"))
     return copies.repartitionByRange("position").sortWithinPartitions("position")

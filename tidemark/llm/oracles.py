@@ -48,7 +48,8 @@ OP2 = _op2()
 #: The targets of the sources and, for each document, the words that begin before its source's target.
 MIX = rf"""
 sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_WORDS})), 0) AS BIGINT) AS size FROM DOCS
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_WORDS})), 0) AS BIGINT) AS size,
+         coalesce(md5(CAST(doc_id AS VARCHAR)), md5(coalesce(text, ''))) AS key FROM DOCS
 ), ranked AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rank, count(*) OVER () AS sources FROM sized GROUP BY source
 ), weighed AS (
@@ -64,7 +65,7 @@ sized AS (
          least(CAST(source_size * 2 AS DOUBLE), CAST(l.num * weight AS DOUBLE) / CAST(l.den AS DOUBLE)) AS target
   FROM cut LEFT JOIN lev l ON true
 ), placed AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS begins FROM sized
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS begins FROM sized
 ), mixed AS (
   SELECT p.doc_id, p.source, p.size, q.source_size, q.target, q.slope, p.begins,
          CASE WHEN begins < target THEN 1 ELSE 0 END + CASE WHEN begins + q.source_size < target THEN 1 ELSE 0 END AS copies,
