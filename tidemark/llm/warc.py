@@ -1,14 +1,15 @@
 """WARC archives: writing with Spark's own writer, and reading back with segment reassembly.
 
-An archive is gzipped text that Spark writes, so any store that Spark reaches will do; a file has the records of one task. The
-version line of a record is the record separator. Payloads go out in chunked transfer framing; a chunk
-ends inside every version line in a payload, so the separator is never part of one. Blocks above `segment_bytes` become a
+An archive is gzipped text that Spark writes, so any store that Spark reaches will do; a file has the records of one task.
+Payloads go out in chunked transfer framing; a chunk ends inside every version line in a payload. Blocks above SEGMENT become a
 first record and continuation records; reading groups them by origin identifier, orders them by segment number, checks the total
-length, and decodes the framing.
+length, and decodes the framing. Archives of other writers are read too, WARC/1.0 or 1.1, gzipped as a whole or by record: Spark
+cuts a file at version marks, and Content-Length says how many of the pieces belong to a record.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import urllib.parse
@@ -25,6 +26,8 @@ from tidemark.llm.arrow import small_batches
 
 VERSION = b"WARC/1.1"
 SEPARATOR = "WARC/1.1\r\n"
+#: Where Spark's reader cuts files: before the minor version of any record, and wherever else a payload holds these bytes.
+MARK = "WARC/1."
 #: Equal payloads below this are each written in full.
 REVISIT_BYTES = 1000
 CHUNK, SEGMENT = 32 << 10, 256 << 10
@@ -127,8 +130,10 @@ def write_warc(pages: DataFrame, path: str) -> None:
     visits = digests.where("large").join(twice.select(F.col("sha").alias("_sha"), "top"), (F.col("sha") == F.col("_sha")) & ((F.col("page_id") < F.col("top")) | (F.col("page_id").isNull() & F.col("top").isNotNull())))
     visits = visits.select(F.col("page_id").alias("_page"), "_sha", "top").distinct()
     again = marked.where("_again").join(visits, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left")
-    again = again.withColumn("copy", F.row_number().over(W.partitionBy("page_id", "sha").orderBy("url")))
-    once = marked.where("not _again").withColumn("copy", F.lit(1)).withColumn("top", F.lit(None).cast("long"))
+    # Rows of one page and payload get different record ids. Nothing refers to a record without page_id, of which there may be many: those need no order.
+    named = again.where("page_id is not null").withColumn("copy", F.row_number().over(W.partitionBy("page_id", "sha").orderBy("url")).cast("long"))
+    again = named.unionByName(again.where("page_id is null").withColumn("copy", F.monotonically_increasing_id() + 2))
+    once = marked.where("not _again").withColumn("copy", F.lit(1).cast("long")).withColumn("top", F.lit(None).cast("long"))
     cols = ["page_id", "url", "html", "sha", "copy", "top"]
     rows = once.select(cols).unionByName(again.select(cols))
     rows = rows.select("page_id", "url", F.when(F.col("top").isNull(), F.col("html")).alias("html"), F.sha1("html").alias("sha1"), "sha", "copy", "top")
@@ -145,14 +150,63 @@ def write_warc(pages: DataFrame, path: str) -> None:
     rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
-def _parse(raw: bytes) -> tuple[dict[bytes, bytes], bytes, bool] | None:
-    """Headers by lower-case name, the block by Content-Length, and whether it is whole."""
-    head, found, body = raw.partition(b"\r\n\r\n")
-    if not found:
-        return None
-    headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in head.split(b"\r\n"))}
-    n = int(headers.get(b"content-length", b"0"))
-    return headers, body[:n], len(body) >= n
+def _starts(piece: bytes) -> bool:
+    """A piece that begins a record: the minor version, a line end, and headers that name a record's type or identifier."""
+    head = piece[: piece.find(b"\r\n\r\n") + 1]
+    return re.match(rb"\d\r\n", piece) is not None and re.search(rb"(?i)\nwarc-(record-id|type)[ \t]*:", head) is not None
+
+
+class Records:
+    """Puts the pieces of one file between marks together to records: (headers by lower-case name, block, whether it is whole).
+
+    Content-Length tells where a record ends: what looks like a version line before that belongs to the block, and the mark is put back.
+    Where lengths and pieces disagree, the record is damaged and ends before the next piece that begins one. It holds one record at a time.
+    """
+
+    def __init__(self) -> None:
+        self.pieces: list[bytes] = []
+        self.size, self.end = 0, None
+
+    def _take(self, piece: bytes) -> None:
+        self.size += len(piece) + (len(MARK) if self.pieces else 0)
+        self.pieces.append(piece)
+        if self.end is None and (said := self._headers(raw := MARK.encode().join(self.pieces))) is not None:
+            self.end = raw.index(b"\r\n\r\n") + 4 + said[1]
+
+    @staticmethod
+    def _headers(raw: bytes) -> tuple[dict[bytes, bytes], int] | None:
+        """Headers and the length of the block, once they are complete."""
+        head, found, _ = raw.partition(b"\r\n\r\n")
+        if not found:
+            return None
+        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(b":") for line in head.split(b"\r\n")[1:])}
+        said = headers.get(b"content-length", b"")
+        return headers, int(said) if said.isdigit() else 0
+
+    def _close(self) -> Iterator[tuple[dict[bytes, bytes], bytes, bool]]:
+        pieces, end = self.pieces, self.end
+        self.pieces, self.size, self.end = [], 0, None
+        raw = MARK.encode().join(pieces)
+        agrees = end is not None and len(raw) >= end and not raw[end:].strip(b"\r\n")
+        cut = len(pieces) if agrees else next((i for i in range(1, len(pieces)) if _starts(pieces[i])), len(pieces))
+        if cut < len(pieces):
+            raw = MARK.encode().join(pieces[:cut])
+        if (said := self._headers(raw)) is not None:
+            block = raw.partition(b"\r\n\r\n")[2]
+            yield said[0], block[: said[1]], len(block) >= said[1]
+        for piece in pieces[cut:]:
+            yield from self.add(piece)
+
+    def add(self, piece: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes, bool]]:
+        while self.pieces and (_starts(piece) if self.end is None else self.size >= self.end):
+            yield from self._close()
+        if self.pieces or _starts(piece) or re.match(rb"\d\r\n", piece) and b"\r\n\r\n" not in piece:  # headers may hold a mark too
+            self._take(piece)
+
+    def done(self) -> Iterator[tuple[dict[bytes, bytes], bytes, bool]]:
+        """What is held at the end of a file."""
+        while self.pieces:
+            yield from self._close()
 
 
 def _payload(block: bytes) -> bytes:
@@ -174,30 +228,54 @@ def _decoded(block: bytes, keep: bool) -> tuple[int | None, str | None, bool, by
     return len(payload), hashlib.sha1(payload).hexdigest(), True, payload if keep else None
 
 
+def _row(headers: dict[bytes, bytes], block: bytes, whole: bool, keep: bool) -> list:
+    get = lambda k: headers[k].decode("utf-8", "replace") if headers.get(k) else None
+    number = lambda k: int(v) if (v := get(k)) and v.lstrip("-").isdigit() else None
+    kind, segment, digest = get(b"warc-type"), number(b"warc-segment-number"), get(b"warc-payload-digest")
+    row = [get(b"warc-record-id"), kind, number(b"warc-page-id"), get(b"warc-target-uri"), _hex_sha1(digest), get(b"warc-refers-to"), segment]
+    row += [get(b"warc-segment-origin-id") or (row[0] if segment else None), number(b"warc-segment-total-length")]
+    if segment:
+        return [*row, None, None, whole, block]
+    if kind == "response":
+        n, own, fine, payload = _decoded(block, keep)
+        return [*row, n, own, whole and fine, payload]
+    return [*row, None, None, whole, None]
+
+
+def _hex_sha1(digest: str | None) -> str | None:
+    """A digest header as hexadecimal SHA-1; other writers give it in base 32."""
+    said = (digest or "").removeprefix("sha1:")
+    if len(said) == 32:
+        try:
+            return base64.b32decode(said, casefold=True).hex()
+        except ValueError:
+            pass
+    return said.lower() or None
+
+
 def _read_records(keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held, rows, size = None, Records(), [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = []
-                for raw in batch.slice(at, 256).column(0).cast(pa.binary()).to_pylist():
-                    if (parsed := _parse(raw or b"")) is None:
-                        continue
-                    headers, block, whole = parsed
-                    get = lambda k, h=headers: h[k].decode("utf-8", "replace") if h.get(k) else None
-                    kind, segment, total = get(b"warc-type"), get(b"warc-segment-number"), get(b"warc-segment-total-length")
-                    digest, page = get(b"warc-payload-digest"), get(b"warc-page-id")
-                    row = [get(b"warc-record-id"), kind, int(page) if page else None, get(b"warc-target-uri"), digest and digest.removeprefix("sha1:"), get(b"warc-refers-to"), segment and int(segment)]
-                    row += [get(b"warc-segment-origin-id") or (row[0] if segment else None), total and int(total)]
-                    if segment:
-                        row += [None, None, whole, block]
-                    elif kind == "response":
-                        n, own, fine, payload = _decoded(block, keep)
-                        row += [n, own, whole and fine, payload]
-                    else:
-                        row += [None, None, whole, None]
-                    rows.append(row)
-                cols = zip(*rows, strict=True) if rows else [[]] * len(_NAMES)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, _KINDS, strict=True)], _NAMES)
+                part = batch.slice(at, 256)
+                for piece, path in zip(part.column(0).cast(pa.binary()).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    found = []
+                    if path != file:  # files follow each other in a task
+                        found, file = list(held.done()), path
+                    for r in (*found, *held.add(piece)):
+                        rows.append(_row(*r, keep))
+                        size += len(r[1])
+                    if len(rows) >= 256 or size >= 8 << 20:
+                        yield made()
+                        rows, size = [], 0
+        rows += [_row(*r, keep) for r in held.done()]
+        if rows:
+            yield made()
 
     return run
 
@@ -222,17 +300,21 @@ def read_warc(spark: SparkSession, path: str, keep_payload: bool = False) -> Dat
     """(record_id, record_type, page_id, url, payload_bytes, payload_digest, refers_to, whole[, payload]) of the archives under path.
 
     A revisit has the size of the response that it refers to, read back, and the digest in its header. `whole` is false
-    where a length, a segment, the framing or a digest does not agree; damaged records are kept and named, not dropped.
+    where a length, a segment, the framing or a digest does not agree; damaged records are kept and named, not dropped. Records of other
+    kinds (warcinfo, request) are not answered. A response without a digest header is whole if its length is right.
+
+    A gzipped archive is one task, as gzip cannot be entered midway. An archive that is not compressed is read in splits: a record
+    whose payload holds a version mark right where a split begins is named as damaged.
     """
     small_batches(spark)
-    lines = spark.read.option("lineSep", SEPARATOR).text(path)
-    got, _ = scratch.stored(lines.where("length(value) > 0").mapInArrow(_read_records(keep_payload), _OUT), "warc-records")
+    pieces = spark.read.option("lineSep", MARK).text(path).select("value", "_metadata.file_path")
+    got, _ = scratch.stored(pieces.mapInArrow(_read_records(keep_payload), _OUT), "warc-records")
     parts = got.where("segment is not null").groupBy("origin").agg(F.collect_list(F.struct("segment", "total", "block", "whole", "record_id", "record_type", "page_id", "url", "said_digest")).alias("parts"))
     joined = got.where("segment is null").unionByName(parts.mapInArrow(_assemble(keep_payload), _OUT))
     answers = joined.where("record_type = 'response'")
     targets = answers.select(F.col("record_id").alias("_id"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
     visits = got.where("record_type = 'revisit'").join(targets, F.col("refers_to_id") == F.col("_id"), "left")
     visits = visits.withColumn("payload_bytes", F.col("_bytes")).withColumn("payload_digest", F.col("said_digest")).withColumn("whole", F.col("whole") & F.coalesce(F.col("_digest") == F.col("said_digest"), F.lit(False)))
-    both = answers.withColumn("_page", F.lit(None).cast("long")).withColumn("whole", F.col("whole") & F.coalesce(F.col("payload_digest") == F.col("said_digest"), F.lit(False))).unionByName(visits.drop("_id", "_bytes", "_digest"))
+    both = answers.withColumn("_page", F.lit(None).cast("long")).withColumn("whole", F.col("whole") & F.coalesce(F.col("payload_digest") == F.col("said_digest"), F.col("said_digest").isNull() & F.col("payload_digest").isNotNull())).unionByName(visits.drop("_id", "_bytes", "_digest"))
     out = ["record_id", "record_type", "page_id", "url", "payload_bytes", "payload_digest", F.col("_page").alias("refers_to"), "whole"]
     return both.select(*out, *([F.col("block").alias("payload")] if keep_payload else []))
