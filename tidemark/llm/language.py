@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrow import small_batches
+from tidemark.llm.columns import extended, plain
 
 SLOTS = 1 << 16
 #: Bytes that one numpy pass looks at; longer texts go through it in overlapping pieces.
@@ -111,10 +112,15 @@ class Model:
         return best, score, (wrong > radius) | (order[:, 1] - order[:, 0] < 1)
 
 
-def fit(docs: DataFrame) -> Model:
-    """Learn from every row that has a language and text and whose crc32(doc_id) mod 4 is not 2. Only (languages x 65,536) counts reach the driver."""
+def fit(docs: DataFrame, max_langs: int = 256) -> Model:
+    """Learn from every row that has a language and text and whose crc32(doc_id) mod 4 is not 2. Only (languages x 65,536) counts reach the driver.
+
+    Classes are the max_langs most frequent languages, ties by name: a bound of the classifier, which keeps a lang column full of noise from filling a task.
+    """
     rows = docs.where((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    got = count_trigrams(rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))).toPandas()
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    got = count_trigrams(rows.where(F.col("lang").isin(known))).toPandas()
     langs = sorted(got["lang"].unique())
     counts = np.zeros((len(langs), SLOTS))
     counts[pd.Categorical(got["lang"], langs).codes, got["slot"].to_numpy(int)] = got["n"]
@@ -152,13 +158,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     Edge cases: a null text or one without a letter is `und` with score 0, and so is every row if no row has a
     language. Rows without doc_id are not learned from and not held out. Repeated rows are each answered; ties go to the first
-    language by name. An empty table gives an empty table. Input columns with a result's name are replaced.
+    language by name. An empty table gives an empty table. Input columns with a result's name are replaced; all others, of whatever name, come along.
     """
     own = ["held_out", "lang_pred", "score", "ambiguous"]
     small_batches(docs.sparkSession)
-    docs = docs.drop(*own)
+    docs, restored = plain(docs.drop(*own))
     model = model or fit(docs)
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,9 +175,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 if known.any():
                     best[known], score[known], unsure[known] = model.decode(margins(model, [r for r, k in zip(raws, known, strict=True) if k]))
                 lang = [model.langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*names, *own[1:]])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], [*part.schema.names, *own[1:]])
 
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
-    return out.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)))
+    out = rows.mapInArrow(run, extended(rows.schema, "lang_pred string, score double, ambiguous boolean"))
+    return restored(out.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))))
