@@ -17,10 +17,12 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
 from tidemark.llm.arrow import small_batches
+from tidemark.llm.columns import quoted, spare
 from tidemark.llm.components import components
 
 BITS, PARTS = 64, 4
@@ -291,19 +293,30 @@ def near_duplicates(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame
 
 
 def keep_one(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame:
-    """docs with one document of each group: the smallest doc_id. Rows without doc_id always stay; rows that share one are told apart by their fingerprints."""
+    """docs with one row of each group: of its smallest doc_id.
+
+    Edge cases: rows without doc_id always stay. Rows that share a doc_id are told apart by their fingerprints, so a text that is in no
+    group with the others stays beside them; of rows that agree in both, the one with the least text stays, of equal texts the one whose
+    other columns hash least, whatever the partitioning. Null, empty and blank texts are one group. An empty table gives an empty table.
+    """
 
     def printed(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, width) for t in text], np.uint64).view(np.int64))
 
+    own_id, own_print, nth = spare(docs, "_id", "_print", "_nth")
     heads = _rooted(docs, most, width).where("doc_id = component_id")
-    kept, _ = scratch.stored(heads.groupBy("root", "doc_id").agg(F.min("fp").alias("_fp")).select(F.col("doc_id").alias("_kept"), "_fp"), "kept")
+    kept, _ = scratch.stored(heads.groupBy("root", "doc_id").agg(F.min("fp").alias(own_print)).select(F.col("doc_id").alias(own_id), own_print), "kept")
     # Fingerprints are only needed to tell rows apart that share an id: others go by it alone.
-    shared = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).count().where("count > 1").select("_id")
+    shared = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(own_id)).count().where("count > 1").select(own_id)
     shared, _ = scratch.stored(shared, "shared-ids")
     key = F.col("doc_id").cast("long")
-    single = docs.join(shared, key == F.col("_id"), "left_anti").join(kept, key == F.col("_kept"), "left_semi")
-    several = docs.join(shared, key == F.col("_id"), "left_semi")
-    marked = several.withColumn("_print", F.pandas_udf(printed, "long")(F.col("text").cast("string")))
-    several = marked.join(kept, (key == F.col("_kept")) & (F.col("_print") == F.col("_fp")), "left_semi").dropDuplicates(["doc_id", "_print"]).drop("_print")
-    return single.unionByName(several).unionByName(docs.where("doc_id is null"))
+    single = docs.join(shared, key == F.col(own_id), "left_anti").join(kept, key == F.col(own_id), "left_semi")
+    out = single.unionByName(docs.where("doc_id is null"))
+    if shared.isEmpty():
+        return out
+    several = docs.join(shared, key == F.col(own_id), "left_semi")
+    marked = several.withColumn(own_print, F.pandas_udf(printed, "long")(F.col("text").cast("string"))).withColumn(own_id, key)
+    several = marked.join(kept, [own_id, own_print], "left_semi")
+    first = W.partitionBy(own_id, own_print).orderBy(F.col("text").cast("string").asc_nulls_first(), F.xxhash64(F.to_json(F.struct(*map(quoted, docs.columns)))))
+    several = several.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1)
+    return out.unionByName(several.drop(own_id, own_print, nth))
