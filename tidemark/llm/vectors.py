@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, x): one row per vec_id with a finite vector of doubles. Of rows that share an id the largest vector counts; a null id is no row."""
+    """(vec_id, x): one row per vec_id with a finite vector of doubles. Of rows that share an id the largest vector counts; a null id is no row.
+
+    Ids are counted on their own first: only where some repeat are vectors shuffled to meet.
+    """
     x = F.transform(F.col("embedding"), lambda v: v.cast("double"))
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull()).where(~bad)
-    return rows.groupBy("vec_id").agg(F.max("x").alias("x"))
+    once = vectors.groupBy(F.col("vec_id").cast("long").alias("vec_id")).count().where("vec_id is not null and count > 1").isEmpty()
+    return rows if once else rows.groupBy("vec_id").agg(F.max("x").alias("x"))
 
 
 def is_query(vec_id: str, every: int):

@@ -22,6 +22,8 @@ from tidemark.llm.vectors import is_query, matrix, packed, ranked, unpacked, val
 
 #: Queries and vectors that meet in one task at most, about: blocks are cut by hash.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
+#: The number of pivots is the root of that of vectors, within these bounds; the driver holds the distances between pivots.
+LEAST_PIVOTS, MOST_PIVOTS = 64, 2048
 _EXACT = float(1 << 53)
 _LONG = float(1 << 62)
 
@@ -41,15 +43,17 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0))
 
 
-def _cells(rows: DataFrame, pivots: np.ndarray, dim: int, top: float, query: bool) -> DataFrame:
-    """(vec_id, vec, cell, far): packed longs, the nearest pivot and the distance to it."""
+def _cells(rows: DataFrame, pivots: np.ndarray, dim: int, top: float, query: bool, kind: type) -> DataFrame:
+    """(vec_id, vec, cell, far): packed whole numbers of a kind, the nearest pivot and the distance to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix(batch.column(1), dim, np.int64)
-            d = _distances(_lifted(x, top, query), pivots)
-            cell = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed(x), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], ["vec_id", "vec", "cell", "far"])
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x = matrix(pa.concat_arrays([part.column(1)]), dim, np.int64)
+                d = _distances(_lifted(x, top, query), pivots)
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), packed(x.astype(kind)), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], ["vec_id", "vec", "cell", "far"])
 
     return rows.select("vec_id", "x").mapInArrow(run, "vec_id long, vec binary, cell int, far double")
 
@@ -84,10 +88,11 @@ def _best(qid: np.ndarray, vid: np.ndarray, s: np.ndarray, k: int) -> tuple[np.n
     return qid[keep], vid[keep], s[keep]
 
 
-def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = 64) -> DataFrame:
+def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every`, the k largest inner products with all other vectors.
 
-    Components are floor(scale * x); ties go to the smaller vec_id.
+    Components are floor(scale * x); ties go to the smaller vec_id. Without `pivots` there are as many as the root of the number of vectors,
+    64 to 2048, so that cells and their bounds get narrower as the table grows.
 
     Edge cases: vectors null or holding null or non-finite components take no part, nor does a row without vec_id. Rows that
     share a vec_id count once, as the largest vector. Shorter vectors count as padded with zeros. Components stay
@@ -102,12 +107,14 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: i
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim, exact = max(dim, 1), dim * peak * peak < _EXACT
+    kind = np.int16 if peak < 1 << 15 else np.int32 if peak < 1 << 31 else np.int64  # vectors travel in as few bytes as hold them
+    pivots = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, int(n**0.5)))
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toPandas()  # a fixed number of rows
     pivot = _lifted(np.array([np.pad(np.asarray(x, np.int64), (0, dim - len(x))) for x in some["x"]]).reshape(-1, dim), top, False)
     between = _distances(pivot, pivot)
 
-    data, _ = scratch.stored(_cells(rows, pivot, dim, top, False), "voronoi-data")
-    asked, _ = scratch.stored(_cells(rows.where(is_query("vec_id", every)), pivot, dim, top, True), "voronoi-queries")
+    data, _ = scratch.stored(_cells(rows, pivot, dim, top, False, kind), "voronoi-data")
+    asked, _ = scratch.stored(_cells(rows.where(is_query("vec_id", every)), pivot, dim, top, True, kind), "voronoi-queries")
     # Summaries: of each cell of data the k + 1 least distances to its pivot, of each cell of queries the number and the largest.
     near = data.select("cell", "far").withColumn("i", F.row_number().over(W.partitionBy("cell").orderBy("far"))).where(F.col("i") <= k + 1).toPandas()
     cells = {r["cell"]: (r["n"], r["far"]) for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
@@ -164,7 +171,7 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: i
                         yield done(best)
                     key, ids, parts, best = tuple(keys[a, :3]), [], [], None
                 part = batch.slice(a, z - a)
-                vid, x = part.column(4).to_numpy(), unpacked(part.column(5), dim, np.int64)
+                vid, x = part.column(4).to_numpy(), unpacked(part.column(5), dim, kind)
                 if keys[a, 3] == 0:
                     ids.append(vid)
                     parts.append(x)
