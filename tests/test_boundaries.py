@@ -222,3 +222,15 @@ def test_capacity_cut_and_queue_jumpers(spark):
     assert [r["item"] for r in ranked.orderBy("place").collect()] == ["b", "a", "c", "d"]
     got = {r["item"]: (r["load"], r["taken"]) for r in sets.capacity_cut(ranked, 9, block=2).collect()}
     assert got == {"b": (4, True), "a": (9, True), "c": (12, False), "d": (12, False)}
+
+
+def test_places_over_blocks_of_scores(spark):
+    """More distinct scores than blocks, ties, missing scores and items that jump the queue."""
+    from tidemark.operators import sets
+
+    rows = [(i, (i * 7) % 50 + 1, i % 3 + 1, i % 11, i % 13 == 0) for i in range(500)]
+    got = sets.scored(spark.createDataFrame(rows, "item int, impact int, confidence int, effort int, p0 boolean"), F.col("p0"), blocks=8)
+    places = {r["item"]: r["place"] for r in got.collect()}
+    score = lambda r: round(r[1] * r[2] / r[3], 6) if r[3] else None
+    want = sorted(rows, key=lambda r: (not r[4], score(r) is None, -(score(r) or 0), r[0]))
+    assert [places[r[0]] for r in want] == list(range(1, 501))

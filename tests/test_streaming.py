@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.registry import Event, Field
 from tidemark.operators import ingest
-from tidemark.sources.polling import PolledMessages
+from tidemark.sources.polling import PolledMessages, message_stream
 from tidemark.streaming import ingest as S
 from tidemark.streaming import limits
 
@@ -97,3 +97,19 @@ def test_polled_messages_resume_after_the_offset(spark, tmp_path):
     assert poll() == [(1, "/cpo a", 5), (2, "/cpo b", 5)]
     (src / "2.jsonl").write_text(line(3, "/cpo c"))
     assert poll() == [(1, "/cpo a", 5), (2, "/cpo b", 5), (3, "/cpo c", 5)]
+
+
+def test_message_stream_reads_each_file_once(spark, tmp_path):
+    src = tmp_path / "updates"
+    src.mkdir()
+    line = lambda i, text: json.dumps({"update_id": i, "message": {"text": text, "chat": {"id": 5}, "from": {"first_name": "n"}}})
+    (src / "1.jsonl").write_text("\n".join([line(1, "/cpo a"), "no json", json.dumps({"message": {}}), json.dumps({"update_id": 2})]))
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def poll():
+        message_stream(spark, str(src), 1).writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out).awaitTermination()
+        return sorted((r["update_id"], r["chat_id"], r["author"], r["text"]) for r in spark.read.parquet(out).collect())
+
+    assert poll() == [(1, 5, "n", "/cpo a"), (2, None, None, None)]
+    (src / "2.jsonl").write_text(line(3, "/cpo c"))
+    assert poll()[2:] == [(3, 5, "n", "/cpo c")]

@@ -1,5 +1,7 @@
 """Text functions, decks, ledgers and lint rules on literal input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,53 @@ def test_split(text, limit, want):
     assert splitting.pieces(text, limit) == want
 
 
+def pieces_by_hand(text, limit):
+    """The rule read aloud: take the next line as long as the part holds it; a line too long goes word by word, a word too long is cut."""
+    if not text or len(text) <= limit:
+        return [text] if text else []
+    out, part = [], None
+
+    def take(unit, gap):
+        nonlocal part
+        if not part:
+            part = unit
+        elif len(part + gap + unit) <= limit:
+            part = part + gap + unit
+        else:
+            out.append((gap, part))
+            part = unit
+
+    def close(gap):
+        nonlocal part
+        if part:
+            out.append((gap, part))
+        part = None
+
+    for line in text.split("\n"):
+        if len(line) <= limit:
+            take(line, "\n")
+            continue
+        close("\n")
+        for word in line.split(" "):
+            while len(word) > limit:
+                take(word[:limit], " ")
+                word = word[limit:]
+            take(word, " ")
+        close(" ")
+    close("\n")
+    return [p.rstrip("\n") if gap == "\n" else p for gap, p in out if gap == " " or p.strip()]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_split_agrees_with_brute_force(seed):
+    rng = random.Random(seed)
+    for _ in range(60):
+        text, limit = "".join(rng.choices("ab  \n\n\t", k=rng.randint(0, 80))) + "x" * rng.choice([0, 0, 7, 20]), rng.randint(1, 14)
+        got = splitting.pieces(text, limit)
+        assert got == pieces_by_hand(text, limit) and all(len(p) <= limit for p in got)
+        assert "".join("".join(got).split()) == "".join(text.split())
+
+
 def test_split_at_the_message_limit(spark):
     assert [len(p) for p in splitting.pieces("w" * 4096)] == [4096] and [len(p) for p in splitting.pieces("w" * 4097)] == [4096, 1]
     df = spark.createDataFrame([(1, "ab\ncd"), (2, None)], "doc_id long, text string")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,60 +12,40 @@ from pyspark.sql import functions as F
 LIMIT = 4096
 
 
-def _cut_line(line: str, limit: int) -> Iterator[str]:
-    """Pieces of a line that is too long: whole words while they fit, a word longer than the limit cut hard."""
-    held = ""
-    for word in line.split(" "):
-        if len(word) > limit:
-            if held:
-                yield held
-            whole = len(word) // limit * limit
-            if whole == len(word):  # an even cut leaves nothing over: the last full piece is held like a word
-                whole -= limit
-            yield from (word[i : i + limit] for i in range(0, whole, limit))
-            held = word[whole:]
-        elif held and len(held) + 1 + len(word) > limit:
-            yield held
-            held = word
+def stretches(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the longest stretches of neighbours that, with a character between each two, hold at most `limit`; none begins with an empty one.
+
+    Running totals rise, so where a stretch ends is a binary search. No size is above the limit.
+    """
+    totals, at = list(accumulate((n + 1 for n in sizes), initial=0)), 0
+    while at < len(sizes):
+        if sizes[at]:
+            end = bisect_right(totals, totals[at] + limit + 1) - 1
+            yield at, end
+            at = end
         else:
-            held = f"{held} {word}" if held else word
-    if held:
-        yield held
+            at += 1
+
+
+def joined(items: Sequence[str], by: str, limit: int) -> Iterator[str]:
+    yield from (by.join(items[a:b]) for a, b in stretches([len(x) for x in items], limit))
 
 
 def pieces(text: str | None, limit: int = LIMIT) -> list[str]:
-    """Lines packed greedily into parts of at most `limit` characters; parts of white space only are dropped, a short text stays as it is."""
-    if not text:
-        return []
-    if len(text) <= limit:
-        return [text]
+    """Lines packed greedily into parts of at most `limit` characters; parts of white space only are dropped, a short text stays as it is.
+
+    A line that is too long is packed by words on its own, and a word that is too long by stretches of `limit`.
+    """
+    if not text or len(text) <= limit:
+        return [text] if text else []
     out: list[str] = []
-    held: list[str] = []
-    size = 0
-
-    def close() -> None:
-        nonlocal size
-        joined = "\n".join(held)
-        if joined.strip():
-            out.append(joined.rstrip("\n"))
-        held.clear()
-        size = 0
-
-    for line in text.split("\n"):
-        if len(line) > limit:
-            close()
-            out.extend(_cut_line(line, limit))
-        elif size == 0:  # nothing held, or empty lines only, which leave no mark
-            held[:] = [line]
-            size = len(line)
-        elif size + 1 + len(line) > limit:
-            close()
-            held.append(line)
-            size = len(line)
+    for long, lines in groupby(text.split("\n"), key=lambda line: len(line) > limit):
+        if long:
+            for line in lines:
+                words = [word[i : i + limit] for word in line.split(" ") for i in range(0, max(len(word), 1), limit)]
+                out.extend(joined(words, " ", limit))
         else:
-            held.append(line)
-            size += 1 + len(line)
-    close()
+            out.extend(part.rstrip("\n") for part in joined(list(lines), "\n", limit) if part.strip())
     return out
 
 

@@ -39,17 +39,23 @@ def merged(*parts: DataFrame, by: list[str]) -> DataFrame:
     return out.dropDuplicates(by)
 
 
-def scored(rows: DataFrame, jump: Column | None = None) -> DataFrame:
+def scored(rows: DataFrame, jump: Column | None = None, blocks: int = 256) -> DataFrame:
     """rows plus score = impact * confidence / effort and place; what jumps the queue comes first whatever its score.
 
-    Items are numbered within their (jump, score) group; where a group begins follows from the sizes of the groups, of which there are few.
+    Items are numbered within their (jump, score) group. Where a group begins follows from the sizes of the groups before it in its block, a
+    stretch of scores between two of their quantiles, and from the sizes of the blocks before; only the blocks are summed in one task.
     """
     score = F.round(F.try_divide(F.col("impact") * F.col("confidence"), F.col("effort").cast("double")), 6)
     first = F.coalesce(jump, F.lit(False)) if jump is not None else F.lit(False)
     rows = rows.withColumn("score", score).withColumn("_jump", first)
-    order = (F.col("_jump").desc(), F.col("score").desc_nulls_last())
-    groups = rows.groupBy("_jump", "score").agg(F.count(F.lit(1)).alias("_n"))
-    heads = groups.select(F.col("_jump").alias("_j"), F.col("score").alias("_s"), (F.sum("_n").over(W.orderBy(*order)) - F.col("_n")).alias("_head"))
+    cuts = rows.agg(F.percentile_approx("score", [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []
+    above = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c > F.col("score"))) if cuts else F.lit(0)
+    block = F.when(F.col("_jump"), 0).otherwise(blocks + 1) + F.when(F.col("score").isNull(), blocks).otherwise(above)  # a missing score comes last
+    groups = rows.groupBy("_jump", "score").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", block)
+    sums = groups.groupBy("_block").agg(F.sum("_n").alias("_of"))
+    heads = sums.select("_block", (F.sum("_of").over(W.orderBy("_block")) - F.col("_of")).alias("_before"))
+    within = W.partitionBy("_block").orderBy(F.col("_jump").desc(), F.col("score").desc_nulls_last())
+    heads = groups.withColumn("_upto", F.sum("_n").over(within) - F.col("_n")).join(heads, "_block").select(F.col("_jump").alias("_j"), F.col("score").alias("_s"), (F.col("_before") + F.col("_upto")).alias("_head"))
     joined = rows.join(heads, (F.col("_jump") == F.col("_j")) & F.col("score").eqNullSafe(F.col("_s")))
     place = F.col("_head") + F.row_number().over(W.partitionBy("_jump", "score").orderBy("item"))
     return joined.withColumn("place", place).drop("_jump", "_j", "_s", "_head")

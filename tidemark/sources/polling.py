@@ -1,4 +1,8 @@
-"""A polled message source: updates with a rising update_id, read from JSON-lines files, the offset kept in the checkpoint."""
+"""A polled message source: updates with a rising update_id, from JSON lines as they land in a folder.
+
+message_stream() reads any path that Spark reaches, in tasks, and lets the checkpoint know which files are done. PolledMessages is a source of its own
+for a folder of the driver's machine, which asks for what follows an offset, as a poll does.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,34 @@ import json
 import os
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 SCHEMA = "update_id long, chat_id long, author string, text string"
+UPDATE = "update_id long, message struct<text: string, chat: struct<id: long>, `from`: struct<first_name: string>>"
+#: Where an update holds each column of SCHEMA.
+PLACES = {"update_id": "update_id", "chat_id": "message.chat.id", "author": "message.from.first_name", "text": "message.text"}
+
+
+def message_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """(update_id, chat_id, author, text) of a folder's files as a stream. A line that is no JSON or has no update_id is skipped; files_per_batch holds back a backlog."""
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    rows = reader.text(path).select(F.from_json("value", UPDATE).alias("u")).where("u.update_id is not null")
+    return rows.select(*[F.col(f"u.{place}").alias(name) for name, place in PLACES.items()])
 
 
 def flat(update: dict) -> tuple:
-    """(update_id, chat_id, author, text) of a message; what is missing is null."""
-    message = update.get("message") or {}
-    return update.get("update_id"), (message.get("chat") or {}).get("id"), (message.get("from") or {}).get("first_name"), message.get("text")
+    """The columns of SCHEMA; what is missing is null."""
+    row = []
+    for place in PLACES.values():
+        value = update
+        for key in place.split("."):
+            value = value.get(key) if isinstance(value, dict) else None
+        row.append(value)
+    return tuple(row)
 
 
 class PolledReader(SimpleDataSourceStreamReader):

@@ -6,6 +6,7 @@ committed before what was read is stored would lose orders that a sender was tol
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,8 +23,11 @@ WATERMARK = "7 days"
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a stream's state or result under spark.checkpoint.dir, or where that is unset, as in tests, under a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
+    """A fresh folder for a stream's state or result under spark.checkpoint.dir, or where that is unset and all runs on one machine, as in tests, under a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
