@@ -289,6 +289,16 @@ def recall_by_hand(x, rows, every=50, k=5):
     return hits / (k * -(-len(x) // every))
 
 
+@pytest.mark.parametrize("n", [2000, 6000])
+def test_neighbours_recall_with_the_querys_parameters(spark, n):
+    """Random vectors of the table's width, and of more clustered ones, with the parameters of the registered query."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64)) + (4 * rng.normal(size=(20, 64)))[rng.integers(0, 20, n)] * (np.arange(n)[:, None] % 2)
+    x = x.astype(np.float32).astype(np.float64)
+    got = neighbours.nearest_neighbours(table_of(spark, [(i, row.tolist()) for i, row in enumerate(x)])).collect()
+    assert recall_by_hand(x, got) >= 0.95
+
+
 @pytest.mark.parametrize("beam", [8, 300])
 def test_neighbours_widen_a_search_that_finds_too_little(spark, beam):
     """Lists and beam too short for the table: a wider beam, or in the end a scan, makes up for it."""
@@ -309,11 +319,56 @@ def test_nearest_of_many_near_copies_are_told_apart(spark, monkeypatch):
 
 
 def test_first_graph_splits_copies(spark):
-    n = 4 * 4 * neighbours.RUN
+    n, kinds = 4 * 4 * neighbours.RUN, neighbours.Kinds(4 * 4 * neighbours.RUN, 2)
     unit = bytes(vectors.packed(np.array([[1.0, 0.0]], np.float16))[0].as_py())
     rows = spark.range(n).select(F.col("id").alias("vec_id"), F.lit(unit).alias("vec"))
-    sizes = [r["count"] for r in neighbours._first_graph(rows, n, 2, 4, 1).groupBy(F.spark_partition_id()).count().collect()]
-    assert sum(sizes) == n and max(sizes) < n / 2
+    edges = neighbours._first_graph(rows, n, 2, 4, 1, kinds).groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("data")).alias("bytes"))
+    sizes = [r["bytes"] // kinds.edge.itemsize for r in edges.collect()]
+    assert sum(sizes) == 4 * n and max(sizes) < 2 * n
+
+
+def test_equal_vectors_are_one_node(spark):
+    """A third of all rows hold one vector: each of their queries gets the least ids of the others, and others' queries get them by rank."""
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(900, 12)).astype(np.float32)
+    x[::3] = x[0]
+    x[1] = 2 * x[0]  # the same direction, another vector
+    x[4], x[7] = -0.0 * x[4], x[0]
+    x[4, 0] = 1.0
+    rows = neighbours.nearest_neighbours(table_of(spark, [(i, row.tolist()) for i, row in enumerate(x)]), every=25).collect()
+    assert len(rows) == 5 * 36
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    same = sorted({*range(0, 900, 3), 1, 7})
+    hits = 0
+    for q, found in got.items():
+        assert found == sorted(found, key=lambda f: (-f[0], f[1])) and all(math.isclose(s, unit[q] @ unit[v], abs_tol=1e-12) for s, v in found)
+        if q % 3 == 0:
+            assert {v for _, v in found} <= set(same) - {q} and len(found) == 5
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += sum(score >= np.sort(s)[-5] - 1e-12 for score, _ in found)
+    assert hits >= 0.95 * 5 * 36
+
+
+def test_lists_join_what_is_fresh(spark):
+    """A round's candidates against plain loops: of every pair in a list, one of them fresh at least, each member's best, above its bar."""
+    rng = np.random.default_rng(20)
+    kinds = neighbours.Kinds(60, 6)
+    index = np.zeros(60, kinds.vector)
+    index["m"], index["bar"] = np.arange(60), rng.choice([-2.0, 0.1, 0.4], 60)
+    x = rng.normal(size=(60, 6))
+    index["vec"] = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float16)
+    lists = {v: (rng.choice(60, rng.integers(1, 9), replace=False), None) for v in range(20)}
+    lists = {v: (m, rng.integers(0, 2, len(m))) for v, (m, _) in lists.items()}
+    lists = {v: (m, f) for v, (m, f) in lists.items() if f.any()}
+    links = np.array([(v, m, f) for v, (ms, fs) in sorted(lists.items()) for m, f in zip(ms, fs, strict=True)], kinds.link)
+    got = {(int(e["u"]), int(e["w"])) for part in neighbours._joined(links, index, 60, kinds.edge) for e in part}
+    unit = index["vec"].astype(np.float32)
+    want = {(int(a), int(b)) for ms, fs in lists.values() for a, f in zip(ms, fs, strict=True) for b, g in zip(ms, fs, strict=True) if a != b and (f or g) and float(unit[a] @ unit[b]) > max(float(index["bar"][a]), -1.5)}
+    assert got == want
 
 
 def test_blocks_follow_the_nodes():
@@ -322,8 +377,8 @@ def test_blocks_follow_the_nodes():
 
 def test_graph_settles_however_many_rounds_that_takes(spark, monkeypatch):
     shares = []
-    moved = neighbours._changed
-    monkeypatch.setattr(neighbours, "_changed", lambda old, new: shares.append(moved(old, new)) or (0.5 if len(shares) < 9 else shares[-1]))
+    moved = neighbours._moved
+    monkeypatch.setattr(neighbours, "_moved", lambda graph, kinds: shares.append(moved(graph, kinds)) or (0.5 if len(shares) < 9 else shares[-1]))
     x = np.random.default_rng(16).normal(size=(300, 8))
     rows = neighbours.nearest_neighbours(table_of(spark, [(i, row.tolist()) for i, row in enumerate(x)]), degree=6, reverse=6)
     assert len(shares) == 9 and shares[-1] < neighbours.MOVED and rows.count() == 30
@@ -367,6 +422,56 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_toxicity(docs(spark, []), none).count() == 0
 
 
+def interacting(n=3000, seed=14):
+    """Toxic if exactly one of two words is there, each of which half of all documents hold: neither says anything alone."""
+    rng = random.Random(seed)
+    texts, toxic = [], []
+    for _ in range(n):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.choices([f"w{i}" for i in range(40)], k=6) + ["alpha"] * a + ["beta"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        toxic.append(int(a != b))
+    return texts, toxic
+
+
+def test_toxicity_learns_what_only_pairs_say(spark):
+    texts, toxic = interacting()
+    model = toxicity.fit(docs(spark, texts), spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    held = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 == 1]
+    right = lambda m: np.mean([(m.score(texts[i]) >= 0.5) == toxic[i] for i in held])
+    linear = toxicity.Model(model.place, model.bias, model.weights, np.zeros_like(model.factors))
+    assert right(model) > 0.95 and right(linear) < 0.8
+
+
+def test_toxicity_scores_agree_with_a_sum_over_pairs():
+    rng = np.random.default_rng(18)
+    texts = ["a b c d e", "a a a", "", "e d Beginnings beginners", "unknown words only"]
+    slots = sorted({int(s) for t in texts[:4] for s in toxicity.slots(t)})
+    place = np.full(toxicity.SLOTS, -1, np.int32)
+    place[slots] = np.arange(len(slots))
+    model = toxicity.Model(place, 0.3, rng.normal(size=len(slots)), rng.normal(size=(len(slots), 4)))
+    for t in texts:
+        words = set(re.findall(r"\w+", t.lower()))
+        own = {zlib.crc32(w.encode()) % toxicity.SLOTS for w in words} | {zlib.crc32(w[:5].encode(), 1) % toxicity.SLOTS for w in words if len(w) > 5}
+        terms = sorted(place[s] for s in own if place[s] >= 0)
+        total = 0.3 + sum(model.weights[i] for i in terms) + sum(model.factors[i] @ model.factors[j] for i in terms for j in terms if i < j)
+        assert math.isclose(model.score(t), 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_pairs_count_on_the_real_tables(spark, sf):
+    """Documents whose score the pairs move by more than a hundredth: not none, and no decision on clean ones is worse for it."""
+    table = lambda name: spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
+    model = toxicity.fit(table("documents"), table("labels"))
+    linear = toxicity.Model(model.place, model.bias, model.weights, np.zeros_like(model.factors))
+    rows = table("documents").join(table("labels"), "doc_id").select("doc_id", "text", "toxic").toPandas()
+    held = rows[[zlib.crc32(str(i).encode()) % 3 == 1 for i in rows["doc_id"]]]
+    both = np.array([(model.score(t or ""), linear.score(t or "")) for t in held["text"]])
+    assert np.abs(model.factors).max() > 0.05 and np.mean(np.abs(both[:, 0] - both[:, 1]) > 0.01) > 0
+    assert np.sum((both[:, 0] >= 0.7) & (held["toxic"].to_numpy() == 0)) <= 0.001 * len(held)
+
+
 # ---- SimHash --------------------------------------------------------------
 
 
@@ -498,6 +603,18 @@ def test_rows_that_share_an_id_stay_where_their_texts_differ(spark):
     assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, texts[1]), (1, texts[3]), (3, texts[0])]
 
 
+def test_keep_one_whatever_the_partitions(spark):
+    """Two texts that are no copies of each other share an id; one of them has a copy elsewhere. No text is lost, and none stays twice."""
+    a, b = "one clean text of its own kind", "another text with nothing in common at all"
+    rows = [(2, b, "x"), (5, a, "y"), (5, b, "z"), (5, a, "w"), (7, None, "n"), (8, "", "n")]
+    made = set()
+    for parts in (1, 3, 5):
+        d = spark.createDataFrame(rows, "doc_id long, text string, _print string").repartition(parts)
+        made.add(tuple(sorted(map(tuple, simhash.keep_one(d).collect()), key=str)))
+    assert len(made) == 1
+    assert sorted((i, t) for i, t, _ in made.pop()) == [(2, b), (5, a), (7, None)]
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -539,6 +656,52 @@ def test_language_of_nothing(spark):
     assert set(by_id(language.identify(docs(spark, ["abc def"] * 8, ["en"] * 8)), "lang_pred").values()) == {"en"}
 
 
+@pytest.mark.parametrize("n", [3, 8])
+def test_decoding_agrees_with_brute_force(spark, n):
+    """Counts, bit classifiers, margins and the nearest codeword, once more in plain loops."""
+    voice = {f"l{i}": [f"{c}{d}{c}" for c in "abcdefgh"[i : i + 2] for d in "xyz"] for i in range(n)} if n <= 7 else {f"l{i}": [f"{chr(97 + i)}{chr(105 + i)}{w}" for w in ("an", "el", "or")] for i in range(n)}
+    rng = random.Random(21)
+    made = [(" ".join(rng.choices(voice[lang], k=rng.randint(2, 12))), lang) for lang in (rng.choice(sorted(voice)) for _ in range(160))]
+    texts, langs = [t for t, _ in made], [lang for _, lang in made]
+    model = language.fit(docs(spark, texts, langs))
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32
+
+    def trigrams(text):
+        raw = [fold(b) for b in b"  " + text.encode() + b"  "]
+        slots = [((((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) ^ 0x202020) * 2654435761) & 0xFFFFFFFF) >> 16 for i in range(len(raw) - 2)]
+        return [s for s in slots if s]
+
+    names = sorted(voice)
+    counts = {lang: Counter() for lang in names}
+    for i, (t, lang) in enumerate(made):
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(trigrams(t))
+    code, size = language.codewords(n), language.SLOTS
+    share = lambda lang, s: (counts[lang][s] + 0.5) / (sum(counts[lang].values()) + 0.5 * size)
+    got = by_id(language.identify(docs(spark, texts, langs), model), "lang_pred", "score", "ambiguous")
+    for i, t in enumerate(texts[:60]):
+        own = trigrams(t)
+        margin = []
+        for bit in range(code.shape[1]):
+            plus, minus = ([x for x, c in zip(names, code[:, bit], strict=True) if c == sign] for sign in (1, -1))
+            odds = sum(math.log(np.mean([share(x, s) for x in plus])) - math.log(np.mean([share(x, s) for x in minus])) for s in own)
+            margin.append(odds / max(len(own), 1) * min(math.sqrt(max(len(own), 1)), 10))
+        loss = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margin, word, strict=True)) for word in code.tolist()]
+        best = min(range(n), key=lambda x: loss[x])
+        near = sorted(loss)
+        assert got[i][0] == names[best] and math.isclose(got[i][1], 1 / sum(math.exp(near[0] - x) for x in loss), rel_tol=1e-4)
+        radius = (min(sum(a != b for a, b in zip(u, v, strict=True)) for j, u in enumerate(code.tolist()) for v in code.tolist()[:j]) - 1) // 2
+        wrong = sum((m > 0) != (c > 0) for m, c in zip(margin, code[best].tolist(), strict=True))
+        assert got[i][2] == (wrong > radius or near[1] - near[0] < 1) or abs(near[1] - near[0] - 1) < 1e-3
+
+
+def test_language_of_a_noisy_lang_column(spark):
+    """Classes are bounded: of languages that one document each claims, those beyond the bound are not learned."""
+    made = voices(300)
+    texts, langs = [t for t, _ in made] + ["noise text"] * 40, [lang for _, lang in made] + [f"x{i}" for i in range(40)]
+    assert language.fit(docs(spark, texts, langs), max_langs=4).langs == sorted(VOICE)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 12, 40])
 def test_codewords_differ(n):
     code = language.codewords(n)
@@ -611,6 +774,16 @@ def test_mix_edges(spark):
     assert sum(r["taken"] for r in same.collect()) in (18, 21)
 
 
+def test_rows_without_id_are_spread_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    texts = [f"w{i} " * (1 + i % 7) for i in range(2000)]
+    placed = mixing.placed(docs(spark, texts, ids=[None] * 2000))
+    sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 1500
+    words = sum(1 + i % 7 for i in range(2000))
+    assert abs(sum(r["taken"] for r in placed.collect()) - 1.5 * words) <= 7
+
+
 def test_positions_follow_the_schedule(spark):
     """A source's demand up to t is the integral of its schedule."""
     for slope in (-0.5, 0.0, 0.3, 0.5):
@@ -656,6 +829,39 @@ def test_archives_round_trip(spark, monkeypatch):
     assert text.count("WARC-Type: continuation") > 10 and text.count("WARC/1.1\r\n") == text.count("WARC-Type: ")
 
 
+def foreign(version, kind, headers, block):
+    return f"WARC/{version}\r\nWARC-Type: {kind}\r\n".encode() + b"".join(f"{k}: {v}\r\n".encode() for k, v in headers.items()) + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("zipped", ["plain", "whole", "records"])
+def test_archives_of_other_writers(spark, tmp_path, zipped):
+    """WARC/1.0, plain bodies with version lines and whole records in them, base 32 digests, binary payloads, and a member a record."""
+    import base64
+    import gzip
+
+    inner = foreign("1.0", "response", {"WARC-Record-ID": "<urn:uuid:inner>"}, b"HTTP/1.1 200 OK\r\n\r\ninner")
+    bodies = [b"plain", b"say WARC/1.0\r\nand WARC/1.1\r\n and WARC/1.", inner, b"\xff\xfe\x00binary" * 100, b""]
+    records = [foreign("1.0", "warcinfo", {"WARC-Record-ID": "<urn:uuid:info>"}, b"software: other\r\n")]
+    for i, body in enumerate(bodies):
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+        records.append(foreign("1.0" if i % 2 else "1.1", "response", {"WARC-Record-ID": f"<urn:uuid:{i}>", "WARC-Target-URI": f"http://h/{i}", "WARC-Payload-Digest": f"sha1:{digest}"}, block))
+    records.append(foreign("1.0", "request", {"WARC-Record-ID": "<urn:uuid:q>"}, b"GET / HTTP/1.1\r\n\r\n"))
+    data = b"".join(gzip.compress(r) for r in records) if zipped == "records" else b"".join(records)
+    (tmp_path / ("a.warc" if zipped == "plain" else "a.warc.gz")).write_bytes(gzip.compress(data) if zipped == "whole" else data)
+    got = {r["record_id"]: (r["payload_bytes"], r["payload_digest"], r["whole"], bytes(r["payload"])) for r in warc.read_warc(spark, str(tmp_path), keep_payload=True).collect()}
+    assert got == {f"<urn:uuid:{i}>": (len(b), hashlib.sha1(b).hexdigest(), True, b) for i, b in enumerate(bodies)}
+
+
+def test_a_wrong_length_costs_only_its_own_record(spark, tmp_path):
+    block = lambda body: b"HTTP/1.1 200 OK\r\n\r\n" + body
+    rows = [foreign("1.1", "response", {"WARC-Record-ID": f"<urn:uuid:{i}>"}, block(b"body %d" % i)) for i in range(4)]
+    rows[1] = rows[1].replace(b"Content-Length: %d" % len(block(b"body 1")), b"Content-Length: 900")
+    (tmp_path / "x.warc").write_bytes(b"".join(rows))
+    got = {r["record_id"]: (r["payload_bytes"], r["whole"]) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert {k: v[1] for k, v in got.items()} == {"<urn:uuid:0>": True, "<urn:uuid:1>": False, "<urn:uuid:2>": True, "<urn:uuid:3>": True} and got["<urn:uuid:2>"][0] == 6
+
+
 def test_damaged_archives_are_named(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "SEGMENT", 5000)
     path = scratch.folder(spark, "warc-damage")
@@ -672,3 +878,28 @@ def test_no_pages(spark):
     path = scratch.folder(spark, "warc-none")
     warc.write_warc(pages(spark, []), path)
     assert warc.read_warc(spark, path).count() == 0
+
+
+# ---- columns of any name --------------------------------------------------
+
+CLASHES = {"_doc": "d", "_drop": "d", "_own": "o", "_sha": "s", "_first": "f", "_tie": "t", "_id": "i", "_print": "p", "_nth": "n", "_md5": "m", "_in_text": "x", "a.b": "dot", "t`ick": "tick"}
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        line_dedup.dedup_lines, secrets.scan_secrets, language.identify, mixing.mix, mixing.training_order, simhash.keep_one,
+        lambda d: toxicity.score_toxicity(d, d.sparkSession.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")),
+    ],
+    ids=["lines", "secrets", "language", "mix", "order", "keep_one", "toxicity"],
+)
+def test_other_columns_come_along(spark, operator):
+    """Columns with the names that operators use inside, with dots and backticks, and a struct whose fields need quoting, nested nullability included."""
+    d = docs(spark, ["first text of some words", "second text, token=abcdefghijkl", "third one"], ids=[1, 2, 3])
+    d = d.withColumns({k: F.concat(F.lit(v), F.col("doc_id").cast("string")) for k, v in CLASHES.items()})
+    d = d.withColumn("odd", F.struct(F.col("doc_id").alias("a b"), F.array(F.lit(1)).alias("c-d"), F.struct(F.lit("x").alias("e`f")).alias("g.h")))
+    out = operator(d)
+    for r in out.collect():
+        assert all(r[k] == f"{v}{r['doc_id']}" for k, v in CLASHES.items())
+        assert tuple(r["odd"]) == (r["doc_id"], [1], ("x",)) and r["odd"].asDict().keys() == {"a b", "c-d", "g.h"}
+    assert out.count() >= 3
