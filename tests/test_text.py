@@ -199,6 +199,15 @@ def test_orders_end_to_end(spark):
     assert text.startswith("\n#### O-260101-100 · do it\n") and text.endswith("  > do it\n  > now\n")
 
 
+def test_queue_holds_stored_and_pending_orders(spark):
+    text = "#### O-260101-01 · a\n- **Адресат:** CPO\n- **Статус:** в работе\n\n#### O-260101-02 · b\n- **Статус:** исполнено"
+    stored = markdown.ledger(spark.createDataFrame([("l", "\n" + text)], "doc_id string, text string"))
+    pending = spark.createDataFrame([("O-260102-02", "second", "CPO"), ("O-260102-01", "first\nmore", "БОРД")], "order_id string, body string, addressee string")
+    got = [tuple(r) for r in orders.queue(stored, pending).collect()]
+    assert got == [("O-260101-01 · a", "CPO"), ("O-260102-01 · first", "БОРД"), ("O-260102-02 · second", "CPO")]
+    assert len(orders.queue(stored, pending, 2).collect()) == 2
+
+
 def test_inbox_tells_unknown_from_zero(spark):
     text = "## 2026-01-01 · METRICS\n| metric | value | source |\n|--|--|--|\n| a | 0 | web |\n| b | — | web |\n## 2026-01-02 · SUPPORT\nнет данных\n## someday\n| x |"
     got = [(str(r["day"]), r["block"], r["metric"], r["value"], r["malformed"], r["free"] is not None) for r in markdown.inbox(spark.createDataFrame([("i", text)], "doc_id string, text string")).collect()]

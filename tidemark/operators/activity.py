@@ -19,14 +19,18 @@ def distinct_accounts(actions: DataFrame, *by: str, alias: str) -> DataFrame:
 def trailing_distinct(actions: DataFrame, days: int, alias: str) -> DataFrame:
     """(day, n) distinct accounts of the `days` days up to each day that has data.
 
-    Actions are cut to one row per account and day first; a row then counts for the days it reaches, so the work is
-    at most days * (account, day) pairs and no window has to hold sets.
+    An account's days are merged into stretches without a gap of `days`; it joins the count where one begins and leaves it `days` after its last day. So
+    a row per account and day gives two steps at most, and the count is a running sum over days.
     """
+    w = W.partitionBy("account_id").orderBy("day")  # a row for each day of an account
     once = actions.select("account_id", "day").distinct()
-    last = once.agg(F.max("day").alias("last"))
-    reach = once.crossJoin(F.broadcast(last)).select("account_id", F.explode(F.sequence("day", F.least(F.date_add("day", days - 1), "last"))).alias("day"))  # last is one row
-    spine = once.select("day").distinct()
-    return reach.join(spine, "day", "left_semi").groupBy("day").agg(F.count_distinct("account_id").alias(alias))
+    known = F.col("account_id").isNotNull()
+    joins = known & F.coalesce(F.date_diff("day", F.lag("day").over(w)) > days, F.lit(True))
+    leaves = known & F.coalesce(F.date_diff(F.lead("day").over(w), "day") > days, F.lit(True))
+    step = lambda d, n, seen: F.struct(d.alias("day"), n.alias("n"), F.lit(seen).alias("seen"))
+    steps = F.array(step(F.col("day"), joins.cast("int"), True), F.when(leaves, step(F.date_add("day", days), F.lit(-1), False)))
+    moves = once.select(steps.alias("steps")).select(F.explode(F.array_compact("steps")).alias("s")).groupBy("s.day").agg(F.sum("s.n").alias("n"), F.max("s.seen").alias("seen"))
+    return moves.withColumn(alias, F.sum("n").over(W.orderBy("day"))).where("seen").select("day", alias)
 
 
 def with_total(actions: DataFrame, period: str, part: str, alias: str) -> DataFrame:

@@ -57,6 +57,14 @@ def open_orders(entries: DataFrame, n: int | None = None) -> DataFrame:
     return rows.orderBy("doc_id", "entry").limit(n) if n else rows
 
 
+def queue(stored: DataFrame, pending: DataFrame, n: int = QUEUE_LENGTH) -> DataFrame:
+    """(header, addressee) of the n first open orders of one ledger: stored entries (doc_id, entry, header, fields) in their order, then pending ones (order_id, body, addressee) by number."""
+    old = open_orders(stored).select(F.lit(0).alias("_new"), F.col("entry").cast("string").alias("_at"), F.col("entry").cast("long").alias("_n"), "header", "addressee")
+    header = F.concat("order_id", F.lit(" · "), X.first_line(F.col("body")))
+    new = pending.select(F.lit(1).alias("_new"), F.col("order_id").alias("_at"), F.lit(0).cast("long").alias("_n"), header.alias("header"), "addressee")
+    return old.unionByName(new).orderBy("_new", "_n", "_at").limit(n).select("header", "addressee")
+
+
 def render(order_id: Column, addressee: Column, urgent: Column, body: Column, when: Column, author: Column) -> Column:
     """A ledger entry as text."""
     priority = F.when(urgent, "P0 · срочно").otherwise("обычный")

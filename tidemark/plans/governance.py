@@ -9,6 +9,7 @@ from tidemark.operators import alerts as A
 from tidemark.operators import ingest, sets
 from tidemark.plans import metrics
 from tidemark.plans.base import Registry
+from tidemark.sources import connectors
 from tidemark.sources import tables as T
 
 R = Registry()
@@ -300,3 +301,30 @@ def snapshot_export(spark, sf):
     m = T.actions(spark, sf).groupBy(F.col("week").alias("date")).agg(F.count(F.lit(1)).alias("sessions"), F.count_distinct("account_id").alias("wau"))
     long = m.withColumn("refunds", F.lit(None).cast("long")).unpivot("date", ["sessions", "wau", "refunds"], "metric", "value")
     return long.select("date", F.lit("activity").alias("block"), "metric", "value", F.lit("server").alias("source"))
+
+
+@R.query("SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate) - epoch_us(o_orderdate) > 30::BIGINT * 86400000000 AS late FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def late_shipments(spark, sf):
+    """Lines that shipped more than thirty days after their order was due: late data keeps its rows and says so."""
+    due = T.read(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    rows = T.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").join(due, F.col("l_orderkey") == F.col("o_orderkey"))
+    return ingest.late(rows, "o_orderdate", "l_shipdate", 30 * 24 * 60).select("l_orderkey", "l_linenumber", "late")
+
+
+@R.query("""
+SELECT CASE WHEN o_orderkey % 5 = 0 THEN 400 ELSE 200 END AS code, count(*) AS calls, count(DISTINCT o_orderstatus) AS states FROM orders GROUP BY 1
+""")
+def webhook_calls(spark, sf):
+    """Payment calls by answer: every fifth has a signature that was made with another key, or has none."""
+    k = F.col("order_id")
+    calls = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderstatus").alias("status"))
+    sent = F.when(k % 10 == 0, F.lit(None)).when(k % 5 == 0, connectors.signed("other", "order_id", "status")).otherwise(F.upper(connectors.signed("key", "order_id", "status")))
+    answered = connectors.verified(calls.withColumn("signature", sent), "key", ("order_id", "status"))
+    return answered.groupBy("code").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("status").alias("states"))
+
+
+@R.query("SELECT o_orderkey AS order_id, o_totalprice AS amount FROM orders WHERE o_orderkey % 7 = 3")
+def registry_backfill(spark, sf):
+    """What the one-off registry holds and the webhook missed."""
+    registry = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"))
+    return connectors.backfill(registry, registry.where("order_id % 7 <> 3"))

@@ -40,6 +40,13 @@ def stream_weekly(spark, sf):
     return rows.select(F.col("start").cast("timestamp_ntz").alias("week_start"), "events")
 
 
+@R.query("SELECT CAST(date_trunc('week', ts + INTERVAL 3 HOUR) AS TIMESTAMP) - INTERVAL 3 HOUR AS week_start, count(DISTINCT user_id) AS wau FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def stream_wau(spark, sf):
+    """Weekly actives from a stream, exactly: the stream gives each account of a week once, and the table it fills is counted."""
+    rows = S.drained(S.weekly_accounts(_events(spark, sf).where("event = 'purchase'")), "wau")
+    return rows.groupBy(F.col("start").cast("timestamp_ntz").alias("week_start")).agg(F.count(F.lit(1)).alias("wau"))
+
+
 @R.query("""
 WITH h AS (SELECT event_type AS event, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2)
 SELECT start, event, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest([h - INTERVAL 2 HOUR, h - INTERVAL 1 HOUR, h]) AS start, event, n FROM h) GROUP BY 1, 2

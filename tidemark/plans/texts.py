@@ -231,6 +231,42 @@ def lint_summary(spark, sf):
     return lint.summary(lint.lint(decks(spark, sf)))
 
 
+_GOOD, _LAST = "# Revenue grew by 5 percent\n", "---\n# Decide on the price now please\n@human choose"
+#: Decks that break one rule each, but for the first, which breaks none.
+BROKEN = (
+    "@date 2026-01-01\n" + _GOOD + "@metric a | 1\n" + _LAST,
+    " \n---\n",
+    "@date 2026-01-01\njust 5 words\n" + _LAST,
+    "@date 2026-01-01\n# Риски:\n5 facts\n" + _LAST,
+    "@date 2026-01-01\n# Two words\n5 facts\n" + _LAST,
+    "@date 2026-01-01\n# " + " ".join(["w"] * 15) + "\n5 facts\n" + _LAST,
+    "@date 2026-01-01\n" + _GOOD + "полная Синергия\n" + _LAST,
+    "@date 2026-01-01\n" + _GOOD + "@status green гармония\n" + _LAST,
+    "@date 2026-01-01\n" + _GOOD + "> осуществляется\n" + _LAST,
+    "@date 2026-01-01\n" + _GOOD + "🚀 one 😀 two 🚀\n" + _LAST,
+    "@date 2026-01-01\n" + _GOOD + " ".join(["word"] * 26) + ". Short.\n" + _LAST,
+    "@date 2026-01-01\n# Revenue grew a lot lately\nflat words\n" + _LAST,
+    "@date 2026-01-01\n" + _GOOD + "- b\n" * 7 + _LAST,
+    "@date 2026-01-01\n" + _GOOD + "- " + " ".join(["word"] * 23) + "\n" + _LAST,
+    "@date 2026-01-01\n" + (_GOOD + "---\n") * 9 + _LAST,
+    "@title Board\n" + _GOOD + _LAST,
+    "@date 2026-01-01\n" + _GOOD + "---\n# Decide on the price now please\n5 facts",
+)
+
+
+@R.query("""
+WITH rules(v, level, rule, slide, quote) AS (VALUES (1, 'error', 'no_slides', NULL, NULL), (2, 'error', 'no_title', 1, NULL), (3, 'error', 'topic_title', 1, 'Риски:'), (4, 'error', 'short_title', 1, 'Two words'),
+  (5, 'note', 'long_title', 1, 'w w w w w w w w w w w w w w w'), (6, 'error', 'empty_phrase', 1, 'синергия'), (7, 'error', 'banned_word', 1, 'гармония'), (8, 'note', 'nominal_verb', 1, 'осуществляется'), (9, 'error', 'emoji', 1, '😀 🚀'),
+  (10, 'note', 'long_sentence', 1, repeat('word ', 18) || '…'), (11, 'error', 'no_evidence', 1, NULL), (12, 'note', 'many_bullets', 1, '7'), (13, 'note', 'long_bullet', 1, repeat('word ', 18) || '…'), (14, 'note', 'many_slides', NULL, '10'),
+  (15, 'note', 'no_date', NULL, NULL), (16, 'error', 'no_decisions', NULL, NULL))
+SELECT o_orderkey AS doc_id, level, rule, slide, quote FROM orders JOIN rules ON o_orderkey % 17 = v
+""")
+def lint_rules(spark, sf):
+    """All sixteen rules, each by decks that break it and nothing else."""
+    text = F.get(F.array(*map(F.lit, BROKEN)), (F.col("o_orderkey") % len(BROKEN)).cast("int"))
+    return lint.lint(T.spread(T.read(spark, sf, "orders").select("o_orderkey")).select(F.col("o_orderkey").alias("doc_id"), text.alias("text")))
+
+
 @R.query("SELECT o_orderkey AS doc_id, 1 AS slide, '😀' AS quote FROM orders")
 def lint_emoji(spark, sf):
     return lint.lint(decks(spark, sf)).where("rule = 'emoji'").select("doc_id", "slide", "quote")

@@ -78,6 +78,12 @@ def tumbling(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return stream.withWatermark("ts", watermark).groupBy(w).agg(F.approx_count_distinct("account_id").alias("wau"), F.count(F.lit(1)).alias("events")).select("window.start", "window.end", "wau", "events")
 
 
+def weekly_accounts(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """(start, account_id), each once: who was active in a Moscow week, for exact counts. What a week's state holds goes when the watermark has passed its end."""
+    w = F.window("ts", "7 days", startTime="3 days 21 hours")
+    return stream.withWatermark("ts", watermark).select(w.alias("week"), "account_id").dropDuplicates(["week", "account_id"]).select("week.start", "account_id")
+
+
 def sliding(stream: DataFrame, length: str = "24 hours", step: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
     """Events per sliding window and kind, for bursts and trailing counts."""
     return stream.withWatermark("ts", watermark).groupBy(F.window("ts", length, step), "event").agg(F.count(F.lit(1)).alias("n")).select("window.start", "window.end", "event", "n")
