@@ -182,6 +182,19 @@ def test_packing_agrees_with_the_tokenizer(spark):
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_encoder_gives_the_ids_of_tokenizers(spark):
+    """The two encoders over one vocabulary, on whole documents, on strings of mixed alphabets and on single code points."""
+    from tokenizers import Tokenizer
+
+    plain, encode, rng = Tokenizer.from_file(packing.vocabulary()[0]), packing.Encoder(packing.vocabulary()), random.Random(41)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    pool = "abcXYZ019 '  \t\n\r.,!?-_<|>\u00a0\u2003éßЖя中文字😀👍🏽\u0301\u200d\x00\x1f" + "endoftext"
+    texts += ["".join(rng.choices(pool, k=rng.randint(1, 60))) for _ in range(1500)] + [chr(c) for c in range(0, 0x3000, 7)] + [f"a{chr(c)} {chr(c)}1" for c in range(0x1F000, 0x1FA00, 11)]
+    for at in range(0, len(texts), 500):
+        want = plain.encode_batch(texts[at : at + 500], add_special_tokens=False)
+        assert all(encode(t) == w.ids for t, w in zip(texts[at : at + 500], want, strict=True))
+
+
 def test_encoder_survives_blanks():
     from tokenizers import Tokenizer
 
