@@ -166,12 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, max_terms: i
 
 
 def _adagrad(x: list[np.ndarray], y: np.ndarray, terms: int, bias: float, k: int, epochs: int, seed: int, rate: float = 0.2, decay: tuple[float, float] = (1e-6, 1e-3)) -> tuple[float, np.ndarray, np.ndarray]:
-    """decay: of weights and of factors; factors decay faster, so that a pair counts for what its single terms leave, but not so fast that pairs die out."""
+    """The first half of the epochs learns single weights alone, the second both, so that a pair counts for what its single terms leave. decay: of weights and of factors, which decay faster, but not so fast that pairs die out."""
     rng = np.random.default_rng(seed)
     w, v = np.zeros(terms), rng.normal(0, 0.02, (terms, k))
     gw, gv, gb = np.full(terms, 1e-4), np.full((terms, k), 1e-4), 1e-4
     sizes = np.array([len(a) for a in x])
-    for _ in range(epochs):
+    for epoch in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(order), 64):
             rows = order[at : at + 64]
@@ -191,9 +191,10 @@ def _adagrad(x: list[np.ndarray], y: np.ndarray, terms: int, bias: float, k: int
             np.add.at(dv, inverse, err[row][:, None] * (total[row] - vt))
             dv += decay[1] * v[used]
             gw[used] += dw**2
-            gv[used] += dv**2
+            gv[used] += dv**2 * (2 * epoch >= epochs)
             w[used] -= rate * dw / np.sqrt(gw[used])
-            v[used] -= rate * dv / np.sqrt(gv[used])
+            if 2 * epoch >= epochs:
+                v[used] -= rate * dv / np.sqrt(gv[used])
     return float(bias), w, v
 
 
