@@ -111,13 +111,13 @@ def _mapped(messages: DataFrame, each: Callable) -> DataFrame:
 
 
 def _met(messages: DataFrame, solve: Callable) -> DataFrame:
-    """solve(key, messages of the key by rising kind), after all messages of a key were brought together. They are read one by one."""
+    """solve(key, messages of the key by rising kind), after all messages of a key were brought together. They are read one by one; tasks without a message run no Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in groupby(_rows(batches), key=lambda r: r[0]):
             yield from solve(key, rows)
 
-    return messages.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, MESSAGE)
+    return messages.repartition("key").sortWithinPartitions("key", "kind").groupBy("key").applyInArrow(run, MESSAGE)
 
 
 def _top(u: np.ndarray, w: np.ndarray, s: np.ndarray, k: int, fresh: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -241,8 +241,8 @@ def _sampled(links: np.ndarray, most: int) -> np.ndarray:
     return links[np.arange(len(links)) - np.searchsorted(links["v"], links["v"], side="left") < most]
 
 
-def _adjacency(graph: DataFrame, per: int, reverse: int, kinds: Kinds) -> DataFrame:
-    """Messages to groups of `per` nodes: links (v, m, fresh), sorted by v, to a node's neighbours and to `reverse` of those it is a neighbour of."""
+def _adjacency(graph: DataFrame, per: int, reverse: int, kinds: Kinds, then: Callable = _one) -> DataFrame:
+    """What `then` makes of groups of `per` nodes and their links (v, m, fresh), sorted by v, to a node's neighbours and to `reverse` of those it is a neighbour of; by itself a message of kind 1."""
 
     def send(bucket: int, kind: int, origin: int, data: bytes) -> Iterator[pa.RecordBatch]:
         edges = np.frombuffer(data, kinds.edge)
@@ -265,7 +265,7 @@ def _adjacency(graph: DataFrame, per: int, reverse: int, kinds: Kinds) -> DataFr
         links = links[np.lexsort((1 - links["fresh"], links["m"], links["v"]))]
         new = np.ones(len(links), bool)
         new[1:] = (links["v"][1:] != links["v"][:-1]) | (links["m"][1:] != links["m"][:-1])
-        yield from _one(group, links[new], 1)
+        yield from then(group, links[new], 1)
 
     return _met(_mapped(graph, send), solve)
 
@@ -315,14 +315,13 @@ def _round(packs: DataFrame, graph: DataFrame, dim: int, k: int, reverse: int, e
     """The graph after one round, and its path."""
     spark = graph.sparkSession
 
-    def ask(block: int, kind: int, origin: int, data: bytes) -> Iterator[pa.RecordBatch]:
+    def ask(block: int, links: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
         """Lists with anything fresh stay (kind 1), and their members are asked for (kind 2)."""
-        links = np.frombuffer(data, kinds.link)
         begins = np.flatnonzero(np.append(True, links["v"][1:] != links["v"][:-1]))
         fresh = np.repeat(np.maximum.reduceat(links["fresh"], begins) > 0, np.diff(np.append(begins, len(links))))
         links = links[fresh]
         if len(links):
-            yield from _one(block, links, 1)
+            yield from _one(block, links, kind)
             ids = np.unique(links["m"])
             yield from _messages(ids // MERGE, ids, 2, block)
 
@@ -359,7 +358,7 @@ def _round(packs: DataFrame, graph: DataFrame, dim: int, k: int, reverse: int, e
         edges["fresh"] = 0
         yield from _one(bucket, edges, 0)
 
-    asked, path = scratch.stored(_mapped(_adjacency(graph, BLOCK, reverse, kinds), ask), "nn-asked")
+    asked, path = scratch.stored(_adjacency(graph, BLOCK, reverse, kinds, ask), "nn-asked")
     vectors = _fetched(packs.unionByName(_mapped(graph, bars)).unionByName(asked.where("kind = 2")), dim, kinds, 0)
     better = _met(vectors.unionByName(asked.where("kind = 1")), solve)
     made = _merged(_mapped(graph, known).unionByName(better), k, kinds)
@@ -452,8 +451,8 @@ def _cosines(pairs: DataFrame, dim: int, kind: type) -> DataFrame:
     return pairs.select("query_id", "vec_id", "qvec", "vec").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-#: Kinds of a walk's messages: queries with their vectors, beams, nodes seen, nodes expanded, then what comes in.
-_QUERY, _BEAM, _SEEN, _DONE, _IN = range(5)
+#: Kinds of a walk's messages: queries with their vectors, beams, nodes seen, nodes expanded, then what comes in, and requests for lists and vectors.
+_QUERY, _BEAM, _SEEN, _DONE, _IN, _LISTS, _VECTORS = range(7)
 
 
 def greedy_search(packs: DataFrame, lists: DataFrame, asked: DataFrame, dim: int, k: int, beam: int, expand: int, kinds: Kinds, hops: int | None = None) -> DataFrame:
@@ -495,12 +494,6 @@ def greedy_search(packs: DataFrame, lists: DataFrame, asked: DataFrame, dim: int
         left = beams[~np.isin(beams["m"], done)]
         return np.unique(left["m"][np.arange(len(left)) - np.searchsorted(left["q"], left["q"], side="left") < most])
 
-    def reach(group: int, rows: Iterator) -> Iterator[pa.RecordBatch]:
-        """What a group asks lists for (kind 2, to buckets)."""
-        state, _ = opened(rows)
-        ids = front(state[_BEAM], state[_DONE], expand)
-        yield from _messages(ids // MERGE, ids, 2, group)
-
     def listed(bucket: int, rows: Iterator) -> Iterator[pa.RecordBatch]:
         """Members of the lists asked for, sent back to the groups."""
         links, wanted = np.zeros(0, kinds.link), {}
@@ -513,7 +506,7 @@ def greedy_search(packs: DataFrame, lists: DataFrame, asked: DataFrame, dim: int
             yield from _one(group, np.unique(links["m"][np.isin(links["v"], np.concatenate(parts))]), _IN)
 
     def choose(group: int, rows: Iterator) -> Iterator[pa.RecordBatch]:
-        """The state with what was just expanded and seen, and requests (kind 12) for the vectors of nodes not seen yet."""
+        """The state with what is now expanded and seen, and requests for the vectors of nodes not seen yet."""
         state, rest = opened(rows)
         members = np.unique(np.concatenate([np.zeros(0, kinds.node), *(np.frombuffer(data, kinds.node) for _, _, _, data in rest)]))
         ids = members[~np.isin(members, state[_SEEN])]
@@ -521,10 +514,10 @@ def greedy_search(packs: DataFrame, lists: DataFrame, asked: DataFrame, dim: int
         state[_SEEN] = np.union1d(state[_SEEN], ids)
         for kind, data in state.items():
             yield from _one(group, data, kind)
-        yield from _messages(ids // MERGE, ids, 12, group)
+        yield from _messages(ids // MERGE, ids, _VECTORS, group)
 
     def scored(group: int, rows: Iterator) -> Iterator[pa.RecordBatch]:
-        """The state with the beams after new vectors were held against all queries of the group."""
+        """The state with the beams after new vectors were held against all queries of the group, and requests for the lists of nodes to expand next."""
         state, rest = opened(rows)
         queries, beams = state[_QUERY], [state[_BEAM]]
         q = queries["vec"].astype(np.float32)
@@ -542,7 +535,9 @@ def greedy_search(packs: DataFrame, lists: DataFrame, asked: DataFrame, dim: int
                 least = bars(beams[0], queries["m"])
         state[_BEAM] = beams[0]
         for kind, data in state.items():
-            yield from _one(group, data, kind, len(front(state[_BEAM], state[_DONE], 1)) if kind == _BEAM else 0)
+            yield from _one(group, data, kind)
+        ids = front(state[_BEAM], state[_DONE], expand)
+        yield from _messages(ids // MERGE, ids, _LISTS, group)
 
     def cut(all_: np.ndarray) -> np.ndarray:
         """Of each query the best of the beam, and whatever rounding cannot tell from the k best."""
@@ -574,14 +569,14 @@ def greedy_search(packs: DataFrame, lists: DataFrame, asked: DataFrame, dim: int
 
     state, path = scratch.stored(_met(task.mapInArrow(begin, MESSAGE), scored), "nn-walk")
     done = 0
-    while done != hops and state.where(f"kind = {_BEAM} and origin > 0").limit(1).count():
-        members = _met(lists.unionByName(_met(state, reach)), listed)
-        chosen, chosen_path = scratch.stored(_met(state.unionByName(members), choose), "nn-chosen")
-        vectors = _fetched(packs.unionByName(chosen.where("kind = 12").withColumn("kind", F.lit(2))), dim, kinds, _IN)
-        new, new_path = scratch.stored(_met(chosen.where("kind <> 12").unionByName(vectors), scored), "nn-walk")
+    while done != hops and not (wanted := state.where(f"kind = {_LISTS}")).isEmpty():
+        members = _met(lists.unionByName(wanted), listed)
+        chosen, chosen_path = scratch.stored(_met(state.where(f"kind < {_IN}").unionByName(members), choose), "nn-chosen")
+        vectors = _fetched(packs.unionByName(chosen.where(f"kind = {_VECTORS}").withColumn("kind", F.lit(2))), dim, kinds, _IN)
+        new, new_path = scratch.stored(_met(chosen.where(f"kind < {_IN}").unionByName(vectors), scored), "nn-walk")
         scratch.drop(spark, path, chosen_path)
         state, path, done = new, new_path, done + 1
-    return _met(state, final).mapInArrow(pairs, "q long, m long")
+    return _met(state.where(f"kind = {_BEAM}"), final).mapInArrow(pairs, "q long, m long")
 
 
 def scan(both: DataFrame, ids: DataFrame, n: int, asked: int, dim: int, k: int, kind: type) -> DataFrame:
@@ -628,7 +623,7 @@ def _copies(both: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     return others, twice.select("node", F.col("node").alias("vec_id"))
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, degree: int = 40, reverse: int = 40, each: int = 8, rounds: int | None = None, beam: int = 128, expand: int = 24, hops: int | None = None, recall: float = 0.95) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 5, every: int = 50, degree: int = 40, reverse: int = 40, each: int = 8, rounds: int | None = None, beam: int = 128, expand: int = 64, hops: int | None = None, recall: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by `every`, about the k nearest by cosine among all other vectors.
 
     Every row is in the graph, equal vectors as one node; scores are exact cosines of the original vectors in double precision; ties go to the smaller
