@@ -21,8 +21,8 @@ def test_operator_agrees_with_sql(spark, duck, name):
     held_against(duck, ORACLES[name], QUERIES[name](spark, SF))
 
 
-def test_ten_operators_and_five_stages():
-    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 11))
+def test_thirteen_operators_and_five_stages():
+    assert [int(q[2:].split("_")[0]) for q in QUERIES] == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash_dedup", "source_mix", "packing"]
 
 

@@ -105,4 +105,61 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM tops
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op2_secret_scan": OP2, "op4_exact_top_k": OP4, "op9_source_mix": OP9, "op10_warc": OP10}
+
+def _op11(k: int = 40, rounds: int = 5) -> str:
+    """All rounds, one after another; whole numbers are doubles below 2^53, so that products and sums are exact."""
+    parts = ["""
+kept AS MATERIALIZED (
+  SELECT vec_id, x, list_dot_product(x, x) AS xx FROM (
+    SELECT vec_id, list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE))) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)
+)""", f"""
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS c, x, xx FROM kept ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) LIMIT {k}
+)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT v.vec_id, v.x, n.c, v.xx - 2 * list_dot_product(v.x, n.x) + n.xx AS d FROM kept v, c{i} n QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY d, n.c) = 1
+)""")
+        if i < rounds:
+            parts.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c, x, list_dot_product(x, x) AS xx FROM (
+    SELECT o.c, coalesce(m.x, o.x) AS x FROM c{i} o LEFT JOIN (
+      SELECT c, list(floor(s / n) ORDER BY pos) AS x FROM (SELECT c, pos, sum(e) AS s, count(*) AS n FROM (SELECT c, generate_subscripts(x, 1) AS pos, unnest(x) AS e FROM a{i}) GROUP BY c, pos) GROUP BY c) m ON o.c = m.c)
+)""")
+    return f"""
+WITH {",".join(parts)}
+SELECT a.vec_id, CAST(a.c AS INT) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(list_aggregate(list_transform(n.x, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), 'string_agg', ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} n ON a.c = n.c
+"""
+
+
+def _straw(name: str, weight: str) -> str:
+    return f"-ln((CAST('0x' || substr(md5(key || '/' || {name}), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / {weight}::DOUBLE"
+
+
+#: Four regions of two racks of five shards, each of weight 1. CRC-32 by its table of 256 remainders.
+OP12 = f"""
+WITH remainders AS (
+  SELECT list(list_reduce(range(0, 8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) ORDER BY i) AS tab FROM range(0, 256) r(i)
+), own AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS text_crc32
+  FROM documents, remainders
+), regions AS (
+  SELECT *, {_straw("'region' || region", "10")} AS straw FROM own, (SELECT CAST(unnest(range(0, 4)) AS INT) AS region) QUALIFY row_number() OVER (PARTITION BY id ORDER BY straw, region) = 1
+), racks AS (
+  SELECT *, {_straw("'region' || region || '/' || rack", "5")} AS rack_straw FROM regions, (SELECT CAST(unnest(range(0, 2)) AS INT) AS rack) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rack_straw, rack) = 1
+), shards AS (
+  SELECT *, CAST(region * 10 + rack * 5 + leaf AS INT) AS shard FROM racks, (SELECT CAST(unnest(range(0, 5)) AS INT) AS leaf)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY {_straw("'region' || region || '/rack' || rack || '/' || (region * 10 + rack * 5 + leaf)", "1")}, leaf) = 1
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, region, rack, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS slot,
+       CASE WHEN {_straw("'shard40'", "1")} < straw THEN 40 ELSE shard END AS grown_shard
+FROM shards
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_secret_scan": OP2, "op4_exact_top_k": OP4, "op9_source_mix": OP9, "op10_warc": OP10, "op11_drake_clusters": _op11(), "op12_hash_tree": OP12}

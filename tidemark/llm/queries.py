@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
+from tidemark.llm.alignment import align
+from tidemark.llm.clustering import cluster_vectors
 from tidemark.llm.language import identify
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.neighbours import nearest_neighbours
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.secrets import BASE, listed, scan_secrets
+from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.toxicity import score_toxicity
 from tidemark.llm.voronoi import top_inner_products
@@ -73,4 +76,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_packing, op4_exact_top_k, op5_toxicity, op6_neighbours, op7_simhash, op8_language, op9_source_mix, op10_warc)}
+def op11_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    told = F.sha2(F.array_join(F.transform("centroid", lambda c: c.cast("string")), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", told.alias("centroid_sha256"))
+
+
+def op12_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op3_packing, op4_exact_top_k, op5_toxicity, op6_neighbours, op7_simhash, op8_language, op9_source_mix, op10_warc, op11_drake_clusters, op12_hash_tree, op13_token_alignment)}
