@@ -23,6 +23,11 @@ def week(ts: Column) -> Column:
     return F.date_sub(d, F.weekday(d))
 
 
+def monday(d: Column) -> Column:
+    """The Monday of a date's week."""
+    return F.date_sub(d, F.weekday(d))
+
+
 def month(ts: Column) -> Column:
     return F.trunc(ts.cast("date"), "month")
 

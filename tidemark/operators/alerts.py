@@ -89,6 +89,12 @@ def breached() -> Column:
     )
 
 
+def latest(values: DataFrame, as_of: Column) -> DataFrame:
+    """The last value of each metric that was known on a day; of several in one period the largest."""
+    best = values.where(F.col("period") <= as_of).groupBy("metric").agg(F.max(F.struct("period", "value", "prev", "n")).alias("b"))
+    return best.select("metric", "b.*")
+
+
 def evaluate(rules: DataFrame, values: DataFrame, as_of: Column | None = None, fresh_days: int = 2) -> DataFrame:
     """(rule_id, metric, period, value, state, priority); values: (metric, period, value, prev, n).
 

@@ -93,3 +93,10 @@ def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     begun = marked.groupBy(*keys).agg(F.sum("_begins").alias("_n")).withColumn("_head", F.coalesce(F.sum("_n").over(by_chunk.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     numbered = marked.join(begun.drop("_n"), keys).withColumn("_session", F.col("_head") + F.sum("_begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
     return numbered.groupBy("account_id", "_session").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("n_events")).drop("_session")
+
+
+def running(probes: DataFrame, totals: DataFrame, at: str, n: str, alias: str = "head") -> DataFrame:
+    """(at, head) of distinct probes: the sum of n over all totals before each. Both have a row for an hour or so at most, so one task holds them."""
+    marks = probes.select(at, F.lit(True).alias("_probe")).unionByName(totals.select(at, n, F.lit(False).alias("_probe")), allowMissingColumns=True)
+    before = F.sum(F.coalesce(n, F.lit(0))).over(W.orderBy(at).rangeBetween(W.unboundedPreceding, -1))
+    return marks.withColumn(alias, F.coalesce(before, F.lit(0))).where("_probe").select(at, alias)

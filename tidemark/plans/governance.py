@@ -241,8 +241,24 @@ SELECT rule_id, metric, period, round(value, 6) AS value, CASE WHEN value IS NUL
   CASE WHEN value IS NOT NULL AND coalesce(hit, false) AND (min_n IS NULL OR n >= min_n) THEN priority END AS priority FROM j
 """)
 def alerts(spark, sf):
-    """The whole catalogue over all metrics that the tables can give, by their own periods; rules whose metric is missing (ratings, data incidents, calendar synchronisation) say so."""
-    return A.evaluate(A.table(spark), metrics.values(spark, sf)).withColumn("value", F.round("value", 6))
+    """The whole catalogue over all metrics that the daily marts give, by their own periods; rules whose metric is missing (ratings, data incidents, calendar synchronisation) say so."""
+    return A.evaluate(A.table(spark), metrics.values(metrics.marts(spark, sf))).withColumn("value", F.round("value", 6))
+
+
+@R.query("WITH " + metrics.VALUES_SQL + f""",
+t(rule_id, metric, op, bound, min_n, priority) AS (VALUES {_RULE_ROWS}), l AS (SELECT * FROM v WHERE period <= DATE '2024-01-31' QUALIFY row_number() OVER (PARTITION BY metric ORDER BY period DESC, value DESC, prev DESC, n DESC) = 1),
+j AS (SELECT t.*, l.period, l.value, l.prev, l.n, CASE op WHEN 'below' THEN value < bound WHEN 'above' THEN value > bound WHEN 'at_least' THEN value >= bound
+  WHEN 'drop_pct' THEN (prev - value) / nullif(prev, 0) * 100 > bound WHEN 'rise_factor' THEN value > prev * bound WHEN 'drop_pp' THEN prev - value > bound WHEN 'rise_pp' THEN value - prev > bound
+  WHEN 'drop_abs' THEN CASE WHEN bound > 0 THEN prev - value >= bound ELSE value < prev END END AS hit FROM t LEFT JOIN l ON t.metric = l.metric)
+SELECT rule_id, metric, period, round(value, 6) AS value,
+  CASE WHEN value IS NULL THEN 'not_checked' WHEN DATE '2024-01-31' - period > 2 THEN 'stale' WHEN coalesce(hit, false) AND (min_n IS NULL OR n >= min_n) THEN 'breach' WHEN coalesce(hit, false) THEN 'observation' ELSE 'ok' END AS state,
+  CASE WHEN DATE '2024-01-31' - period <= 2 AND coalesce(hit, false) AND (min_n IS NULL OR n >= min_n) THEN priority END AS priority FROM j
+""")
+def alerts_now(spark, sf):
+    """The panel of one day: each rule over its metric's last value; one that is more than two days old is stale, whatever it says."""
+    today = F.to_date(F.lit("2024-01-31"))
+    last = A.latest(metrics.values(metrics.marts(spark, sf)), today)
+    return A.evaluate(A.table(spark), last, as_of=today).withColumn("value", F.round("value", 6))
 
 
 @R.query("""

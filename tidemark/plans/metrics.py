@@ -1,19 +1,23 @@
-"""The metrics that the alert catalogue watches: (metric, period, value, before, n), each from a registered query.
+"""The metrics that the alert catalogue watches: (metric, period, value, prev, n), all from daily marts.
 
-before is the value to compare with where that is not the metric's previous period; n is the amount of data behind a value.
+prev is the value to compare with, the metric's previous period where nothing else is said; n is the amount of data behind a value.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
-from tidemark.operators import activity, intervals, series
-from tidemark.plans import health, marts, product, revenue
-from tidemark.plans.base import Registry
+from tidemark.operators import activity, daily, intervals, series
+from tidemark.plans import health, product, revenue
+from tidemark.plans.base import CTE, Registry
+from tidemark.sources import build
 from tidemark.sources import tables as T
+from tidemark.streaming import ingest as S
 
 R = Registry()
 
@@ -128,75 +132,175 @@ def bookings_weekly(spark, sf):
     return T.events(spark, sf).groupBy("week").agg(F.count_if(F.col("event").isin("purchase", "error")).alias("bookings"))
 
 
-_ALL = {name: (f, m.R.oracles[name]) for m in (product, revenue, health, marts) for name, f in m.R.queries.items() if name in m.R.oracles} | {name: (f, R.oracles[name]) for name, f in R.queries.items()}
-#: metric, query or a pair of queries joined by week, then period, value, before and n as expressions that both engines read alike. Shares are per cent, money is whole units.
-METRICS = (
-    ("renewal_success", "billing_weekly", "week", "CASE WHEN kind = 'renewal' THEN success * 100 END", None, "attempts"),
-    ("first_payment_success", "billing_weekly", "week", "CASE WHEN kind = 'first' THEN success * 100 END", None, "attempts"),
-    ("trial_conversion", "trial_conversion", "cohort", "conversion * 100", None, "trials"),
-    ("mrr", "mrr", "month", "mrr / 100.0", None, "paying"),
-    ("arpu", "mrr", "month", "mrr / 100.0 / paying", None, "paying"),
-    ("account_churn", "churn", "month", "account_churn * 100", None, "at_start"),
-    ("involuntary_churn", "involuntary_churn", "month", "involuntary_share * 100", None, "left_accounts"),
-    ("refunds_week", "refunds_weekly", "week", "refunds", None, None),
-    ("sessions_week", "nsm_weekly sessions_stalled", "week", "sessions", None, "history"),
-    ("sessions_stalled_3w", "sessions_stalled", "week", "CASE WHEN stalled THEN 1 ELSE 0 END", None, "history"),
-    ("activation", "activation", "cohort", "rate * 100", None, "entered"),
-    ("note_coverage", "coverage_72h", "week", "coverage * 100", None, "held"),
-    ("wau_mau", "wau_mau", "week", "ratio * 100", None, "wau"),
-    ("retention_d1", "retention_d", "cohort", "d1 * 100", None, "size"),
-    ("retention_d7", "retention_d", "cohort", "d7 * 100", None, "size"),
-    ("unfinished_share", "unfinished_share", "week", "unfinished_share * 100", None, "finished"),
-    ("installs_week", "installs_weekly", "week", "installs", None, "history"),
-    ("cancelled_share", "cancelled_share bookings_weekly", "week", "cancelled_share * 100", None, "bookings"),
-    ("uptime", "uptime", "day", "uptime * 100", None, None),
-    ("p95_to_norm", "p95_norm", "day", "ratio", None, "requests"),
-    ("crash_free_sessions", "crash_free crash_base", "week", "crash_free_sessions * 100", None, "sessions"),
-    ("crash_free_users", "crash_free crash_base", "week", "crash_free_users * 100", None, "users"),
-    ("undelivered_reminders", "outbox_counters", "day", "round((due - sent) * 100.0 / due, 6)", None, "due"),
-    ("tickets_per_100", "tickets_per_100", "week", "per_100", None, "tickets"),
-    ("privacy_tickets", "privacy_tickets", "week", "tickets", None, "tickets"),
-    ("negative_share", "negative_share", "week", "negative_share * 100", None, "mentions"),
-    ("negative_burst_24h", "negative_bursts", "day", "most", None, "most"),
-    ("overdue_tickets", "overdue_weekly", "week", "overdue", None, "overdue"),
-    ("cancellations_after_release", "release_cancellations", "released", "after", "before", "after"),
-    ("silent_days", "silence_days", "day", "silent_days", None, None),
-    ("contradiction_factor", "contradiction_factor", "week", "factor", None, None),
-)
-
-
-def values(spark, sf: str) -> DataFrame:
-    """(metric, period, value, prev, n) of all METRICS and of what follows from them: the trial band and the worst segment's LTV to CAC."""
-    out = None
-    for metric, names, period, value, before, n in METRICS:
-        first, *more = (_ALL[q][0](spark, sf) for q in names.split())
-        for other in more:
-            first = first.join(other, "week")
-        cell = lambda e, kind: F.expr(f"cast({e} as {kind})") if e else F.lit(None).cast(kind)  # noqa: E731, B023
-        part = first.select(F.lit(metric).alias("metric"), cell(period, "date").alias("period"), cell(value, "double").alias("value"), cell(before, "double").alias("before"), cell(n, "long").alias("n")).where("value is not null")
-        out = part if out is None else out.unionByName(part)
-    trial = revenue.trial_conversion(spark, sf)
-    band = series.streak((F.col("conversion") >= 0.1) & (F.col("conversion") < 0.15), 2, "cohort").cast("int").cast("double")
-    none = F.lit(None).cast("double")
-    out = out.unionByName(trial.select(F.lit("trial_conversion_two_in_band").alias("metric"), F.col("cohort").alias("period"), band.alias("value"), none.alias("before"), F.col("trials").alias("n")))
-    last = T.charges(spark, sf).agg(F.max("month").alias("period"))
-    worst = revenue.ltv_cac(spark, sf).agg(F.min("ltv_cac").alias("value")).crossJoin(last)  # one row each
-    out = out.unionByName(worst.select(F.lit("ltv_cac").alias("metric"), "period", "value", none.alias("before"), F.lit(None).cast("long").alias("n")))
+def marts(spark, sf: str) -> build.DailyBuild:
+    """The daily build over the tables at hand, as a first run makes it."""
+    made = build.DailyBuild(spark, S.folder(spark, "marts"), T.read(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("segment")))
+    facts = {
+        "events": T.events(spark, sf).select(F.col("day").alias("part"), "event_id", "account_id", "event", "ts", "value", "k", "product"),
+        "charges": T.charges(spark, sf).select(F.col("month").alias("part"), "customer", "price", "annual", "ok", "ts"),
+        "returns": T.read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(calendar.month(F.col("l_shipdate")).alias("part"), F.col("l_shipdate").alias("shipped")),
+    }
+    with ThreadPoolExecutor(len(facts)) as pool:
+        list(pool.map(lambda kv: made.add(kv[0], kv[1], 1), facts.items()))
+    made.refresh()
+    return made
+
+
+def _cells(period, **metrics):
+    """Rows to be, as an array; metrics: value, n and, if given, before."""
+    null = F.lit(None)
+    return F.array(*[F.struct(F.lit(name).alias("metric"), period.alias("period"), value.cast("double").alias("value"), (more[1] if len(more) > 1 else null).cast("double").alias("before"), (more[0] if more and more[0] is not None else null).cast("long").alias("n")) for name, (value, *more) in metrics.items()])
+
+
+def _long(frame: DataFrame, *cells) -> DataFrame:
+    """(metric, period, value, before, n): what the arrays of a row hold, where there is a value."""
+    return frame.select(F.explode(F.concat(*cells) if len(cells) > 1 else cells[0]).alias("c")).select("c.*").where("value is not null")
+
+
+def _last(part: str, whole) -> Column:
+    """The row is the last of its week or month, and so speaks for all of it. Frames have a row for each day."""
+    return F.col(part) == F.max(part).over(W.partitionBy(whole))
+
+
+def _weeks(activity_: DataFrame, tickets: DataFrame) -> DataFrame:
+    """Metrics of accounts by week; an account's week first, so that a person counts once."""
+    week, c = calendar.monday(F.col("part")), F.col
+    own = activity_.groupBy(week.alias("week"), "account_id").agg(F.count(F.lit(1)).alias("days"), F.count_if(c("errors") == 0).alias("good"), F.max(F.when(c("held") > 0, c("part"))).alias("last"), *[F.sum(n).alias(n) for n in ("held", "notes", "errors", "entered", "finished", "unfinished", "privacy")])
+    rows = own.groupBy("week").agg(F.sum("held").alias("sessions"), F.count_if((c("held") > 0) & c("account_id").isNotNull()).alias("wau"), F.max("last").alias("last"), F.sum("days").alias("days"), F.sum("good").alias("good"), F.count("account_id").alias("users"), F.count_if((c("errors") == 0) & c("account_id").isNotNull()).alias("good_users"), *[F.sum(n).alias(n) for n in ("notes", "errors", "entered", "finished", "unfinished", "privacy")])
+    mau = activity.trailing_distinct(activity_.where("held > 0").withColumnRenamed("part", "day"), 30, "mau").withColumnRenamed("day", "_day")
+    kinds = tickets.select(week.alias("_week"), "account_id", "k").distinct().groupBy("_week").agg(F.count(F.lit(1)).alias("tickets"))
+    rows = rows.join(mau, c("last") == c("_day"), "left").join(kinds, c("week") == c("_week"), "left").withColumn("tickets", F.coalesce("tickets", F.lit(0)))
+    held, came = c("sessions") > 0, c("entered") > 0
+    of = lambda flag: W.partitionBy(flag).orderBy("week")  # noqa: E731  a row for each week
+    before = F.lag("sessions").over(of(held))
+    rows = rows.withColumns({"history": F.row_number().over(of(held)), "arrivals": F.row_number().over(of(came)), "before": before, "flat": F.coalesce(c("sessions") <= before, F.lit(False))})
+    three = of(held).rowsBetween(-2, 0)
+    stalled = (F.count(F.lit(1)).over(three) == 3) & (F.min(c("flat").cast("int")).over(three) == 1)
+    factor = F.round(F.greatest(F.try_divide(c("sessions").cast("double"), c("before")), F.try_divide(c("before").cast("double"), c("sessions"))), 6)
+    bookings = c("sessions") + c("errors")
+    pc = lambda part, whole: activity.share(part, whole) * 100
+    return _long(
+        rows.withColumn("stalled", stalled.cast("int")), _cells(c("week"),
+        sessions_week=(F.when(held, c("sessions")), c("history")), sessions_stalled_3w=(F.when(held, c("stalled")), c("history")), contradiction_factor=(F.when(held, factor),),
+        wau_mau=(F.when(held, pc(c("wau"), c("mau"))), c("wau")), unfinished_share=(pc(c("unfinished"), c("finished")), c("finished")), installs_week=(F.when(came, c("entered")), c("arrivals")),
+        cancelled_share=(pc(c("errors"), bookings), bookings), crash_free_sessions=(pc(c("good"), c("days")), c("days")), crash_free_users=(pc(c("good_users"), c("users")), c("users")),
+        tickets_per_100=(F.when(held, activity.share(c("tickets") * 100, c("wau"))), c("tickets")), privacy_tickets=(F.when(c("privacy") > 0, c("privacy")), c("privacy")),
+        negative_share=(pc(c("errors"), c("errors") + c("notes")), c("errors") + c("notes")),
+    ))
+
+
+def _days(days: DataFrame) -> DataFrame:
+    """Metrics of days, of weeks of them, and of the silence between days with a pulse. Windows over a row for each day."""
+    c, week = F.col, calendar.monday(F.col("part"))
+    of = W.partitionBy(week)
+    rows = days.withColumns({f"w_{n}": F.sum(n).over(of) for n in ("held", "covered", "errors", "overdue")} | {"speaks": _last("part", week), "week": week})
+    seen = W.partitionBy(c("requests") > 0).orderBy("part").rowsBetween(-7, -1)
+    beats = W.partitionBy(c("pulse") > 0).orderBy("part")
+    until = F.coalesce(F.date_sub(F.lead("part").over(beats), 1), c("part"))  # the last day with a pulse is the end of the series
+    rows = rows.withColumns({"ratio": F.round(F.try_divide(c("p95"), F.avg("p95").over(seen)), 6), "silent": F.when(c("pulse") > 0, F.sequence("part", until))})
+    weekly = _cells(c("week"), note_coverage=(F.when(c("speaks"), activity.share(c("w_covered"), c("w_held")) * 100), c("w_held")), overdue_tickets=(F.when(c("speaks") & (c("w_errors") > 0), c("w_overdue")), c("w_overdue")))
+    daily_ = _cells(c("part"), uptime=(activity.share(c("good_minutes"), c("minutes")) * 100,), p95_to_norm=(c("ratio"), c("requests")), negative_burst_24h=(c("burst"), c("burst")),
+                    undelivered_reminders=(F.round(F.try_divide((c("due") - c("sent")) * 100.0, c("due")), 6), c("due")))
+    silent = F.transform(F.coalesce("silent", F.expr("cast(array() as array<date>)")), lambda d: _cells(d, silent_days=(F.date_diff(d, c("part")),))[0])
+    return _long(rows, weekly, daily_, silent)
+
+
+def _charges(revenue_: DataFrame) -> DataFrame:
+    """First payments and renewals by week, and trials by the month they began in; a trial is closed 44 days after its day, once there are later charges. Windows over a row for each day."""
+    c, week = F.col, calendar.monday(F.col("day"))
+    closed = F.date_add("day", daily.TRIAL + daily.IN_TIME) < F.max("day").over(W.partitionBy())
+    rows = revenue_.withColumns({n: F.sum(n).over(W.partitionBy(week)).alias(n) for n in ("charges", "succeeded", "first_succeeded")} | {"firsts": F.sum("first_charges").over(W.partitionBy(week)), "closed": closed, "speaks": _last("day", week), "ends": _last("day", F.col("part")), "week": week})
+    sums = lambda n: F.sum(F.when(c("closed"), c(n))).over(W.partitionBy("part"))
+    rows = rows.withColumns({"trials": sums("first_charges"), "paid": sums("paid_after_trial")}).withColumn("judged", c("ends") & F.coalesce(c("trials") > 0, F.lit(False)))
+    rows = rows.withColumn("conversion", activity.share(c("paid"), c("trials")))
+    two = W.partitionBy("judged").orderBy("part", "day").rowsBetween(-1, 0)
+    band = (F.count(F.lit(1)).over(two) == 2) & (F.min(((c("conversion") >= 0.1) & (c("conversion") < 0.15)).cast("int")).over(two) == 1)
+    rows = rows.withColumn("band", band.cast("int"))
+    again, ok = c("charges") - c("firsts"), c("succeeded") - c("first_succeeded")
+    now = lambda v, flag: F.when(c(flag), v)
+    billing = _cells(c("week"), renewal_success=(now(activity.share(ok, again) * 100, "speaks"), again), first_payment_success=(now(activity.share(c("first_succeeded"), c("firsts")) * 100, "speaks"), c("firsts")))
+    return _long(rows, billing, _cells(c("part"), trial_conversion=(now(c("conversion") * 100, "judged"), c("trials")), trial_conversion_two_in_band=(now(c("band"), "judged"), c("trials"))))
+
+
+def _months(months: DataFrame) -> DataFrame:
+    """Recurring revenue, churn and the worst segment's LTV to CAC from customers' months: one pass, grouped by month and by segment."""
+    c = F.col
+    following = F.lead("part").over(W.partitionBy("customer").orderBy("part"))
+    rows = months.withColumn("gone", F.coalesce(following > F.add_months("part", 1), F.lit(True)))
+    sums = rows.groupingSets([["part"], ["segment"]], "part", "segment").agg(F.grouping("part").alias("by_segment"), F.sum("amount").alias("amount"), F.count(F.lit(1)).alias("n"), F.count_if("gone").alias("gone"), F.count_if(c("gone") & c("failed")).alias("failed"), F.count_distinct("customer").alias("customers"))
+    month, every = c("by_segment") == 0, W.partitionBy()  # a row for each month and segment
+    ltv, cac = c("amount").cast("double") / c("customers"), c("amount") * 0.05 / c("customers")
+    sums = sums.withColumns({"last": F.max("part").over(every), "worst": F.min(F.when(~month, F.round(F.try_divide(ltv, cac), 4))).over(every)}).where(month)
+    ended = c("part") < c("last")
+    now = _cells(c("part"), mrr=(c("amount") / 100.0, c("n")), arpu=(c("amount") / 100.0 / c("n"), c("n")), involuntary_churn=(F.when(ended, activity.share(c("failed"), c("gone")) * 100), c("gone")), ltv_cac=(F.when(~ended, c("worst")),))
+    return _long(sums, now, _cells(F.add_months("part", 1), account_churn=(F.when(ended, activity.share(c("gone"), c("n")) * 100), c("n"))))
+
+
+def values(made: build.DailyBuild) -> DataFrame:
+    """(metric, period, value, prev, n) of the metrics that marts give. Shares are per cent, money is whole units; only marts are read."""
+    c = F.col
+    cohorts_ = made.read("cohorts").groupBy(calendar.monday(c("part")).alias("week")).agg(*[F.sum(n).alias(n) for n in ("entered", "activated", "d1", "d7")])
+    pc = lambda part: activity.share(c(part), c("entered")) * 100
+    refunds = made.read("returned").groupBy(calendar.monday(c("day")).alias("week")).agg(F.sum("returned").alias("refunds"))
+    parts = (
+        _weeks(made.read("activity"), made.read("tickets")), _days(made.read("days")), _charges(made.read("revenue")), _months(made.read("months")),
+        _long(cohorts_, _cells(c("week"), activation=(pc("activated"), c("entered")), retention_d1=(pc("d1"), c("entered")), retention_d7=(pc("d7"), c("entered")))),
+        _long(refunds, _cells(c("week"), refunds_week=(c("refunds"),))), _long(made.read("releases"), _cells(c("part"), cancellations_after_release=(c("after"), c("after"), c("before")))),
+    )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     prev = F.coalesce("before", F.lag("value").over(W.partitionBy("metric").orderBy("period")))  # a series has a row per period
     return out.select("metric", "period", "value", prev.alias("prev"), "n")
 
 
+_SQL_OF = {name: m.R.oracles[name] for m in (product, revenue, health) for name in m.R.oracles} | R.oracles
+
+
 def _sql() -> str:
-    parts = []
-    for metric, names, period, value, before, n in METRICS:
-        first, *more = names.split()
-        source = f"({_ALL[first][1]}) a" + "".join(f" JOIN ({_ALL[q][1]}) b{i} USING (week)" for i, q in enumerate(more))
-        cell = lambda e, kind: f"CAST({e} AS {kind})" if e else f"CAST(NULL AS {kind})"
-        parts.append(f"SELECT * FROM (SELECT '{metric}' AS metric, {cell(period, 'DATE')} AS period, {cell(value, 'DOUBLE')} AS value, {cell(before, 'DOUBLE')} AS before, {cell(n, 'BIGINT')} AS n FROM {source}) WHERE value IS NOT NULL")
-    parts.append(f"SELECT 'trial_conversion_two_in_band', cohort, CASE WHEN count(*) OVER w = 2 AND min((conversion >= 0.1 AND conversion < 0.15)::INT) OVER w = 1 THEN 1 ELSE 0 END::DOUBLE, NULL, trials FROM ({_ALL['trial_conversion'][1]}) WINDOW w AS (ORDER BY cohort ROWS 1 PRECEDING)")
-    parts.append(f"SELECT 'ltv_cac', (SELECT max(CAST(date_trunc('month', o_orderdate) AS DATE)) FROM orders), min(ltv_cac), NULL, NULL FROM ({_ALL['ltv_cac'][1]})")
-    return "u AS (" + "\nUNION ALL ".join(parts) + "),\nv AS (SELECT metric, period, value, coalesce(before, lag(value) OVER (PARTITION BY metric ORDER BY period)) AS prev, n FROM u)"
-
-
-#: The common table expressions u and v, v being (metric, period, value, prev, n), in DuckDB.
-VALUES_SQL = _sql()
+    """The same metrics in DuckDB, each typed out over the SQL of a registered query, without a mart."""
+    q = lambda name: f"({_SQL_OF[name]})"
+    charges = "SELECT o_custkey AS customer, o_orderdate AS ts, CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders"
+    trials = f"""(WITH c AS ({charges}), t AS (SELECT customer, min(ts) AS start FROM c GROUP BY 1),
+  f AS (SELECT t.*, EXISTS (SELECT 1 FROM c WHERE c.customer = t.customer AND c.ts > t.start + INTERVAL 30 DAY AND c.ts <= t.start + INTERVAL 44 DAY) AS paid FROM t)
+  SELECT CAST(date_trunc('month', start) AS DATE) AS cohort, count(*) AS trials, round(avg(paid::INT), 6) AS conversion FROM f WHERE CAST(start AS DATE) + 44 < (SELECT max(CAST(ts AS DATE)) FROM c) GROUP BY 1)"""
+    return "u(metric, period, value, before, n) AS (" + f"""
+SELECT 'renewal_success', week, success * 100, NULL::DOUBLE, attempts FROM {q("billing_weekly")} WHERE kind = 'renewal'
+UNION ALL SELECT 'first_payment_success', week, success * 100, NULL, attempts FROM {q("billing_weekly")} WHERE kind = 'first'
+UNION ALL SELECT 'trial_conversion', cohort, conversion * 100, NULL, trials FROM {trials}
+UNION ALL SELECT 'trial_conversion_two_in_band', cohort, CASE WHEN count(*) OVER w = 2 AND min((conversion >= 0.1 AND conversion < 0.15)::INT) OVER w = 1 THEN 1 ELSE 0 END, NULL, trials FROM {trials} WINDOW w AS (ORDER BY cohort ROWS 1 PRECEDING)
+UNION ALL SELECT 'mrr', month, mrr / 100.0, NULL, paying FROM {q("mrr")}
+UNION ALL SELECT 'arpu', month, mrr / 100.0 / paying, NULL, paying FROM {q("mrr")}
+UNION ALL SELECT 'account_churn', month, account_churn * 100, NULL, at_start FROM {q("churn")}
+UNION ALL SELECT 'involuntary_churn', month, involuntary_share * 100, NULL, left_accounts FROM {q("involuntary_churn")}
+UNION ALL SELECT 'ltv_cac', (SELECT max(month) FROM ({charges})), min(ltv_cac), NULL, NULL FROM {q("ltv_cac")}
+UNION ALL SELECT 'refunds_week', week, refunds, NULL, NULL FROM {q("refunds_weekly")}
+UNION ALL SELECT 'sessions_week', week, sessions, NULL, row_number() OVER (ORDER BY week) FROM {q("nsm_weekly")}
+UNION ALL SELECT 'sessions_stalled_3w', week, stalled::INT, NULL, history FROM {q("sessions_stalled")}
+UNION ALL SELECT 'contradiction_factor', week, factor, NULL, NULL FROM {q("contradiction_factor")}
+UNION ALL SELECT 'activation', cohort, rate * 100, NULL, entered FROM {q("activation")}
+UNION ALL SELECT 'retention_d1', cohort, d1 * 100, NULL, size FROM {q("retention_d")}
+UNION ALL SELECT 'retention_d7', cohort, d7 * 100, NULL, size FROM {q("retention_d")}
+UNION ALL SELECT 'note_coverage', week, coverage * 100, NULL, held FROM {q("coverage_72h")}
+UNION ALL SELECT 'wau_mau', week, ratio * 100, NULL, wau FROM {q("wau_mau")}
+UNION ALL SELECT 'unfinished_share', week, unfinished_share * 100, NULL, finished FROM {q("unfinished_share")}
+UNION ALL SELECT 'installs_week', week, installs, NULL, history FROM {q("installs_weekly")}
+UNION ALL SELECT 'cancelled_share', week, round(errors::DOUBLE / bookings, 6) * 100, NULL, bookings FROM (SELECT week, count(*) FILTER (WHERE event = 'error') AS errors, count(*) FILTER (WHERE event IN ('error', 'purchase')) AS bookings FROM evs GROUP BY 1) WHERE bookings > 0
+UNION ALL SELECT 'crash_free_sessions', week, crash_free_sessions * 100, NULL, sessions FROM {q("crash_free")} JOIN {q("crash_base")} USING (week)
+UNION ALL SELECT 'crash_free_users', week, crash_free_users * 100, NULL, users FROM {q("crash_free")} JOIN {q("crash_base")} USING (week)
+UNION ALL SELECT 'tickets_per_100', week, per_100, NULL, tickets FROM {q("tickets_per_100")}
+UNION ALL SELECT 'privacy_tickets', week, tickets, NULL, tickets FROM {q("privacy_tickets")}
+UNION ALL SELECT 'negative_share', week, negative_share * 100, NULL, mentions FROM {q("negative_share")}
+UNION ALL SELECT 'overdue_tickets', week, overdue, NULL, overdue FROM {q("overdue_weekly")}
+UNION ALL SELECT 'uptime', day, uptime * 100, NULL, NULL FROM {q("uptime")}
+UNION ALL SELECT 'p95_to_norm', day, ratio, NULL, requests FROM {q("p95_norm")}
+UNION ALL SELECT 'undelivered_reminders', day, round((due - sent) * 100.0 / due, 6), NULL, due FROM {q("outbox_counters")}
+UNION ALL SELECT 'negative_burst_24h', day, most, NULL, most FROM {q("negative_bursts")}
+UNION ALL SELECT 'silent_days', day, silent_days, NULL, NULL FROM {q("silence_days")}
+UNION ALL SELECT 'cancellations_after_release', CAST(released + INTERVAL 3 HOUR AS DATE), after, before, after FROM {q("release_cancellations")}
+),
+v AS (SELECT metric, period, value, coalesce(before, lag(value) OVER (PARTITION BY metric ORDER BY period)) AS prev, n FROM u WHERE value IS NOT NULL)"""
+
+
+#: The common table expressions evs, u and v, v being (metric, period, value, prev, n), in DuckDB.
+VALUES_SQL = CTE["ev"].replace("ev AS", "evs AS", 1) + ",\n" + _sql()
