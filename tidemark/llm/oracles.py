@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.llm.secrets import RULES
-
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 OP1 = r"""
@@ -23,17 +21,29 @@ FROM judged GROUP BY doc_id
 """
 
 
+#: Kind, pattern, group that is judged and its least length: the three base kinds as the contract words them, then public token formats.
+_SECRETS = (
+    ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]+", 0, 16),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("jwt", r"[A-Za-z0-9_-]*?eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1),
+    ("forge", r"gh[opsu]_[A-Za-z0-9]+", 0, 40),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
+)
+
+
 def _op2() -> str:
     parts = []
-    for i, r in enumerate(RULES):
-        p = r.pattern.replace("'", "''")
-        judged = f"regexp_extract(m, '{p}', {r.group})" if r.group else "m"
+    for i, (kind, pattern, group, least) in enumerate(_SECRETS):
+        p = pattern.replace("'", "''")
+        judged = f"regexp_extract(m, '{p}', {group})" if group else "m"
         parts.append(f"""
-  SELECT doc_id, {i} AS rank, '{r.kind}' AS kind, start, start + length(m) AS stop FROM (
+  SELECT doc_id, {i} AS rank, '{kind}' AS kind, start, start + length(m) AS stop FROM (
     SELECT doc_id, m, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY pos) - length(m) AS BIGINT) AS start FROM (
       SELECT doc_id, generate_subscripts(ms, 1) AS pos, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap FROM (
         SELECT doc_id, regexp_extract_all(text, '{p}', 0) AS ms, string_split_regex(text, '{p}') AS gaps FROM documents WHERE text IS NOT NULL) WHERE len(ms) > 0))
-  WHERE length({judged}) >= {r.min_chars}""")
+  WHERE length({judged}) >= {least}""")
     listed = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE {where}), '')"
     return f"""
 WITH spans AS ({" UNION ALL ".join(parts)})

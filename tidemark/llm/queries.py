@@ -13,7 +13,7 @@ from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.mixing import mix
 from tidemark.llm.neighbours import nearest_neighbours
 from tidemark.llm.packing import pack_documents
-from tidemark.llm.secrets import BASE, listed, scan_secrets
+from tidemark.llm.secrets import BASE, commits, listed, scan_secrets
 from tidemark.llm.sharding import shard_documents
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.toxicity import score_toxicity
@@ -31,7 +31,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), versions=2).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = scan_secrets(docs, history=commits(docs)).drop("text")
     base = F.filter("secrets", lambda s: s["kind"].isin([r.kind for r in BASE]))
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))

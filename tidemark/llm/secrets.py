@@ -48,10 +48,11 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]{14,}", 0, 18, ("AKIA",)),
     Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
 )
-# Public token formats that the base kinds do not name. The head of a jwt is bounded, or runs of "eyJ" would cost their length squared.
+# Public token formats that the base kinds do not name. A jwt is tried once a run of its characters, where the run begins, and from the run's first "eyJ": so
+# runs of any length cost no more than their length. What stands before that in the run is part of the span.
 EXTRA = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, ("-----BEGIN ",)),
-    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{1,1000}\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1, (".eyJ",)),
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?eyJ)[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 1, (".eyJ",)),
     Rule("forge", 1, r"gh[opsu]_[A-Za-z0-9]+", 0, 40, ("gho_", "ghp_", "ghs_", "ghu_")),
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]+", 0, 20, ("xox",)),
 )
@@ -60,34 +61,41 @@ _FOUND = "sha string, kind string, version int, start long, stop long"
 _SEEN = "sha string, kind string, version int"
 
 
+_PIECE = "rule int, pos int, gap bigint, size bigint, ok boolean, text string"
+
+
 def _spans(i: int, rule: Rule) -> Column:
-    """Of a text: for each match of a rule, the length of the piece before it, its own, and whether it is long enough."""
+    """Of a text: for each match of a rule its place in order, the length of the piece before it, its own, and whether it is long enough."""
 
-    def one(gap: Column, match: Column) -> Column:
+    def one(gap: Column, match: Column, pos: Column) -> Column:
         judged = F.regexp_extract(match, rule.pattern, rule.group) if rule.group else match
-        return F.struct(F.lit(i).alias("rule"), F.length(gap).cast("long").alias("gap"), F.length(match).cast("long").alias("size"), (F.length(judged) >= rule.min_chars).alias("ok"))
+        return F.struct(F.lit(i).alias("rule"), pos.alias("pos"), F.length(gap).cast("long").alias("gap"), F.length(match).cast("long").alias("size"), (F.length(judged) >= rule.min_chars).alias("ok"), F.lit(None).cast("string").alias("text"))
 
     said = F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(0))
-    return F.zip_with(F.slice(F.split("text", rule.pattern, -1), F.lit(1), F.size(said)), said, one)
+    both = F.arrays_zip(F.slice(F.split("text", rule.pattern, -1), F.lit(1), F.size(said)).alias("gap"), said.alias("match"))
+    return F.transform(both, lambda m, pos: one(m["gap"], m["match"], pos))
 
 
-def _scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Findings of (sha, text, todo): the rules named in todo, on whole texts, in code points.
+def _pieces(blobs: DataFrame, rules: tuple[Rule, ...], aside: Column | None = None) -> DataFrame:
+    """(sha, rule, pos, gap, size, ok, text): the matches of (sha, text, todo), by the rules named in todo. Where `aside` holds nothing is matched and the one row has the text.
 
-    Most texts match no rule: they go by plain tests, and only of the rest are matches listed. Matches and the pieces between them
-    alternate, so a running sum of their lengths gives positions.
+    Most texts match no rule: they go by plain tests, and only of the rest are matches listed.
     """
     text, lower = F.col("text"), F.lower("text")
-    wanted = [F.array_contains("todo", F.lit(i)) & r.may_match(text, lower) for i, r in enumerate(rules)]
-    hits = blobs.select("sha", "text", F.filter(F.array(*[F.when(w, F.lit(i)) for i, w in enumerate(wanted)]), lambda i: i.isNotNull()).alias("which"))
+    none = F.expr(f"cast(array() as array<struct<{_PIECE.replace(' ', ':').replace(',:', ',')}>>)")
+    found = F.concat(*[F.when(F.array_contains("todo", F.lit(i)) & r.may_match(text, lower), _spans(i, r)).otherwise(none) for i, r in enumerate(rules)])
+    if aside is not None:
+        empty = F.lit(None)
+        whole = F.array(F.struct(empty.cast("int").alias("rule"), empty.cast("int").alias("pos"), empty.cast("long").alias("gap"), empty.cast("long").alias("size"), empty.cast("boolean").alias("ok"), text.alias("text")))
+        found = F.when(aside, whole).otherwise(found)
     # Outer, as before an inner explode the optimiser puts a filter on the array's size, and runs all patterns a second time for it.
-    hits = hits.select("sha", "text", F.explode_outer("which").alias("rule")).where("rule is not null")
-    found = F.lit(None)
-    for i, r in enumerate(rules):
-        found = F.when(F.col("rule") == i, _spans(i, r)).otherwise(found)
-    hits = hits.select("sha", F.posexplode_outer(found).alias("pos", "m")).where("pos is not null").select("sha", "pos", "m.*")
+    return blobs.select("sha", F.explode_outer(found).alias("m")).where("m is not null").select("sha", "m.*")
+
+
+def _placed(pieces: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Findings, in code points. Matches and the pieces between them alternate, so a running sum of their lengths gives positions."""
     upto = W.partitionBy("sha", "rule").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    hits = hits.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(upto)).where("ok")
+    hits = pieces.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(upto)).where("ok")
     kind, version = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.version) for r in rules])
     return hits.select("sha", F.get(kind, F.col("rule")).alias("kind"), F.get(version, F.col("rule")).alias("version"), (F.col("stop") - F.col("size")).alias("start"), "stop")
 
@@ -135,15 +143,15 @@ class BlobLedger:
         def unseen(blobs: DataFrame) -> DataFrame:
             return blobs.join(seen, "sha", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", none))).drop("seen").where(F.size("todo") > 0)
 
-        # A text whose blob surely occurs once here and is new to the ledger is scanned where it is read; only others are shuffled to meet their like.
-        told = _marked(texts, shas.where("n > 1").select("sha").unionByName(seen.select("sha")))
-        once = told.where(~F.col("perhaps")).select("sha", "text", every.alias("todo"))
-        again = unseen(told.where("perhaps").select("sha", "text").dropDuplicates(["sha"]))
-        _scan(once.unionByName(again.select("sha", "text", "todo")), rules).write.mode("append").parquet(f"{self.path}/findings")
+        # One pass over the texts: one whose blob surely occurs once here and is new to the ledger is matched where it is read; only others are put aside, to meet their like.
+        told = _marked(texts, shas.where("n > 1").select("sha").unionByName(seen.select("sha"))).withColumn("todo", every)
+        pieces, pieces_path = scratch.stored(_pieces(told, rules, F.col("perhaps")), "blob-pieces")
+        again = unseen(pieces.where("text is not null").select("sha", "text").dropDuplicates(["sha"]))
+        _placed(pieces.where("text is null").unionByName(_pieces(again, rules)), rules).write.mode("append").parquet(f"{self.path}/findings")
         kind, version = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.version) for r in rules])
         fresh = unseen(shas.select("sha")).select("sha", F.explode("todo").alias("i"))
         fresh.select("sha", F.get(kind, F.col("i")).alias("kind"), F.get(version, F.col("i")).alias("version")).write.mode("append").parquet(f"{self.path}/scanned")
-        scratch.drop(self.spark, path)
+        scratch.drop(self.spark, path, pieces_path)
 
     def join_back(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """docs plus secrets: array of (start, rank, kind, stop) of the given rule versions, by start and then rule order."""
@@ -157,19 +165,29 @@ class BlobLedger:
         return rows.join(per_blob, F.col(own) == F.col(sha), "left").withColumn("secrets", F.coalesce("secrets", none)).drop(own, sha)
 
 
-def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES, versions: int = 1) -> DataFrame:
+def commits(docs: DataFrame, n: int = 2) -> list[DataFrame]:
+    """docs in n parts by the files they lie in, as commits of a history: each reads its own files only. A table of fewer files is one part."""
+    files = sorted(docs.inputFiles())
+    if len(files) < n:
+        return [docs]
+    reader = docs.sparkSession.read.schema(docs.schema)
+    return [reader.parquet(*files[i::n]) for i in range(n)]
+
+
+def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES, history: list[DataFrame] | None = None) -> DataFrame:
     """docs plus a `secrets` column; unseen (blob, rule version) pairs are scanned, the rest comes from the ledger.
 
-    docs go to the ledger in `versions` parts by doc_id, one after another, as commits of a history would; a later part scans
-    only what earlier ones did not hold. All rows are answered, whatever the number of parts.
+    history: docs in parts that reach the ledger one after another, as commits do; a later part scans
+    only what earlier ones did not hold. All rows are answered, whatever the parts. A text is read three times: for its digest, to be
+    scanned, and to be answered.
 
     Edge cases: null text is the empty text, which has no secrets. Equal texts share one blob, whatever
-    their ids; rows with null or repeated ids each get the findings of their text. An empty table gives an
+    their ids; rows with null or repeated ids each get the findings of their text. Tokens of any length are found whole. An empty table gives an
     empty table. Without a ledger a new one is made in the shared scratch folder. An input column `secrets` is replaced; all others, of whatever name, come along.
     """
     ledger = ledger or BlobLedger(docs.sparkSession, scratch.folder(docs.sparkSession, "blob-ledger"))
-    for i in range(versions):
-        ledger.scan(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(versions)) == i) if versions > 1 else docs, rules)
+    for part in history or [docs]:
+        ledger.scan(part, rules)
     return ledger.join_back(docs, rules)
 
 
