@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import ingest
@@ -11,7 +12,7 @@ from tidemark.plans import governance
 from tidemark.plans.base import Registry
 from tidemark.sources import tables as T
 from tidemark.streaming import ingest as S
-from tidemark.streaming import limits
+from tidemark.streaming import limits, outbox, timers
 
 R = Registry()
 _STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -84,3 +85,67 @@ def stream_rate_limit(spark, sf):
     with rocksdb(spark):
         out = S.drained(limits.rate_limited(rows, 2, 600), "limited")
     return out.select(F.col("event_id").cast("long").alias("event_id"), "device_id", "accepted")
+
+
+@R.query("""
+WITH once AS (SELECT DISTINCT account_id, day FROM ev WHERE event = 'purchase'), days AS (SELECT DISTINCT day FROM once WHERE day < (SELECT max(day) FROM once))
+SELECT d.day, count(DISTINCT o.account_id) AS mau FROM days d JOIN once o ON o.day <= d.day AND o.day > d.day - 30 GROUP BY d.day
+""", uses="ev")
+def stream_mau(spark, sf):
+    """Trailing-30-day actives from a stream, exactly: an account's state says when it joins the count and a timer when it leaves; a day is told once it is over."""
+    with rocksdb(spark):
+        steps = S.drained(timers.trailing_steps(_events(spark, sf).where("event = 'purchase'").select("account_id", "ts"), watermark="0 seconds"), "mau")
+    moves = steps.groupBy("day").agg(F.sum("n").alias("n"), F.max("seen").alias("seen"))
+    return moves.withColumn("mau", F.sum("n").over(W.orderBy("day"))).where("seen").select("day", "mau")  # a row for each day
+
+
+@R.query("""
+WITH d AS (SELECT DISTINCT day FROM ev WHERE event = 'purchase' AND k >= 97), s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) - 1 FROM ev), INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT s.day, max(d.day) OVER (ORDER BY s.day) AS last_seen, CAST(s.day - max(d.day) OVER (ORDER BY s.day) AS INT) AS silent_days FROM s LEFT JOIN d ON s.day = d.day
+""", uses="ev")
+def stream_silence(spark, sf):
+    """Days since the last data, from a stream: timers speak of every day that is over, as long as anything at all moves time on."""
+    name = F.when((F.col("event") == "purchase") & (F.col("k") >= 97), "pulse")
+    with rocksdb(spark):
+        rows = S.drained(timers.silence(_events(spark, sf).select("event", "k", "ts"), name, watermark="0 seconds"), "silence")
+    return rows.select("day", "last_seen", "silent_days")
+
+
+@R.query()
+def stream_offline_queue(spark, sf):
+    """An account's events through its offline queue: an error takes its network down, a sign-up brings it up again. When each was sent, and after how many refusals."""
+    ev = _events(spark, sf)
+    kind = F.when(F.col("event") == "error", "down").when(F.col("event") == "signup", "up").otherwise("event")
+    rows = ev.select(F.col("account_id").cast("string").alias("device_id"), kind.alias("kind"), F.col("event_id").cast("string").alias("event_id"), "ts")
+    with rocksdb(spark):
+        out = S.drained(timers.offline_queue(rows, watermark="0 seconds"), "offline")
+    return out.select(F.col("event_id").cast("long").alias("event_id"), "device_id", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"), "pass", "refused")
+
+
+@R.query("""
+WITH s AS (SELECT event_id AS session_id, k, ts FROM ev WHERE event = 'purchase'), m AS (SELECT s.*, unnest(['client_1h', 'client_24h']) AS kind FROM s),
+d AS (SELECT *, CASE WHEN kind = 'client_1h' THEN ts - INTERVAL 1 HOUR ELSE ts - INTERVAL 24 HOUR END + CASE WHEN k >= 90 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END AS due_at FROM m),
+o AS (SELECT *, k % 3 <> 0 AS ok, k % 10 = 1 AS twice FROM d)
+SELECT session_id, kind, CASE WHEN k = 13 THEN 'skipped' WHEN ok THEN 'sent' ELSE 'pending' END AS status, CAST(CASE WHEN k = 13 THEN 0 WHEN ok AND twice THEN 2 ELSE 1 END AS INT) AS attempts,
+  CAST(CASE WHEN k = 13 OR NOT ok THEN 0 WHEN twice THEN 2 ELSE 1 END AS INT) AS send_count, k <> 13 AND ok AND k % 2 = 0 AS late, due_at FROM o
+""", uses="ev")
+def outbox_rows(spark, sf):
+    """Two reminders a session through the outbox: planned in two micro-batches of which one comes twice and the second moves some, some skipped, all due ones claimed, results settled, one batch of them twice, and some sent again."""
+    box = outbox.Outbox(spark, S.folder(spark, "outbox"), 8)
+    s = T.of(T.events(spark, sf), "purchase").select(F.col("event_id").alias("session_id"), "k", F.col("ts").cast("timestamp").alias("ts"))
+    ahead = F.make_dt_interval(hours=F.when(F.col("kind") == "client_1h", 1).otherwise(24))
+    m = s.withColumn("kind", F.explode(F.array(F.lit("client_1h"), F.lit("client_24h")))).withColumn("due_at", F.col("ts") - ahead)
+    first = m.where("k < 95").select("session_id", "kind", "due_at")
+    moved = m.withColumn("due_at", F.col("due_at") + F.make_dt_interval(hours=F.when(F.col("k") >= 90, 2).otherwise(0))).select("session_id", "kind", "due_at")
+    for batch, rows in ((1, first), (1, first), (2, moved)):
+        box.plan(rows.unionByName(rows), "plan", batch)
+    box.skip(m.where("k = 13").select("session_id", "kind"))
+    now = F.lit("2025-01-01").cast("timestamp")
+    claimed = box.claim("w1", now).join(s.select("session_id", "k"), "session_id")
+    at = F.col("due_at") + F.make_dt_interval(mins=F.when(F.col("k") % 2 == 0, 20).otherwise(5))
+    results = claimed.select("session_id", "kind", (F.col("k") % 3 != 0).alias("ok"), at.alias("at"), F.lit("refused").alias("error"), "k")
+    box.settle(results.drop("k"), "results", 1)
+    box.settle(results.drop("k"), "results", 1)
+    again = box.rows().where("status = 'sent'").join(s.select("session_id", "k"), "session_id").where("k % 10 = 1")
+    box.settle(again.select("session_id", "kind", F.lit(True).alias("ok"), now.alias("at"), F.lit(None).cast("string").alias("error")), "results", 2)
+    return box.rows().select("session_id", "kind", "status", "attempts", "send_count", "late", F.col("due_at").cast("timestamp_ntz").alias("due_at"))
