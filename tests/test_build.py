@@ -9,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
-from tidemark.operators import alerts
+from tidemark.operators import activity, alerts, sketches
 from tidemark.plans import QUERIES
 from tidemark.sources import build
 from tidemark.sources.snapshots import Conflict, SnapshotTable
@@ -52,7 +52,9 @@ def fed(made, batch, **of):
 
 
 def state(made):
-    return {name: rows(made.read(name)) for name in made.tables}
+    """Rows of all tables; of sketches, as their bytes may differ, what they say."""
+    said = {"actives": lambda df: df.select("part", "product", F.theta_sketch_estimate("sketch").alias("n")), "latencies": lambda df: df.select("part", "event", F.kll_sketch_get_n_double("sketch").alias("n"), F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("q"))}
+    return {name: rows(said.get(name, lambda df: df)(made.read(name))) for name in made.tables}
 
 
 def test_late_rows_rebuild_what_they_touch_and_equal_a_full_build(spark, tmp_path, monkeypatch):
@@ -149,6 +151,24 @@ def test_snapshots_are_whole_numbered_and_swept(spark, tmp_path):
     assert t.vacuum(keep=1) > 0 and rows(t.read()) == [(1, 1), (1, 5), (3, 3)]
 
 
+def test_sketches_err_within_their_bounds(spark):
+    day = lambda i: F.date_add(F.to_date(F.lit("2024-01-01")), i.cast("int"))
+    ev = spark.range(400_000).select(day(F.col("id") % 40).alias("part"), (F.xxhash64("id") % 60_000).alias("account_id"), (F.col("id") % 2).cast("int").alias("product"), F.lit("purchase").alias("event"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) / 1e6).alias("value"))
+    ev = ev.unionByName(ev.limit(3).withColumns({"account_id": F.lit(None).cast("long"), "value": F.lit(None).cast("double")}))
+    for lg, bound in ((10, 0.1), (14, 0.025)):  # three standard errors
+        days = sketches.actives(ev, lg)
+        exact = {r["part"]: r["n"] for r in activity.trailing_distinct(ev.where("account_id is not null").withColumnRenamed("part", "day"), 30, "n").withColumnRenamed("day", "part").collect()}
+        got = {r["part"]: r["n"] for r in sketches.trailing(days, 30, "n", lg).collect()}
+        assert set(got) == set(exact) and all(abs(got[d] / exact[d] - 1) < bound for d in exact)
+        both = sketches.shared(days, F.lit(1), lg).first()["both"]
+        want = ev.where("product = 0").select("account_id").intersect(ev.where("product = 1").select("account_id")).where("account_id is not null").count()
+        assert abs(both - want) < bound * ev.select("account_id").distinct().count()
+    r = sketches.quantile(sketches.latencies(ev, 200), F.lit(1), 0.95, "p", k=200).first()
+    assert r["n"] == 400_000 and abs(r["p"] - 0.95) < 0.02  # values are even on [0, 1], so a value is its rank
+    assert abs(sketches.quantile(sketches.latencies(ev), F.lit(1), 0.95, "p").first()["p"] - 0.95) < 0.004
+    assert all(0.98 < r["ratio"] < 1.02 for r in sketches.against_norm(sketches.latencies(ev), 0.95, 7, "p").where("norm is not null").collect())
+
+
 def test_stale_and_missing_values_are_never_green(spark):
     values = spark.createDataFrame([("uptime", dt.date(2024, 1, 30), 99.9, 99.0, None), ("uptime", dt.date(2024, 2, 2), 50.0, 99.0, None), ("arpu", dt.date(2024, 1, 1), 500.0, 900.0, 40)], "metric string, period date, value double, prev double, n long")
     today = F.to_date(F.lit("2024-01-31"))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
-from tidemark.operators import activity, daily, intervals, series
+from tidemark.operators import activity, daily, intervals, series, sketches
 from tidemark.plans import health, product, revenue
 from tidemark.plans.base import CTE, Registry
 from tidemark.sources import build
@@ -132,20 +132,69 @@ def bookings_weekly(spark, sf):
     return T.events(spark, sf).groupBy("week").agg(F.count_if(F.col("event").isin("purchase", "error")).alias("bookings"))
 
 
-def marts(spark, sf: str) -> build.DailyBuild:
-    """The daily build over the tables at hand, as a first run makes it."""
-    made = build.DailyBuild(spark, S.folder(spark, "marts"), T.read(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("segment")))
+#: What the alert catalogue reads.
+CATALOGUE = ("activity", "tickets", "days", "releases", "cohorts", "revenue", "months", "returned")
+
+
+def marts(spark, sf: str, names: tuple[str, ...] = CATALOGUE) -> build.DailyBuild:
+    """The daily build of some marts over the tables at hand, as a first run makes it."""
+    made = build.DailyBuild(spark, S.folder(spark, "marts"), T.read(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("segment")), names)
+    needs = {build.FIRSTS[s][0] if s in build.FIRSTS else s for m in build.MARTS if m.name in names for s in m.reach}
     facts = {
-        "events": T.events(spark, sf).select(F.col("day").alias("part"), "event_id", "account_id", "event", "ts", "value", "k", "product"),
-        "charges": T.charges(spark, sf).select(F.col("month").alias("part"), "customer", "price", "annual", "ok", "ts"),
-        "returns": T.read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(calendar.month(F.col("l_shipdate")).alias("part"), F.col("l_shipdate").alias("shipped")),
+        "events": lambda: T.events(spark, sf).select(F.col("day").alias("part"), "event_id", "account_id", "event", "ts", "value", "k", "product"),
+        "charges": lambda: T.charges(spark, sf).select(F.col("month").alias("part"), "customer", "price", "annual", "ok", "ts"),
+        "returns": lambda: T.read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(calendar.month(F.col("l_shipdate")).alias("part"), F.col("l_shipdate").alias("shipped")),
     }
     with ThreadPoolExecutor(len(facts)) as pool:
-        list(pool.map(lambda kv: made.add(kv[0], kv[1], 1), facts.items()))
+        list(pool.map(lambda name: made.add(name, facts[name](), 1), sorted(needs)))
     made.refresh()
     return made
 
 
+@R.query("""
+SELECT week AS period, product, CAST(grouping(product) AS INT) AS is_total, count(DISTINCT account_id) AS wau FROM ev WHERE event = 'purchase' GROUP BY GROUPING SETS ((week, product), (week))
+""", uses="ev")
+def wau_sketch(spark, sf):
+    """Weekly actives by product and for the company, from the daily mart of sketches; exact up to 16,384 accounts."""
+    return sketches.with_total(marts(spark, sf, ("actives",)).read("actives"), calendar.monday(F.col("part")), "wau")
+
+
+@R.query("""
+WITH once AS (SELECT DISTINCT account_id, day FROM ev WHERE event = 'purchase'), days AS (SELECT DISTINCT day FROM once)
+SELECT d.day AS part, count(DISTINCT o.account_id) AS mau FROM days d JOIN once o ON o.day <= d.day AND o.day > d.day - 30 GROUP BY d.day
+""", uses="ev")
+def mau_sketch(spark, sf):
+    """Trailing-30-day actives from the daily mart of sketches."""
+    return sketches.trailing(marts(spark, sf, ("actives",)).read("actives"), 30, "mau")
+
+
+@R.query("""
+WITH w AS (SELECT DISTINCT week, product, account_id FROM ev WHERE event = 'purchase'), p AS (SELECT DISTINCT week, product FROM w)
+SELECT x.week AS period, x.product AS a, y.product AS b, (SELECT count(*) FROM w l JOIN w r USING (week, account_id) WHERE l.week = x.week AND l.product = x.product AND r.product = y.product) AS both,
+  (SELECT count(*) FROM w l WHERE l.week = x.week AND l.product = x.product AND NOT EXISTS (SELECT 1 FROM w r WHERE r.week = l.week AND r.account_id = l.account_id AND r.product = y.product)) AS only_a
+FROM p x JOIN p y ON x.week = y.week AND x.product < y.product
+""", uses="ev")
+def cross_product_actives(spark, sf):
+    """Accounts active in two products in a week, and in the first of them alone, from the daily mart of sketches."""
+    return sketches.shared(marts(spark, sf, ("actives",)).read("actives"), calendar.monday(F.col("part")))
+
+
+@R.query("SELECT week AS period, event, count(value) AS n, quantile_disc(value, 0.95) AS p95 FROM ev GROUP BY ALL", uses="ev")
+def p95_sketch(spark, sf):
+    """95th percentiles by week, merged from daily sketches; exact up to 2048 values a week, where they are the value at that rank."""
+    return sketches.quantile(marts(spark, sf, ("latencies",)).read("latencies"), calendar.monday(F.col("part")), 0.95, "p95", "event")
+
+
+@R.query("""
+WITH v AS (SELECT day, value FROM ev WHERE event = 'view'), d AS (SELECT day AS part, quantile_disc(value, 0.95) AS p95 FROM v GROUP BY 1),
+n AS (SELECT d.part, quantile_disc(v.value, 0.95) AS norm FROM d JOIN v ON v.day >= d.part - 7 AND v.day < d.part GROUP BY 1)
+SELECT part, p95, norm, round(p95 / norm, 6) AS ratio FROM d LEFT JOIN n USING (part)
+""", uses="ev")
+def p95_against_norm(spark, sf):
+    """A day's 95th percentile of views against that of all views of the week before it, from daily sketches."""
+    return sketches.against_norm(marts(spark, sf, ("latencies",)).read("latencies").where("event = 'view'"), 0.95, 7, "p95")
+
+
 def _cells(period, **metrics):
     """Rows to be, as an array; metrics: value, n and, if given, before."""
     null = F.lit(None)

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import daily
+from tidemark.operators import daily, sketches
 from tidemark.sources.snapshots import SnapshotTable
 
 
@@ -54,6 +54,8 @@ MARTS = (
     Mart("days", daily.DAYS, "day", {"events": (3, 1)}, lambda s, wanted: daily.days(s["events"], wanted)),
     Mart("releases", daily.RELEASES, "day", {"events": (3, 3)}, lambda s, wanted: daily.releases(s["events"], wanted)),
     Mart("cohorts", daily.COHORTS, "day", {"entries": (0, 0), "events": (14, 0)}, lambda s, _: daily.entry_cohorts(s["entries"], s["events"])),
+    Mart("actives", sketches.ACTIVES, "day", {"events": (0, 0)}, lambda s, _: sketches.actives(s["events"])),
+    Mart("latencies", sketches.LATENCIES, "day", {"events": (0, 0)}, lambda s, _: sketches.latencies(s["events"])),
     Mart("revenue", daily.REVENUE, "month", {"first_charges": (0, 0), "charges": (2, 0)}, lambda s, wanted: daily.revenue(s["charges"], s["first_charges"], wanted)),
     Mart("months", daily.MONTHS, "month", {"charges": (0, 0)}, lambda s, _: daily.months(s["charges"], s["segments"])),
     Mart("returned", daily.RETURNED, "month", {"returns": (0, 0)}, lambda s, _: daily.returned(s["returns"])),
@@ -66,11 +68,12 @@ FIRSTS = {"entries": ("events", "day", "event = 'signup'", "account_id", None),
 
 @dataclass
 class DailyBuild:
-    """Facts and marts under one path. segments: (customer, segment), a small dimension that is read whole."""
+    """Facts and marts under one path. segments: (customer, segment), a small dimension that is read whole; marts: those to build, all of them if none are named."""
 
     spark: SparkSession
     path: str
     segments: DataFrame
+    marts: tuple[str, ...] = tuple(m.name for m in MARTS)
     tables: dict[str, SnapshotTable] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -140,8 +143,10 @@ class DailyBuild:
 
     def refresh(self) -> dict[str, set[str]]:
         """Recompute what is dirty; gives the parts rewritten by table. Marts are independent and run at once; those that read a table of first rows wait for it."""
+        wanted = [m for m in MARTS if m.name in self.marts]
+        sources = {s for m in wanted for s in m.reach}
         with ThreadPoolExecutor(len(MARTS) + len(FIRSTS)) as pool:
-            firsts = {name: pool.submit(self._firsts, name) for name in FIRSTS}
+            firsts = {name: pool.submit(self._firsts, name) for name in FIRSTS if name in sources}
 
             def run(mart: Mart) -> set[str]:
                 for source in mart.reach:
@@ -149,7 +154,7 @@ class DailyBuild:
                         firsts[source].result()
                 return self._refreshed(mart)
 
-            marts = {m.name: pool.submit(run, m) for m in MARTS}
+            marts = {m.name: pool.submit(run, m) for m in wanted}
             return {name: made.result() for name, made in (firsts | marts).items()}
 
     def read(self, name: str) -> DataFrame:
