@@ -3,11 +3,12 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.registry import Event, Field
 from tidemark.operators import ingest
-from tidemark.sources.polling import PolledMessages, message_stream
+from tidemark.sources.polling import PolledMessages, Stretch, message_stream
 from tidemark.streaming import ingest as S
 from tidemark.streaming import limits
 
@@ -99,6 +100,41 @@ def test_polled_messages_resume_after_the_offset(spark, tmp_path):
     assert poll() == [(1, "/cpo a", 5), (2, "/cpo b", 5), (3, "/cpo c", 5)]
 
 
+def test_a_backlog_is_polled_in_bounded_batches_by_several_tasks(spark, tmp_path):
+    spark.dataSource.register(PolledMessages)
+    src, out, ck, own = tmp_path / "updates", str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "own")
+    src.mkdir()
+    line = lambda i: json.dumps({"update_id": i, "message": {"text": "é" * (i % 37), "chat": {"id": 5}, "from": {"first_name": "n"}}}) + "\n"
+    for part in range(4):
+        (src / f"{part}.jsonl").write_text("".join(line(i) for i in range(part * 200, part * 200 + 200)), encoding="utf-8")
+    bytes_ = sum(p.stat().st_size for p in src.iterdir())
+
+    def poll():
+        rows = spark.readStream.format("polled_messages").option("splitBytes", 1000).option("maxBytesPerBatch", 9000).option("progress", own).load(str(src))
+        sizes = []
+        q = rows.withColumn("task", F.spark_partition_id()).writeStream.foreachBatch(lambda b, n: (sizes.append((b.count(), b.select("task").distinct().count())), b.write.mode("overwrite").parquet(f"{out}/batch={n}"))).option("checkpointLocation", ck).start()
+        q.processAllAvailable()
+        q.stop()
+        return [s for s in sizes if s[0]], sorted(r["update_id"] for r in spark.read.parquet(out).collect())
+
+    sizes, ids = poll()
+    assert ids == list(range(800)) and len(sizes) >= bytes_ // 9000 and max(n for n, _ in sizes) < 200 and max(t for _, t in sizes) >= 8
+    with open(src / "3.jsonl", "a", encoding="utf-8") as f:
+        f.write(line(800))
+    (src / "4.jsonl").write_text(line(801))
+    assert poll()[1] == list(range(802))  # after a restart, also what was appended
+    with pytest.raises(ValueError):
+        PolledMessages({"path": str(src), "maxBytesPerBatch": "5"}).streamReader(None)
+
+
+def test_every_line_is_in_one_stretch(tmp_path):
+    p = tmp_path / "f"
+    p.write_bytes(b"a\nbb\n\nccc\nd")
+    for split in range(1, 14):
+        lines = [x for at in range(0, 11, split) for x in Stretch(str(p), at, min(at + split, 11)).lines()]
+        assert lines == [b"a\n", b"bb\n", b"\n", b"ccc\n", b"d"]
+
+
 def test_message_stream_reads_each_file_once(spark, tmp_path):
     src = tmp_path / "updates"
     src.mkdir()

@@ -81,3 +81,26 @@ def kept(rows: DataFrame, kind: str, day: str, today: Column) -> DataFrame:
 
 def last_meetings(rows: DataFrame, order: str, n: int = KEEP_MEETINGS) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.orderBy(F.col(order).desc()))).where(F.col("_n") <= n).drop("_n")
+
+
+def daily_lead(scores: DataFrame, day: str, product: str, score: str, core, most: int = 2) -> DataFrame:
+    """(day, product, by_tie): the product with the best score of a day; of equal ones the core product, though not by a tie on more than `most` days in a row, and then the least of the others.
+
+    Whether a tie may go to the core depends on how the ties of the days before went, so days are folded in order: one row for each day, whatever the tasks behind it.
+    A day on which the core does not lead by a tie ends the run.
+    """
+    best = scores.groupBy(day).agg(F.max(F.struct(F.col(score).alias("s"))).alias("m"), F.collect_list(F.struct(F.col(score).alias("s"), F.col(product).alias("p"))).alias("all"))
+    top = F.array_sort(F.transform(F.filter("all", lambda x: x["s"] == F.col("m.s")), lambda x: x["p"]))
+    days = best.select(F.col(day).alias("d"), top.alias("top")).where(F.size("top") > 0)
+    tied = lambda x: (F.size(x["top"]) > 1) & F.array_contains(x["top"], core)
+    ordered = days.agg(F.array_sort(F.collect_list(F.struct("d", "top"))).alias("days"))
+    kind = days.schema["top"].dataType.elementType.simpleString()
+    start = F.expr(f"named_struct('run', 0, 'out', cast(array() as array<struct<d: {days.schema['d'].dataType.simpleString()}, p: {kind}, t: boolean>>))")
+
+    def step(state: Column, x: Column) -> Column:
+        takes = tied(x) & (state["run"] < most)
+        other = F.get(F.filter(x["top"], lambda p: ~tied(x) | (p != core)), F.lit(0))
+        row = F.struct(x["d"].alias("d"), F.when(takes, F.lit(core).cast(kind)).otherwise(other).alias("p"), takes.alias("t"))
+        return F.struct(F.when(takes, state["run"] + 1).otherwise(0).alias("run"), F.concat(state["out"], F.array(row)).alias("out"))
+
+    return ordered.select(F.explode(F.aggregate("days", start, step)["out"]).alias("r")).select(F.col("r.d").alias(day), F.col("r.p").alias(product), F.col("r.t").alias("by_tie"))

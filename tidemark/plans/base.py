@@ -30,8 +30,9 @@ class Registry:
             self.queries[f.__name__] = f
             if sql is not None:
                 body, heads = sql.strip(), [CTE[name] for name in uses.split()]
-                if body.startswith("WITH ") and heads:
-                    body = "WITH " + ",\n".join(heads) + ",\n" + body[5:]
+                start = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.startswith(w)), "")
+                if start and heads:
+                    body = start + ",\n".join(heads) + ",\n" + body.removeprefix(start)
                 elif heads:
                     body = "WITH " + ",\n".join(heads) + "\n" + body
                 self.oracles[f.__name__] = body

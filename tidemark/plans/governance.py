@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.registry import Event, Field
 from tidemark.operators import alerts as A
-from tidemark.operators import ingest, sets
+from tidemark.operators import ingest, leaks, orders, sets
 from tidemark.plans import metrics
 from tidemark.plans.base import Registry
 from tidemark.sources import connectors
@@ -344,3 +344,32 @@ def registry_backfill(spark, sf):
     """What the one-off registry holds and the webhook missed."""
     registry = T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"))
     return connectors.backfill(registry, registry.where("order_id % 7 <> 3"))
+
+
+_PASSAGES = """
+WITH o AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+n AS (SELECT list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+op AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM o WHERE len(w) >= 8)),
+np AS (SELECT DISTINCT array_to_string(w[i:i + 7], ' ') AS p FROM (SELECT w, unnest(range(1, len(w) - 6)) AS i FROM n WHERE len(w) >= 8)),
+hits AS (SELECT item_id, count(*) AS leaked, min(p) AS example FROM op SEMI JOIN np USING (p) GROUP BY 1)
+"""
+
+
+@R.query(_PASSAGES + "SELECT o.item_id, coalesce(leaked, 0) AS leaked, example FROM o LEFT JOIN hits ON o.item_id = hits.item_id")
+def leak_guard(spark, sf):
+    """Outgoing texts (benchmark items) that hold a passage of eight words of a note (a document), and how many such passages."""
+    notes, out = T.read(spark, sf, "documents").select("text"), T.read(spark, sf, "benchmark").select("item_id", "text")
+    return leaks.leaks(notes, out, "text", "item_id", "text").select("item_id", "leaked", "example")
+
+
+@R.query("""
+WITH RECURSIVE s AS (SELECT day, product, count(*) // 8 AS score FROM ev WHERE event = 'purchase' GROUP BY 1, 2), t AS (SELECT day, product FROM s QUALIFY score = max(score) OVER (PARTITION BY day)),
+d AS (SELECT day, row_number() OVER (ORDER BY day) AS i, count(*) > 1 AND bool_or(product = 0) AS tied, min(product) AS first, min(product) FILTER (WHERE product <> 0) AS other FROM t GROUP BY day),
+r AS (SELECT i, day, tied, CASE WHEN tied THEN 0 ELSE first END AS product, tied::INT AS run FROM d WHERE i = 1
+  UNION ALL SELECT d.i, d.day, d.tied, CASE WHEN NOT d.tied THEN d.first WHEN r.run < 2 THEN 0 ELSE d.other END, CASE WHEN d.tied AND r.run < 2 THEN r.run + 1 ELSE 0 END FROM r JOIN d ON d.i = r.i + 1)
+SELECT day, CAST(product AS INT) AS product, run > 0 AS by_tie FROM r
+""", uses="ev")
+def day_winner(spark, sf):
+    """Whose task leads each day's plan: the best score (eights of held sessions), and of equal ones the core product (0), though not by a tie on more than two days in a row."""
+    scores = T.actions(spark, sf).groupBy("day", "product").agg(F.expr("count(1) div 8").alias("score"))
+    return sets.daily_lead(scores, "day", "product", "score", core=0)
