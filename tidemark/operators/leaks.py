@@ -19,18 +19,17 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _grams(words_: Column, n: int, of) -> Column:
-    """of(n words) at every place; none in shorter texts."""
+def _grams(column: str, n: int, of) -> Column:
+    """of(n elements) at every place of an array; none in shorter ones. A column and no expression: a lambda would work that out anew at each place."""
     none = F.sequence(F.lit(1), F.lit(1))
-    at = F.when(F.size(words_) >= n, F.sequence(F.lit(1), F.size(words_) - n + 1)).otherwise(F.slice(none, F.lit(1), F.lit(0)))
-    return F.transform(at, lambda i: of(F.slice(words_, i, F.lit(n))))
+    at = F.when(F.size(column) >= n, F.sequence(F.lit(1), F.size(column) - n + 1)).otherwise(F.slice(none, F.lit(1), F.lit(0)))
+    return F.transform(at, lambda i: of(F.slice(F.col(column), i, F.lit(n))))
 
 
-def fingerprints(words_: Column, k: int = K, passage: int = PASSAGE) -> Column:
-    """The least hash of every `passage - k + 1` in a row, each once; none in texts shorter than a passage."""
-    window = passage - k + 1
-    hashes = _grams(words_, k, lambda g: F.xxhash64(F.array_join(g, " ")))
-    return F.array_distinct(_grams(hashes, window, F.array_min))
+def fingerprints(rows: DataFrame, words_: str, alias: str, k: int = K, passage: int = PASSAGE) -> DataFrame:
+    """rows plus the least hash of every `passage - k + 1` in a row, each once; none in texts shorter than a passage."""
+    hashed = rows.withColumn("_h", _grams(words_, k, lambda g: F.xxhash64(F.array_join(g, " "))))
+    return hashed.withColumn(alias, F.array_distinct(_grams("_h", passage - k + 1, F.array_min))).drop("_h")
 
 
 def leaks(notes: DataFrame, outgoing: DataFrame, note: str, key: str, field: str, passage: int = PASSAGE, k: int = K) -> DataFrame:
@@ -40,16 +39,17 @@ def leaks(notes: DataFrame, outgoing: DataFrame, note: str, key: str, field: str
     """
     own = notes.select(words(F.col(note)).alias("_w")).where(F.size("_w") >= passage)
     out = outgoing.select(F.col(key).alias("_key"), words(F.col(field)).alias("_w")).where(F.size("_w") >= passage)
-    prints = lambda df: df.withColumn("_f", F.explode(fingerprints(F.col("_w"), k, passage)))
-    mine = prints(own).select("_f").distinct()
-    hits = prints(out).select("_key", "_f").join(mine, "_f", "left_semi")
-    # Texts with a hit only, and of them all passages: equal hashes are no proof.
-    suspects = out.join(hits.select(F.col("_key").alias("_hit")).distinct(), F.col("_key") == F.col("_hit"), "left_semi")
-    known = hits.select("_f").distinct()
+    # Outer, as before an inner explode the optimiser puts a filter on the array's size and pushes all that makes it up into the lambdas.
+    unfolded = lambda df, array, name: df.withColumn(name, F.explode_outer(array)).where(F.col(name).isNotNull())
+    prints = lambda df: unfolded(fingerprints(df, "_w", "_fs", k, passage), F.col("_fs"), "_f")
+    asked = prints(out).select("_key", "_f")
     named = own.withColumn("_note", F.sha2(F.array_join("_w", " "), 256))
-    touched = prints(named).select("_note", "_f").join(known, "_f", "left_semi").select(F.col("_note").alias("_hit")).distinct()
-    touched = named.join(touched, F.col("_note") == F.col("_hit"), "left_semi").select("_w")
-    said = lambda df: df.withColumn("_p", F.explode(F.array_distinct(_grams(F.col("_w"), passage, lambda g: F.array_join(g, " ")))))
+    hits = prints(named).select("_note", "_f").join(asked.select("_f").distinct(), "_f", "left_semi")
+    # Texts with a hit only, and of them all passages: equal hashes are no proof.
+    suspects = asked.join(hits.select("_f").distinct(), "_f", "left_semi").select(F.col("_key").alias("_hit")).distinct()
+    suspects = out.join(suspects, F.col("_key") == F.col("_hit"), "left_semi")
+    touched = named.join(hits.select(F.col("_note").alias("_hit")).distinct(), F.col("_note") == F.col("_hit"), "left_semi").select("_w")
+    said = lambda df: unfolded(df, F.array_distinct(_grams("_w", passage, lambda g: F.array_join(g, " "))), "_p")
     shared = said(suspects).select("_key", "_p").join(said(touched).select("_p").distinct(), "_p", "left_semi")
     counted = shared.groupBy("_key").agg(F.count(F.lit(1)).alias("leaked"), F.min("_p").alias("example"))
     return outgoing.join(counted, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("leaked", F.coalesce("leaked", F.lit(0)).cast("long"))

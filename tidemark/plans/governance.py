@@ -358,7 +358,7 @@ hits AS (SELECT item_id, count(*) AS leaked, min(p) AS example FROM op SEMI JOIN
 @R.query(_PASSAGES + "SELECT o.item_id, coalesce(leaked, 0) AS leaked, example FROM o LEFT JOIN hits ON o.item_id = hits.item_id")
 def leak_guard(spark, sf):
     """Outgoing texts (benchmark items) that hold a passage of eight words of a note (a document), and how many such passages."""
-    notes, out = T.read(spark, sf, "documents").select("text"), T.read(spark, sf, "benchmark").select("item_id", "text")
+    notes, out = T.spread(T.read(spark, sf, "documents").select("text")), T.read(spark, sf, "benchmark").select("item_id", "text")
     return leaks.leaks(notes, out, "text", "item_id", "text").select("item_id", "leaked", "example")
 
 
