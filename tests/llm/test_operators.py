@@ -815,16 +815,25 @@ def test_mix_edges(spark):
     assert sum(r["taken"] for r in same.collect()) in (18, 21)
 
 
-def test_rows_without_id_are_spread_over_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("doc_id", [None, 5])
+def test_rows_of_one_or_no_id_are_spread_over_buckets(spark, monkeypatch, doc_id):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
     texts = [f"w{i} " * (1 + i % 7) for i in range(2000)]
-    placed = mixing.placed(docs(spark, texts, ids=[None] * 2000))
+    placed = mixing.placed(docs(spark, texts, ids=[doc_id] * 2000))
     sizes = [r["count"] for r in placed.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 2000 and max(sizes) < 1500
     words = sum(1 + i % 7 for i in range(2000))
     assert abs(sum(r["taken"] for r in placed.collect()) - 1.5 * words) <= 7
 
 
+def test_repeated_ids_leave_the_order_of_others_alone(spark):
+    texts = [f"w{i} " * (1 + i % 7) for i in range(300)]
+    alone = by_id(mixing.mix(docs(spark, texts)), "taken", "positions")
+    ids = [*range(300), 700, 700]
+    both = [r for r in mixing.mix(docs(spark, [*texts, None, ""], ids=ids)).collect()]
+    assert len(both) == 302 and {r["doc_id"]: (r["taken"], r["positions"]) for r in both if r["doc_id"] < 300} == alone
+
+
 def test_positions_follow_the_schedule(spark):
     """A source's demand up to t is the integral of its schedule."""
     for slope in (-0.5, 0.0, 0.3, 0.5):

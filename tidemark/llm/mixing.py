@@ -60,32 +60,56 @@ def due(demand: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, demand).otherwise(2 * demand / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * demand)))
 
 
+def _repeated(docs: DataFrame) -> DataFrame | None:
+    """(_word, _bits): marks in 2^24 bits, 2^18 rows at most, for doc_ids that several rows share. None where no two rows share one."""
+    slot = F.pmod(F.xxhash64("_id"), F.lit(1 << 24))
+    twice = docs.select(F.col("doc_id").cast("string").alias("_id")).where("_id is not null").groupBy("_id").count().where("count > 1").select(slot.alias("_slot"))
+    bits, path = scratch.stored(twice.groupBy(F.floor(F.col("_slot") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(_slot % 64))")).alias("_bits")), "mix-repeats")
+    if bits.isEmpty():
+        scratch.drop(docs.sparkSession, path)
+        return None
+    return bits
+
+
+def _keyed(rows: DataFrame, repeated: DataFrame | None, key: str) -> DataFrame:
+    """rows plus what a source's documents stand in the order of: md5 of doc_id, and of doc_id and text where the id, or one with its mark, is repeated; without doc_id of the text."""
+    text, id_ = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("string")
+    own = F.coalesce(F.md5(id_), F.md5(text))  # a key for all rows without doc_id would be one bucket
+    if repeated is None:
+        return rows.withColumn(key, own)
+    slot = F.pmod(F.xxhash64(id_), F.lit(1 << 24))
+    told = rows.join(F.broadcast(repeated), F.floor(slot / 64) == F.col("_word"), "left")  # 2^18 rows at most
+    marked = F.coalesce(F.col("_bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))) != 0, F.lit(False))
+    return told.withColumn(key, F.when(marked, F.md5(F.concat(id_, F.lit(":"), text))).otherwise(own)).drop("_word", "_bits")
+
+
 def placed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, tie: str | None = None) -> DataFrame:
     """One row per document: its columns, size, source_size, target, taken and positions, in no order yet; and, if named, a column `tie` with a hash of what it is ordered by.
 
-    A source's documents stand in the order of md5(doc_id), those without doc_id in that of md5(text); their words fill [0, source_size), and
+    A source's documents stand in the order of md5(doc_id), those without doc_id in that of md5(text), and those whose doc_id is repeated in that of md5(doc_id:text), so that many of them are
+    many places; their words fill [0, source_size), and
     each further pass over the source follows on. A copy is taken while it begins before the target.
     The copy at offset x is due at the inverse demand of x / target. taken is size times the copies
     taken, so it is at most `most` times size, and a source's sum misses its target by less than a document.
 
     Edge cases: null text has size 0 and null source is a source of its own. Documents of size 0 are
-    taken while their offset lies before the target, adding nothing. Rows with equal doc_id stand together, by
-    size; rows that agree in both are interchangeable. Input columns that carry a result's name are replaced; all others, of whatever name, come along.
+    taken while their offset lies before the target, adding nothing. A document whose id shares its mark with a repeated one stands by its text as well. Rows that agree
+    in doc_id and text stand together and are interchangeable. Input columns that carry a result's name are replaced; all others, of whatever name, come along.
     """
     own = ("size", "source_size", "target", "taken", "positions")
     docs = docs.drop(*own)
     largest = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     buckets = max(1, -(-largest // BUCKET_ROWS))
-    key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))  # a key for all rows without doc_id would be one bucket
+    repeated = _repeated(docs)
     bucket = F.floor(F.conv(F.substring(F.concat(F.col("_md5"), F.lit("0000000")), 1, 7), 16, 10).cast("long") * buckets / 268435456).cast("int")
 
     # Sums by source and bucket, made before the shuffle and written once: sources and the offsets of buckets both follow from them.
-    sized = docs.select("source", key.alias("_md5"), words(F.col("text").cast("string")).alias("size")).withColumn("_bucket", bucket)
+    sized = _keyed(docs.select("source", "doc_id", "text"), repeated, "_md5").select("source", "_md5", words(F.col("text").cast("string")).alias("size")).withColumn("_bucket", bucket)
     summed, _ = scratch.stored(sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum")), "mix-sums")
     sizes = summed.groupBy("source").agg(F.sum("_sum").alias("source_size"))
     plan = targets(sizes, weights, share, most).withColumn("slope", schedule(F.col("rank"), F.count(F.lit(1)).over(W.partitionBy())))
-    kept = docs.select(*[F.col(quoted(c)).alias(f"_in_{c}") for c in docs.columns], "source", "doc_id", words(F.col("text").cast("string")).alias("size"), key.alias("_md5"))
-    kept = kept.withColumn("_bucket", bucket)
+    kept = _keyed(docs.select(*[F.col(quoted(c)).alias(f"_in_{c}") for c in docs.columns], "source", "doc_id", "text"), repeated, "_md5")
+    kept = kept.withColumns({"size": words(F.col("text").cast("string")), "_bucket": bucket}).drop("text")
     heads = summed.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("_sum").over(W.partitionBy("source").orderBy("_bucket")) - F.col("_sum")).alias("_head"))
     rows = kept.join(heads, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     within = W.partitionBy("source", "_bucket").orderBy("_md5", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, 0)
