@@ -52,8 +52,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, 0 to 2 times, in training order.
 
-    A null source is a source of its own; null and empty texts have size 0 and are taken where their place is. Rows without doc_id stand by their text; rows that
-    share one stand together, by size.
+    A null source is a source of its own; null and empty texts have size 0 and are taken where their place is. Rows without doc_id stand by their text, rows that
+    share one by it and their text.
     """
     return training_order(docs).select(*COLUMNS)
 
