@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.registry import ANY, Event, Field
+from tidemark.operators import intervals
 
 #: Order of the tests: an event gets the first reason that holds.
 REASONS = ("no_id", "no_ts", "unknown_event", "foreign_product", "extra_field", "missing_field", "bad_type")
@@ -60,15 +61,15 @@ def consented(rows: DataFrame, consent: DataFrame) -> DataFrame:
     """Events that consent lets through. consent: (kind account|device, id, granted, ts).
 
     Without the account's consent an account's event is written without its device; a device's event without the device's consent
-    is not written at all. The state that counts is the last one at the time of the event; the two are kept apart, also after linking.
+    is not written at all. The state that counts is the last one at the time of the event, of several at one time a grant; the two are kept apart, also after linking.
     """
-    def state(kind: str, key: str) -> DataFrame:
-        own = consent.where(F.col("kind") == kind).select(F.col("id").alias(key), F.col("ts").alias("_at"), "granted")
-        marks = own.withColumn("_side", F.lit(0)).unionByName(rows.select(key, F.col("ts").alias("_at"), "event_id").where(F.col(key).isNotNull()).withColumn("_side", F.lit(1)), allowMissingColumns=True)
-        w = W.partitionBy(key).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
-        return marks.withColumn(f"_{kind}", F.last("granted", ignorenulls=True).over(w)).where("_side = 1").select("event_id", f"_{kind}")
+    def state(known: DataFrame, kind: str, key: str) -> DataFrame:
+        """known plus the last state of its account or device, looked up by stretches of time, so that a busy one is many tasks; rows without a key have none."""
+        own = consent.where(F.col("kind") == kind).select(F.col("id").alias(key), "ts", "granted", F.col("granted").cast("int").alias("_tie"))
+        told = intervals.last_before(known.where(F.col(key).isNotNull()), own, key, "granted", "_tie", alias=f"_{kind}", strict=False)
+        return told.unionByName(known.where(F.col(key).isNull()).withColumn(f"_{kind}", F.lit(None).cast("boolean")))
 
-    joined = rows.join(state("account", "account_id"), "event_id", "left").join(state("device", "device_id"), "event_id", "left")
+    joined = state(state(rows, "account", "account_id"), "device", "device_id")
     ok = F.coalesce("_device", F.lit(False))
     kept = joined.where(F.col("account_id").isNotNull() | ok)
     device = F.when(F.col("account_id").isNotNull() & ~F.coalesce("_account", F.lit(False)), F.lit(None)).otherwise(F.col("device_id"))

@@ -50,12 +50,12 @@ def next_after(left: DataFrame, right: DataFrame, key: str, ts: str = "ts", alia
     return out.withColumn(alias, F.coalesce("_near", "_carry")).drop("_side", "_chunk", "_near", "_key", "_c", "_carry")
 
 
-def last_before(left: DataFrame, right: DataFrame, key: str, value: str, tie: str, ts: str = "ts", alias: str = "last_value") -> DataFrame:
-    """left plus `value` of the last right row of the same key before it; of rows at one time that with the largest `tie`."""
+def last_before(left: DataFrame, right: DataFrame, key: str, value: str, tie: str, ts: str = "ts", alias: str = "last_value", strict: bool = True) -> DataFrame:
+    """left plus `value` of the last right row of the same key before it (or at the same time, if not strict); of rows at one time that with the largest `tie`."""
     row = F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"), F.col(value).alias("v")).alias("_r")
     left, right = left.withColumn("_chunk", chunk_of(F.col(ts))), right.select(key, ts, row).withColumn("_chunk", chunk_of(F.col(ts)))
     both = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    here = W.partitionBy(key, "_chunk").orderBy(micros(F.col(ts))).rangeBetween(W.unboundedPreceding, -1)
+    here = W.partitionBy(key, "_chunk").orderBy(micros(F.col(ts))).rangeBetween(W.unboundedPreceding, -1 if strict else 0)
     near = both.withColumn("_near", F.max("_r").over(here)).where("_side = 0").drop("_r")
     lasts = right.groupBy(key, "_chunk").agg(F.max("_r").alias("_known"))
     before = _carried(left, lasts, key, F.max, (W.unboundedPreceding, -1))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
 from tidemark.functions import text as X
+from tidemark.operators import sets
 
 # Commands that address the board, the product chief, and the bot itself.
 ADDRESSEES = {"борд": "БОРД", "board": "БОРД", "цпо": "CPO", "cpo": "CPO"}
@@ -44,10 +44,10 @@ def next_ids(accepted: DataFrame, existing: DataFrame, day: Column, order: str,
     used = existing.select(F.regexp_extract("order_id", rf"^{prefix}-(\d{{6}})-(\d+)$", 1).alias("_d"), F.regexp_extract("order_id", rf"^{prefix}-(\d{{6}})-(\d+)$", 2).alias("_n")).where("_d <> ''")
     top = used.groupBy("_d").agg(F.max(F.col("_n").cast("int")).alias("_top"))
     rows = accepted.withColumn("_day", calendar.compact(day))
-    rows = rows.join(top, F.col("_day") == F.col("_d"), "left")
-    n = F.coalesce("_top", F.lit(0)) + F.row_number().over(W.partitionBy("_day").orderBy(order))
+    rows = sets.numbered(rows, ["_day"], order, "_place").join(top, F.col("_day") == F.col("_d"), "left")
+    n = F.coalesce("_top", F.lit(0)) + F.col("_place")
     number = F.when(n < 100, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
-    return rows.withColumn("order_id", F.concat_ws("-", F.lit(prefix), "_day", number)).drop("_day", "_d", "_top")
+    return rows.withColumn("order_id", F.concat_ws("-", F.lit(prefix), "_day", number)).drop("_day", "_d", "_top", "_place")
 
 
 def open_orders(entries: DataFrame, n: int | None = None) -> DataFrame:

@@ -39,10 +39,28 @@ def merged(*parts: DataFrame, by: list[str]) -> DataFrame:
     return out.dropDuplicates(by)
 
 
+def numbered(rows: DataFrame, by: list[str], order: str, alias: str, blocks: int = 256) -> DataFrame:
+    """rows plus their number, from 1, within each group of `by`, in the order of a column of numbers or times.
+
+    A group is cut at quantiles of the order, so that one which holds all rows is numbered by many tasks: within a block, on top of the sizes of the blocks before it.
+    """
+    at = F.unix_micros(F.col(order).cast("timestamp")) if rows.schema[order].dataType.typeName().startswith("timestamp") else F.col(order)
+    cuts = rows.agg(F.percentile_approx(at.cast("double"), [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []  # a fixed number of numbers
+    below = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < at.cast("double"))) if cuts else F.lit(0)
+    rows = rows.withColumn("_cut", F.coalesce(below, F.lit(-1)))
+    sizes = rows.groupBy(*by, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    heads = sizes.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_cut").alias("_c"), (F.sum("_n").over(W.partitionBy(*by).orderBy("_cut")) - F.col("_n")).alias("_first"))
+    same = F.col("_cut") == F.col("_c")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    within = F.row_number().over(W.partitionBy(*by, "_cut").orderBy(order))
+    return rows.withColumn("_within", within).join(heads, same).withColumn(alias, F.col("_first") + F.col("_within")).drop("_cut", "_within", "_c", "_first", *[f"_by{i}" for i in range(len(by))])
+
+
 def scored(rows: DataFrame, jump: Column | None = None, blocks: int = 256) -> DataFrame:
     """rows plus score = impact * confidence / effort and place; what jumps the queue comes first whatever its score.
 
-    Items are numbered within their (jump, score) group. Where a group begins follows from the sizes of the groups before it in its block, a
+    Items (numbers) are numbered within their (jump, score) group, by many tasks where it is large. Where a group begins follows from the sizes of the groups before it in its block, a
     stretch of scores between two of their quantiles, and from the sizes of the blocks before; only the blocks are summed in one task.
     """
     score = F.round(F.try_divide(F.col("impact") * F.col("confidence"), F.col("effort").cast("double")), 6)
@@ -56,9 +74,8 @@ def scored(rows: DataFrame, jump: Column | None = None, blocks: int = 256) -> Da
     heads = sums.select("_block", (F.sum("_of").over(W.orderBy("_block")) - F.col("_of")).alias("_before"))
     within = W.partitionBy("_block").orderBy(F.col("_jump").desc(), F.col("score").desc_nulls_last())
     heads = groups.withColumn("_upto", F.sum("_n").over(within) - F.col("_n")).join(heads, "_block").select(F.col("_jump").alias("_j"), F.col("score").alias("_s"), (F.col("_before") + F.col("_upto")).alias("_head"))
-    joined = rows.join(heads, (F.col("_jump") == F.col("_j")) & F.col("score").eqNullSafe(F.col("_s")))
-    place = F.col("_head") + F.row_number().over(W.partitionBy("_jump", "score").orderBy("item"))
-    return joined.withColumn("place", place).drop("_jump", "_j", "_s", "_head")
+    joined = numbered(rows, ["_jump", "score"], "item", "_place").join(heads, (F.col("_jump") == F.col("_j")) & F.col("score").eqNullSafe(F.col("_s")))
+    return joined.withColumn("place", F.col("_head") + F.col("_place")).drop("_jump", "_j", "_s", "_head", "_place")
 
 
 def capacity_cut(ranked: DataFrame, capacity: float, block: int = 10_000) -> DataFrame:
