@@ -186,6 +186,24 @@ def backoff(attempt: Column, base: float = 1.5, cap: float = 30.0) -> Column:
 PERSONAL = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "[email]"), (r"https?://[^\s]+", "[link]"), (r"@[A-Za-z0-9_]{3,}", "[handle]"), (r"\+?[0-9][0-9() -]{7,}[0-9]", "[number]"))
 
 
+#: What a quotation must not name beyond that, as far as its form tells: dates of meetings, people by patronymic, initials or title, and postal addresses. A date comes before long numbers, which it may look like.
+DATE = (r"[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}", "[date]")
+NAMES = (
+    (r"(?:[А-ЯЁ][а-яё]+ )?[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]*(?:вич|вна|ична|ьич)(?: [А-ЯЁ][а-яё]+)?", "[name]"), (r"[А-ЯЁ][а-яё]+ [А-ЯЁ]\. ?[А-ЯЁ]\.", "[name]"), (r"(?:Mr|Mrs|Ms|Dr)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?", "[name]"),
+    (r"(?:ул|пр|просп|пер|наб)\. ?[А-ЯЁ][а-яё-]+(?:, ?(?:д\. ?)?[0-9]+)?(?:, ?кв\. ?[0-9]+)?", "[address]"), (r"[0-9]+ [A-Z][a-z]+ (?:Street|Avenue|Road|Lane)", "[address]"),
+)
+#: Sentences of a quotation.
+TWO_SENTENCES = r"^[^.!?…]*(?:[.!?…]+[^.!?…]*[.!?…]*)?"
+
+
+def quotable(c: Column) -> Column:
+    """The first two sentences of a text, without what could tell who or where someone is."""
+    c = F.regexp_extract(F.trim(c), TWO_SENTENCES, 0)
+    for pattern, mask in (*PERSONAL[:-1], DATE, PERSONAL[-1], *NAMES):
+        c = F.regexp_replace(c, pattern, mask)
+    return c
+
+
 def scrub(c: Column) -> Column:
     for pattern, mask in PERSONAL:
         c = F.regexp_replace(c, pattern, mask)

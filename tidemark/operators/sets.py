@@ -91,6 +91,11 @@ def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def newest(rows: DataFrame, by: str, name: str, alias: str) -> DataFrame:
+    """The last name of each group in the order of text: the newest version where names carry it."""
+    return rows.groupBy(by).agg(F.max(name).alias(alias))
+
+
 def kept(rows: DataFrame, kind: str, day: str, today: Column) -> DataFrame:
     """Rows within the time that their kind is kept; on a day-partitioned table the filter prunes partitions."""
     return rows.where(F.col(day) >= F.date_sub(today, KEEP_DAYS[kind]))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.registry import Event, Field
 from tidemark.operators import alerts as A
-from tidemark.operators import ingest, leaks, orders, sets
+from tidemark.operators import ingest, intervals, leaks, sets
 from tidemark.plans import metrics
 from tidemark.plans.base import Registry
 from tidemark.sources import connectors
@@ -262,15 +262,18 @@ def alerts_now(spark, sf):
 
 
 @R.query("""
-WITH b AS (SELECT avg((o_orderstatus = 'F')::INT) * 100 AS v FROM orders)
+WITH b AS (SELECT avg((o_orderstatus = 'F')::INT) * 100 AS v FROM orders), e AS (SELECT max(ts) AS now, max(ts) FILTER (WHERE event_type = 'signup') AS backup FROM events), h AS (SELECT (epoch_us(now) - epoch_us(backup)) / 3600000000.0 AS v FROM e)
 SELECT 'billing_success' AS metric, round(v, 6) AS value, CASE WHEN v < 85 THEN 'red' WHEN v < 92 THEN 'amber' ELSE 'green' END AS level FROM b
-UNION ALL SELECT 'backup_age_hours', 30.0, 'amber' UNION ALL SELECT 'disk_free', NULL, 'not_checked'
+UNION ALL SELECT 'backup_age_hours', round(v, 6), CASE WHEN v > 48 THEN 'red' WHEN v > 26 THEN 'amber' ELSE 'green' END FROM h
+UNION ALL SELECT 'disk_free', NULL, 'not_checked'
 """)
 def panel_levels(spark, sf):
-    """The panel's own scale: green only where a value was seen."""
+    """The panel's own scale: green only where a value was seen. Hours since the last sign-up stand for a backup's age; nothing stands for free disk."""
     b = T.read(spark, sf, "orders").agg(F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")) * 100, 6).alias("value")).select(F.lit("billing_success").alias("metric"), "value")
-    fixed = spark.createDataFrame([("backup_age_hours", 30.0), ("disk_free", None)], "metric string, value double")
-    return A.panel(b.unionByName(fixed))
+    e = T.read(spark, sf, "events").agg(F.max("ts").alias("now"), F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("backup"))
+    age = F.round((intervals.micros(F.col("now")) - intervals.micros(F.col("backup"))) / 3600000000.0, 6)
+    e = e.select(F.explode(F.array(F.struct(F.lit("backup_age_hours").alias("metric"), age.alias("value")), F.struct(F.lit("disk_free").alias("metric"), F.lit(None).cast("double").alias("value")))).alias("m")).select("m.*")
+    return A.panel(b.unionByName(e))
 
 
 _ITEMS = "WITH i AS (SELECT p_partkey AS item, p_size % 5 + 1 AS impact, p_size % 3 + 1 AS confidence, p_size % 8 + 1 AS effort, p_type LIKE '%PROMO%' AS p0 FROM part),\n s AS (SELECT *, round(impact * confidence / effort::DOUBLE, 6) AS score FROM i), r AS (SELECT *, row_number() OVER (ORDER BY p0 DESC, score DESC, item) AS place FROM s)\n"

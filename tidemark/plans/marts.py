@@ -116,13 +116,27 @@ def outgoing_fields(spark, sf):
 
 
 _AREAS = ", ".join(f"('{area}', {len(names)})" for area, names in EVENTS.items())
+_NAMES = ", ".join(f"('{area}', '{name}')" for area, names in EVENTS.items() for name in names)
 
 
-@R.query(f"SELECT area, CAST(n AS BIGINT) AS events FROM (VALUES {_AREAS}) t(area, n)")
+@R.query(f"""
+WITH n(area, event) AS (VALUES {_NAMES}), a(area, registered) AS (VALUES {_AREAS}), seen AS (SELECT area, count(*) AS rows FROM events JOIN n ON event = event_type GROUP BY 1)
+SELECT a.area, CAST(registered AS BIGINT) AS registered, coalesce(rows, 0) AS rows FROM a LEFT JOIN seen ON a.area = seen.area
+UNION ALL SELECT 'unregistered', count(DISTINCT event_type), count(*) FROM events WHERE event_type NOT IN (SELECT event FROM n)
+""")
 def event_registry(spark, sf):
-    """Registered events by area; `*` belongs to every product."""
-    rows = [(area, name) for area, names in EVENTS.items() for name in names]
-    return spark.createDataFrame(rows, "area string, event string").groupBy("area").agg(F.count(F.lit(1)).alias("events"))
+    """Registered names by area and the rows that the table has of them, and under `unregistered` the names and rows that no area knows. `*` belongs to every product."""
+    names = spark.createDataFrame([(area, name) for area, own in EVENTS.items() for name in own], "area string, name string")
+    rows = T.read(spark, sf, "events").groupBy(F.col("event_type").alias("event")).agg(F.count(F.lit(1)).alias("n"))  # a row for each kind of event
+    known = names.join(rows, F.col("event") == F.col("name"), "left").groupBy("area").agg(F.count(F.lit(1)).alias("registered"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    other = rows.join(names, F.col("event") == F.col("name"), "left_anti").agg(F.count(F.lit(1)).alias("registered"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).select(F.lit("unregistered").alias("area"), "registered", "rows")
+    return known.unionByName(other)
+
+
+@R.query("SELECT source, max(CAST(doc_id AS VARCHAR)) AS newest FROM documents GROUP BY 1")
+def newest_match(spark, sf):
+    """Of a source's documents the last by name, as text sorts: `9` comes after `10`."""
+    return sets.newest(T.read(spark, sf, "documents").select("source", F.col("doc_id").cast("string").alias("name")), "source", "name", "newest")
 
 
 @R.query("""

@@ -149,3 +149,18 @@ def outbox_rows(spark, sf):
     again = box.rows().where("status = 'sent'").join(s.select("session_id", "k"), "session_id").where("k % 10 = 1")
     box.settle(again.select("session_id", "kind", F.lit(True).alias("ok"), now.alias("at"), F.lit(None).cast("string").alias("error")), "results", 2)
     return box.rows().select("session_id", "kind", "status", "attempts", "send_count", "late", F.col("due_at").cast("timestamp_ntz").alias("due_at"))
+
+
+@R.query("""
+WITH t AS (SELECT *, event = 'signup' AS toggles, k >= 50 AS grants FROM ev),
+s AS (SELECT *, max(CASE WHEN toggles THEN {'t': ts, 'g': grants} END) OVER before AS last, min(CASE WHEN toggles THEN {'t': ts, 'g': grants} END) OVER after AS next FROM t
+  WINDOW before AS (PARTITION BY account_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (PARTITION BY account_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT event_id, CAST(account_id AS VARCHAR) AS device_id FROM s WHERE NOT toggles AND (coalesce(last.g, false) OR coalesce(next.g, false))
+""", uses="ev")
+def stream_consent_queue(spark, sf):
+    """Events that consent lets out: sign-ups grant it (k of 50 or more) or revoke it. What waits goes out with the next grant and is erased by a revocation."""
+    kind = F.when(F.col("event") != "signup", "event").when(F.col("k") >= 50, "grant").otherwise("revoke")
+    rows = _events(spark, sf).select(F.col("account_id").cast("string").alias("device_id"), kind.alias("kind"), F.col("event_id").cast("string").alias("event_id"), "ts")
+    with rocksdb(spark):
+        out = S.drained(limits.held_until_consent(rows), "consent")
+    return out.select(F.col("event_id").cast("long").alias("event_id"), "device_id")

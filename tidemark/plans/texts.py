@@ -314,3 +314,53 @@ def conversation_profile(spark, sf):
     """Lengths only; no text leaves."""
     c = T.read(spark, sf, "conversations")
     return c.groupBy("role").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.round(F.percentile(F.length("text"), 0.5), 4).alias("median_chars"), F.max("turn").cast("long").alias("longest"))
+
+
+@R.query("""
+WITH v AS (SELECT o_orderkey AS update_id, 'p' || o_orderkey % 4 AS command FROM orders)
+SELECT CASE WHEN command = 'p3' THEN 'unknown' ELSE 'accepted' END AS verdict, CASE WHEN command <> 'p3' THEN upper(command) END AS addressee, count(*) AS n FROM v GROUP BY 1, 2
+""")
+def product_orders(spark, sf):
+    """Orders to products, whose names the caller adds to the commands that are there."""
+    table = orders.ADDRESSEES | {f"p{i}": f"P{i}" for i in range(3)}
+    m = messages(spark, sf).withColumn("text", F.concat(F.lit("/p"), F.col("update_id") % 4, F.lit(" do it")))
+    return orders.verdicts(m, F.lit(True), table).groupBy("verdict", "addressee").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.query("""
+WITH s AS (SELECT o_orderkey, min(CAST(o_orderdate AS DATE)) OVER () AS day, CAST(o_orderdate AS DATE) AS d, o_orderpriority, o_orderstatus FROM orders),
+q AS (SELECT 0 AS new, o_orderkey AS k, 'O-' || o_orderkey || ' · title' AS header, regexp_extract(o_orderpriority, '^\\S+') AS addressee FROM s WHERE d = day AND o_orderstatus <> 'F'
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY o_orderkey), 'O-240101-' || lpad(CAST(row_number() OVER (ORDER BY o_orderkey) AS VARCHAR), 2, '0') || ' · pending ' || o_orderkey, 'CPO' FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 30))
+SELECT header, addressee FROM (SELECT *, row_number() OVER (ORDER BY new, k) AS i FROM q) WHERE i <= 15
+""")
+def pending_orders(spark, sf):
+    """The queue of one ledger, that of the first day: what it stores first, then what has just come (the thirty orders of the least keys) by number."""
+    o = T.read(spark, sf, "orders")
+    first = ledgers(spark, sf).join(F.broadcast(o.agg(F.min(F.col("o_orderdate").cast("date")).cast("string").alias("_d"))), F.col("doc_id") == F.col("_d"), "left_semi")  # one row
+    fresh = o.orderBy("o_orderkey").limit(30).select(F.col("o_orderkey").alias("update_id"), F.concat(F.lit("pending "), "o_orderkey").alias("body"), F.lit("CPO").alias("addressee"))
+    none = spark.createDataFrame([], "order_id string")
+    return orders.queue(markdown.ledger(first), orders.next_ids(fresh, none, F.to_date(F.lit("2024-01-01")), "update_id"))
+
+
+_QUOTE = (
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "[email]"), (r"https?://[^\s]+", "[link]"), (r"@[A-Za-z0-9_]{3,}", "[handle]"), (r"[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}", "[date]"), (r"\+?[0-9][0-9() -]{7,}[0-9]", "[number]"),
+    (r"(?:[А-ЯЁ][а-яё]+ )?[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]*(?:вич|вна|ична|ьич)(?: [А-ЯЁ][а-яё]+)?", "[name]"), (r"[А-ЯЁ][а-яё]+ [А-ЯЁ]\. ?[А-ЯЁ]\.", "[name]"), (r"(?:Mr|Mrs|Ms|Dr)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?", "[name]"),
+    (r"(?:ул|пр|просп|пер|наб)\. ?[А-ЯЁ][а-яё-]+(?:, ?(?:д\. ?)?[0-9]+)?(?:, ?кв\. ?[0-9]+)?", "[address]"), (r"[0-9]+ [A-Z][a-z]+ (?:Street|Avenue|Road|Lane)", "[address]"),
+)
+
+
+def _quoted_sql(text: str) -> str:
+    for pattern, mask in _QUOTE:
+        text = f"regexp_replace({text}, '{pattern}', '{mask}', 'g')"
+    return text
+
+
+@R.query(f"""
+WITH s AS (SELECT doc_id, {_quoted_sql("regexp_extract(trim(text), '^[^.!?…]*(?:[.!?…]+[^.!?…]*[.!?…]*)?')")} AS quote FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, md5(quote) AS quote_md5, CAST(len(regexp_extract_all(quote, '\\[(?:email|link|handle|date|number|name|address)\\]')) AS INT) AS masked, CAST(len(regexp_extract_all(quote, '[.!?…]+')) AS INT) AS stops FROM s
+""")
+def quote_hygiene(spark, sf):
+    """What of a text may be quoted: two sentences at most, without names, addresses, dates, contacts and long numbers."""
+    q = documents(spark, sf).where("text is not null").select("doc_id", X.quotable(F.col("text")).alias("quote"))
+    masks = F.regexp_extract_all("quote", F.lit(r"\[(?:email|link|handle|date|number|name|address)\]"), F.lit(0))
+    return q.select("doc_id", F.md5("quote").alias("quote_md5"), F.size(masks).alias("masked"), F.size(F.regexp_extract_all("quote", F.lit(r"[.!?…]+"), F.lit(0))).alias("stops"))
