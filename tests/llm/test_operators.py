@@ -31,6 +31,21 @@ def by_id(df, *cols):
 LONG = "word " * 300_000
 
 
+# ---- scratch --------------------------------------------------------------
+
+
+def test_a_run_sweeps_its_own_tables(spark):
+    _, kept = scratch.stored(spark.range(3), "kept")
+    with scratch.run(spark):
+        _, gone = scratch.stored(spark.range(3), "gone")
+        with scratch.run(spark):
+            _, inner = scratch.stored(spark.range(3), "inner")
+        assert scratch.exists(spark, gone) and not scratch.exists(spark, inner)
+        assert line_dedup.dedup_lines(docs(spark, ["x" * 50] * 6)).where("n_dropped > 0").count() == 5
+    assert scratch.exists(spark, kept) and not scratch.exists(spark, gone)
+    scratch.drop(spark, kept)
+
+
 # ---- line dedup -----------------------------------------------------------
 
 

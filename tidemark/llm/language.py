@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -113,17 +112,20 @@ class Model:
 
 
 def fit(docs: DataFrame, max_langs: int = 256) -> Model:
-    """Learn from every row that has a language and text and whose crc32(doc_id) mod 4 is not 2. Only (languages x 65,536) counts reach the driver.
+    """Learn from every row that has a language and text and whose crc32(doc_id) mod 4 is not 2. Only (languages x 65,536) counts reach the driver, 270 MB at most.
 
     Classes are the max_langs most frequent languages, ties by name: a bound of the classifier, which keeps a lang column full of noise from filling a task.
     """
     rows = docs.where((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    got = count_trigrams(rows.where(F.col("lang").isin(known))).toPandas()
-    langs = sorted(got["lang"].unique())
+    known = sorted(known)
+    number = F.array_position(F.array(*map(F.lit, known)), F.col("lang")).cast("int") - 1 if known else F.lit(0)
+    got = count_trigrams(rows.where(F.col("lang").isin(known))).select(number.alias("lang"), F.col("slot").cast("int").alias("slot"), F.col("n").cast("long").alias("n")).toArrow()  # numbers, 16 bytes a count
+    own, place = np.unique(got.column("lang").to_numpy(), return_inverse=True)
+    langs = [known[i] for i in own]
     counts = np.zeros((len(langs), SLOTS))
-    counts[pd.Categorical(got["lang"], langs).codes, got["slot"].to_numpy(int)] = got["n"]
+    counts[place, got.column("slot").to_numpy()] = got.column("n").to_numpy()
     counts[:, 0] = 0
     share = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * SLOTS) if len(langs) else counts
     code = codewords(len(langs)) if langs else np.zeros((0, 0), np.int8)
@@ -154,7 +156,7 @@ def margins(model: Model, raws: list[bytes]) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """docs plus held_out, lang_pred, score and ambiguous, on whole texts.
+    """docs plus held_out, lang_pred, score and ambiguous, on whole texts. Without a model one is fitted to docs, of the 256 most frequent languages at most.
 
     Edge cases: a null text or one without a letter is `und` with score 0, and so is every row if no row has a
     language. Rows without doc_id are not learned from and not held out. Repeated rows are each answered; ties go to the first

@@ -5,10 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_run: ContextVar[str] = ContextVar("run", default="")
+
+
 def root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a session on one machine that names none, as in tests, gets a folder of its own; on a cluster no machine's own folder will do."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -22,7 +28,19 @@ def root(spark: SparkSession) -> str:
 
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh path under root(); nothing is created yet."""
-    return f"{root(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    return f"{root(spark)}/tidemark/{_run.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run(spark: SparkSession) -> Iterator[None]:
+    """All scratch tables made within are deleted at its end: write what a query gives before that. Runs may nest, and do not touch each other's tables."""
+    own = f"{_run.get()}run-{uuid.uuid4().hex}/"
+    before = _run.set(own)
+    try:
+        yield
+    finally:
+        _run.reset(before)
+        drop(spark, f"{root(spark)}/tidemark/{own}")
 
 
 def read(spark: SparkSession, like: DataFrame, path: str) -> DataFrame:
