@@ -135,7 +135,18 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: i
         group_of[own] = g
     held = [sum(cells[c][0] for c in own) for own in groups]
     q_blocks = np.array([max(1, -(-h // QUERY_BLOCK)) for h in held] or [1], np.int64)
-    v_blocks = max(1, -(-n // VECTOR_BLOCK))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many vectors each group may need."""
+        left = np.zeros(len(groups), np.int64)
+        for batch in batches:
+            cell, far = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            left += [((far >= low[g][cell]) & (far <= up[g][cell])).sum() for g in range(len(groups))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(groups)), pa.int32()), pa.array(left)], ["g", "n"])
+
+    # A group's queries go to as many blocks as its vectors fill, not to as many as the table would.
+    left = {r["g"]: r["n"] for r in data.select("cell", "far").mapInArrow(counted, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}  # a row for each group
+    v_blocks = np.array([max(1, -(-left.get(g, 0) // VECTOR_BLOCK)) for g in range(len(groups))] or [1], np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries to each vector block of their query block (kind 0), vectors to each query block of the groups that may need them (kind 1)."""
@@ -147,10 +158,10 @@ def top_inner_products(vectors: DataFrame, k: int = 5, every: int = 50, scale: i
                 wanted = np.flatnonzero(~ask & (far >= low[g][cell]) & (far <= up[g][cell]))
                 for b in range(int(q_blocks[g])):
                     here = mine[mixed[mine].astype(np.int64) % q_blocks[g] == b]
-                    for rows_, kind, slots in [(here, 0, range(v_blocks)), (wanted, 1, [None])]:
+                    for rows_, kind, slots in [(here, 0, range(int(v_blocks[g]))), (wanted, 1, [None])]:
                         for v in slots:
                             if len(rows_):
-                                slot = np.full(len(rows_), v) if v is not None else mixed[rows_].astype(np.int64) % v_blocks
+                                slot = np.full(len(rows_), v) if v is not None else mixed[rows_].astype(np.int64) % v_blocks[g]
                                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows_), g), pa.int32()), pa.array(np.full(len(rows_), b), pa.int32()), pa.array(slot, pa.int32()), pa.array(np.full(len(rows_), kind), pa.int32()), pa.array(vid[rows_]), batch.column(1).take(pa.array(rows_))], ["g", "b", "v", "kind", "vec_id", "vec"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
