@@ -45,18 +45,18 @@ def cohort_matrix(entries: DataFrame, actions: DataFrame, weeks: int) -> DataFra
 def ordered_funnel(events: DataFrame, steps: list[str]) -> DataFrame:
     """(step, name, accounts): accounts that did the steps in order, each after the one before.
 
-    A step's time is the account's first one after the step before it. Each step is a join on the account with one row on
-    its other side and a minimum that is pre-aggregated, so no account's events meet in one place.
+    A step's time is the account's first one after the step before it, and an account keeps the times of its steps in one row, so each step's events are read once. Each step is a join on
+    the account with one row on its other side and a minimum that is pre-aggregated, so no account's events meet in one place.
     """
-    reached = events.where(F.col("event") == steps[0]).groupBy("account_id").agg(F.min("ts").alias("at"))
-    counts = None
-    for i, name in enumerate(steps):
-        if i:
-            later = events.where(F.col("event") == name).select(F.col("account_id").alias("_a"), "ts")
-            reached = reached.join(later, (F.col("account_id") == F.col("_a")) & (F.col("ts") > F.col("at"))).groupBy("account_id").agg(F.min("ts").alias("at"))
-        row = reached.agg(F.count(F.lit(1)).alias("accounts")).select(F.lit(i + 1).alias("step"), F.lit(name).alias("name"), "accounts")
-        counts = row if counts is None else counts.unionByName(row)
-    return counts
+    times = ["_at0"]
+    reached = events.where(F.col("event") == steps[0]).groupBy("account_id").agg(F.min("ts").alias("_at0"))
+    for i, name in enumerate(steps[1:], 1):
+        later = events.where(F.col("event") == name).select(F.col("account_id").alias("_a"), "ts")
+        reached = reached.join(later, (F.col("account_id") == F.col("_a")) & (F.col("ts") > F.col(times[-1])), "left").groupBy("account_id", *times).agg(F.min("ts").alias(f"_at{i}"))
+        times.append(f"_at{i}")
+    counts = reached.agg(*[F.count(t).alias(t) for t in times])  # one row
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("step"), F.lit(name).alias("name"), F.col(t).alias("accounts")) for i, (name, t) in enumerate(zip(steps, times, strict=True))])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def first_per(rows: DataFrame, key: str, ts: str, alias: str) -> DataFrame:

@@ -63,13 +63,14 @@ def consented(rows: DataFrame, consent: DataFrame) -> DataFrame:
     Without the account's consent an account's event is written without its device; a device's event without the device's consent
     is not written at all. The state that counts is the last one at the time of the event, of several at one time a grant; the two are kept apart, also after linking.
     """
-    def state(known: DataFrame, kind: str, key: str) -> DataFrame:
-        """known plus the last state of its account or device, looked up by stretches of time, so that a busy one is many tasks; rows without a key have none."""
-        own = consent.where(F.col("kind") == kind).select(F.col("id").alias(key), "ts", "granted", F.col("granted").cast("int").alias("_tie"))
-        told = intervals.last_before(known.where(F.col(key).isNotNull()), own, key, "granted", "_tie", alias=f"_{kind}", strict=False)
-        return told.unionByName(known.where(F.col(key).isNull()).withColumn(f"_{kind}", F.lit(None).cast("boolean")))
-
-    joined = state(state(rows, "account", "account_id"), "device", "device_id")
+    who = F.concat_ws(":", "_kind", "_id")
+    of = lambda kind, id_: F.struct(F.lit(kind).alias("_kind"), F.col(id_).cast("string").alias("_id"))
+    asked = rows.select("event_id", "ts", F.explode(F.array(of("account", "account_id"), of("device", "device_id"))).alias("_w")).select("event_id", "ts", "_w.*").where(F.col("_id").isNotNull()).withColumn("_who", who)
+    known = consent.select(F.concat_ws(":", "kind", "id").alias("_who"), "ts", "granted", F.col("granted").cast("int").alias("_tie"))
+    # Looked up by stretches of time, so that a busy account or device is many tasks.
+    told = intervals.last_before(asked, known, "_who", "granted", "_tie", alias="_granted", strict=False)
+    told = told.groupBy("event_id").agg(*[F.bool_or(F.when(F.col("_kind") == kind, F.col("_granted"))).alias(f"_{kind}") for kind in ("account", "device")])
+    joined = rows.join(told, "event_id", "left")
     ok = F.coalesce("_device", F.lit(False))
     kept = joined.where(F.col("account_id").isNotNull() | ok)
     device = F.when(F.col("account_id").isNotNull() & ~F.coalesce("_account", F.lit(False)), F.lit(None)).otherwise(F.col("device_id"))
