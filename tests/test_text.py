@@ -247,3 +247,21 @@ def test_sources_and_sinks(spark, tmp_path):
 def test_lists_have_no_repeats():
     for words in (phrases.EMPTY, phrases.BANNED, phrases.NOMINAL, phrases.TOPICS):
         assert len(words) == len(set(words))
+
+
+def test_strip_takes_off_what_the_pattern_would(spark):
+    """Every character of the basic plane that is white space to Java, and no other."""
+    rows = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE").alias("c"))
+    rows = rows.select(F.concat(F.lit(" "), "c", F.lit("x y"), "c", F.lit("\n")).alias("s"))
+    assert rows.where(~X.strip(F.col("s")).eqNullSafe(F.regexp_replace("s", r"(?U)^\s+|\s+$", ""))).count() == 0
+
+
+def test_what_may_be_quoted(spark):
+    said = {
+        "Иван Петрович Сидоров пишет: пропала заметка. Вторая фраза! Третья.": "[name] пишет: пропала заметка. Вторая фраза!",
+        "Сидоров И. П. был 12.08.2026 на ул. Ленина, д. 5, кв. 7? Да": "[name] был [date] на [address]? Да",
+        "Dr. Jane Doe, 12 Baker Street, a@b.co, @handle, +7 999 123-45-67": "[name], [address], [email], [handle], [number]",
+        "no stop at all": "no stop at all", "": "",
+    }
+    got = spark.createDataFrame([(k,) for k in said], "t string").select("t", X.quotable(F.col("t")).alias("q")).collect()
+    assert {r["t"]: r["q"] for r in got} == said

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CAPTION, ORDER = 1024, 2000
-#: Unicode white space, as str.strip() takes it off, without the separators that only strip knows.
-_EDGE = r"(?U)^\s+|\s+$"
+#: Unicode white space, as str.strip() takes it off, without the separators that only strip knows: what (?U)\\s matches, as a list of characters, which is trimmed many times faster than a pattern.
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 # Words that make an order urgent.
 URGENT = r"(?iuU)^\s*(срочно|urgent|p0)\b"
 URGENT_HEAD = r"(?iuU)^\s*(срочно|urgent|p0)\b[\s,:—-]*"
@@ -25,7 +25,7 @@ def let(value: Column, use) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE, "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def newlines(c: Column) -> Column:
@@ -197,11 +197,11 @@ TWO_SENTENCES = r"^[^.!?…]*(?:[.!?…]+[^.!?…]*[.!?…]*)?"
 
 
 def quotable(c: Column) -> Column:
-    """The first two sentences of a text, without what could tell who or where someone is."""
-    c = F.regexp_extract(F.trim(c), TWO_SENTENCES, 0)
+    """The first two sentences of a text, without what could tell who or where someone is. That goes first, as the stops in initials, dates and addresses end no sentence."""
+    c = F.trim(c)
     for pattern, mask in (*PERSONAL[:-1], DATE, PERSONAL[-1], *NAMES):
         c = F.regexp_replace(c, pattern, mask)
-    return c
+    return F.regexp_extract(c, TWO_SENTENCES, 0)
 
 
 def scrub(c: Column) -> Column:

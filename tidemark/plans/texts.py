@@ -356,7 +356,7 @@ def _quoted_sql(text: str) -> str:
 
 
 @R.query(f"""
-WITH s AS (SELECT doc_id, {_quoted_sql("regexp_extract(trim(text), '^[^.!?…]*(?:[.!?…]+[^.!?…]*[.!?…]*)?')")} AS quote FROM documents WHERE text IS NOT NULL)
+WITH s AS (SELECT doc_id, regexp_extract({_quoted_sql("trim(text)")}, '^[^.!?…]*(?:[.!?…]+[^.!?…]*[.!?…]*)?') AS quote FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, md5(quote) AS quote_md5, CAST(len(regexp_extract_all(quote, '\\[(?:email|link|handle|date|number|name|address)\\]')) AS INT) AS masked, CAST(len(regexp_extract_all(quote, '[.!?…]+')) AS INT) AS stops FROM s
 """)
 def quote_hygiene(spark, sf):
