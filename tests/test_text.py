@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import phrases, splitting
 from tidemark.functions import text as X
 from tidemark.operators import lint, orders
-from tidemark.sources import connectors, markdown
+from tidemark.sources import connectors, exports, markdown
 
 
 def one(spark, fn, value):
@@ -265,3 +265,17 @@ def test_what_may_be_quoted(spark):
     }
     got = spark.createDataFrame([(k,) for k in said], "t string").select("t", X.quotable(F.col("t")).alias("q")).collect()
     assert {r["t"]: r["q"] for r in got} == said
+
+
+def test_exports_by_their_agreed_columns(spark, tmp_path):
+    root = str(tmp_path / "exports")
+    (tmp_path / "exports" / "billing" / "day=2024-01-01").mkdir(parents=True)
+    (tmp_path / "exports" / "billing" / "day=2024-01-02").mkdir()
+    (tmp_path / "exports" / "billing" / "day=2024-01-01" / "a.csv").write_text("date,account,plan,amount,status\n2023-12-31,a1,p,10.50,ok\n2023-12-31,a2,p,oops,ok\n2023-12-31,,p,1.00,ok\n")
+    (tmp_path / "exports" / "billing" / "day=2024-01-02" / "a.csv").write_text("date,account,plan,amount,status\n2023-12-31,a1,p,11.00,refunded\n")
+    rows = exports.read(spark, root, "billing")
+    assert [r["account"] for r in rows.where("_corrupt is not null").select("account", "_corrupt").collect()] == ["a2"] and exports.read(spark, root, "social") is None
+    assert [(r["account"], str(r["amount"]), r["status"]) for r in exports.latest(rows, "billing").collect()] == [("a1", "11.00", "refunded")]
+    state = {r["connector"]: (r["state"], r["n"], r["keyless"], r["corrupt"]) for r in exports.status(spark, root, F.to_date(F.lit("2024-01-03"))).collect()}
+    assert len(state) == 13 and state["billing"] == ("ok", 2, 1, 1) and state["social"] == ("not_connected", None, None, None)
+    assert len({e.name for e in exports.EXPORTS}) == 13

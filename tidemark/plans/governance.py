@@ -9,8 +9,9 @@ from tidemark.operators import alerts as A
 from tidemark.operators import ingest, intervals, leaks, sets
 from tidemark.plans import metrics
 from tidemark.plans.base import Registry
-from tidemark.sources import connectors
+from tidemark.sources import connectors, exports
 from tidemark.sources import tables as T
+from tidemark.streaming import ingest as S
 
 R = Registry()
 
@@ -376,3 +377,23 @@ def day_winner(spark, sf):
     """Whose task leads each day's plan: the best score (eights of held sessions), and of equal ones the core product (0), though not by a tie on more than two days in a row."""
     scores = T.actions(spark, sf).groupBy("day", "product").agg(F.expr("count(1) div 8").alias("score"))
     return sets.daily_lead(scores, "day", "product", "score", core=0)
+
+
+@R.query("""
+WITH b AS (SELECT max(CAST(o_orderdate AS DATE)) AS last, count(*) AS n FROM orders), a AS (SELECT count(*) AS n FROM (SELECT DISTINCT day, product FROM ev)), u AS (SELECT count(*) AS n FROM ev WHERE event = 'view')
+SELECT 'billing' AS connector, 'stale' AS state, DATE '2024-01-20' AS last_day, n, 0 AS keyless, 0 AS corrupt FROM b UNION ALL SELECT 'app_analytics', 'ok', DATE '2024-01-31', 2 * n, 0, n FROM a UNION ALL SELECT 'uptime', 'ok', DATE '2024-01-31', n, 0, 0 FROM u
+UNION ALL SELECT unnest(['web_analytics', 'store_first', 'store_second', 'store_third', 'support_mail', 'channels', 'payment_provider', 'helpdesk', 'social', 'mentions']), 'not_connected', NULL, NULL, NULL, NULL
+""", uses="ev")
+def connector_status(spark, sf):
+    """What is known of the thirteen connectors on a day, when three have delivered: orders as a billing export that is old, two exports of activity of which the second has broken lines, and views as measurements."""
+    root = S.folder(spark, "exports")
+    o = T.read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderkey").cast("string").alias("account"), F.lit("p").alias("plan"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("o_orderstatus").alias("status"))
+    o.write.option("header", True).csv(f"{root}/billing/day=2024-01-20")
+    ev = T.events(spark, sf)
+    act = ev.groupBy(F.col("day").alias("date"), F.col("product").cast("string").alias("product")).agg(F.count_distinct("account_id").alias("active"), F.count(F.lit(1)).alias("sessions"))
+    act.write.json(f"{root}/app_analytics/day=2024-01-30")
+    again = act.select(F.to_json(F.struct(*act.columns)).alias("value"))
+    again.unionByName(act.select(F.lit('{"date": broken').alias("value"))).write.text(f"{root}/app_analytics/day=2024-01-31")
+    view = T.of(ev, "view").select(F.col("ts").cast("timestamp").alias("ts"), F.col("product").cast("string").alias("target"), F.lit(True).alias("ok"), F.col("value").alias("p95"), F.lit(0).cast("long").alias("errors"))
+    view.write.parquet(f"{root}/uptime/day=2024-01-31")
+    return exports.status(spark, root, F.to_date(F.lit("2024-01-31")))
