@@ -59,3 +59,9 @@ def test_numbers_with_ties_and_nulls(spark):
     rows = spark.createDataFrame([("a", 1.5), ("a", None), ("a", 1.5), (None, 2.0), (None, 1.0), ("b", 9.0)], "g string, x double")
     got = sets.numbered(rows, ["g"], "x", "n", 4).collect()
     assert sorted(((r["g"] or "", r["x"] is not None, r["x"] or 0, r["n"]) for r in got)) == [("", True, 1.0, 1), ("", True, 2.0, 2), ("a", False, 0, 1), ("a", True, 1.5, 2), ("a", True, 1.5, 3), ("b", True, 9.0, 1)]
+
+
+def test_numbers_along_strings(spark):
+    rows = spark.createDataFrame([(x,) for x in ("b", "a", "", "abcdefgh2", "abcdefgh1", "é", "Z", "日本", "a")], "x string").withColumn("g", F.lit(1))
+    got = {r["n"]: r["x"] for r in sets.numbered(rows, ["g"], "x", "n", 5).collect()}
+    assert [got[i] for i in range(1, 10)] == sorted(("b", "a", "", "abcdefgh2", "abcdefgh1", "é", "Z", "日本", "a"))

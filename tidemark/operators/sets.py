@@ -40,11 +40,13 @@ def merged(*parts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: list[str], order: str, alias: str, blocks: int = 256) -> DataFrame:
-    """rows plus their number, from 1, within each group of `by`, in the order of a column of numbers or times.
+    """rows plus their number, from 1, within each group of `by`, in the order of a column of numbers, times or strings.
 
     A group is cut at quantiles of the order, so that one which holds all rows is numbered by many tasks: within a block, on top of the sizes of the blocks before it.
     """
-    at = F.unix_micros(F.col(order).cast("timestamp")) if rows.schema[order].dataType.typeName().startswith("timestamp") else F.col(order)
+    kind = rows.schema[order].dataType.typeName()
+    first_bytes = F.conv(F.substring(F.rpad(F.hex(F.col(order).cast("binary")), 12, "0"), 1, 12), 16, 10)  # strings stand in the order of their bytes
+    at = F.unix_micros(F.col(order).cast("timestamp")) if kind.startswith("timestamp") else first_bytes if kind == "string" else F.col(order)
     cuts = rows.agg(F.percentile_approx(at.cast("double"), [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []  # a fixed number of numbers
     below = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < at.cast("double"))) if cuts else F.lit(0)
     rows = rows.withColumn("_cut", F.coalesce(below, F.lit(-1)))
@@ -60,7 +62,7 @@ def numbered(rows: DataFrame, by: list[str], order: str, alias: str, blocks: int
 def scored(rows: DataFrame, jump: Column | None = None, blocks: int = 256) -> DataFrame:
     """rows plus score = impact * confidence / effort and place; what jumps the queue comes first whatever its score.
 
-    Items (numbers) are numbered within their (jump, score) group, by many tasks where it is large. Where a group begins follows from the sizes of the groups before it in its block, a
+    Items are numbered within their (jump, score) group, by many tasks where it is large. Where a group begins follows from the sizes of the groups before it in its block, a
     stretch of scores between two of their quantiles, and from the sizes of the blocks before; only the blocks are summed in one task.
     """
     score = F.round(F.try_divide(F.col("impact") * F.col("confidence"), F.col("effort").cast("double")), 6)
