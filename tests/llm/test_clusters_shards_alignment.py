@@ -299,3 +299,12 @@ def test_pair_counts_are_of_documents(spark):
     rows, _ = alignment.scratch.stored(alignment.tokenized(docs(spark, ["the the the", "the", "the cat"])), "t")
     got = alignment.pair_counts(rows).collect()
     assert max(r["n_docs"] for r in got) == 3 and all(r["best"] for r in got)
+
+
+def test_token_map_names_the_partners_in_most_documents(spark, pair):
+    texts = ["the cat", "the dog", "the the", None, "a cat"]
+    got = {}
+    for r in alignment.token_map(docs(spark, texts)).collect():
+        got.setdefault(pair.bytes_a[r["a"]], set()).add((pair.bytes_b[r["b"]], r["n_docs"]))
+    assert got[b" the"] == {(b" the", 3)} and got[b" cat"] == {(b" cat", 2)}
+    assert alignment.token_map(docs(spark, [None, ""])).count() == 0

@@ -256,6 +256,15 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     return counts.join(most, F.col("a") == F.col("_a")).select("a", "b", "n_docs", (F.col("n_docs") == F.col("_most")).alias("best"))
 
 
+def token_map(docs: DataFrame, **how) -> DataFrame:
+    """(a, b, n_docs): for each id of A that is linked at all, the ids of B linked with it in most documents, ties included: a way from one vocabulary to the other.
+
+    Edge cases: texts without tokens say nothing; no links give an empty table.
+    """
+    rows, _ = scratch.stored(tokenized(docs, **how), "aligned")
+    return pair_counts(rows).where("best").drop("best")
+
+
 def _judged(key: tuple, docs: pa.Table, pairs: pa.Table) -> pa.Table:
     """A block's documents with the sums of their links' counts. pairs: place, n_docs and best of the whole dictionary."""
     count, best = np.zeros(pairs.num_rows, np.int64), np.zeros(pairs.num_rows, bool)
