@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import daily, sketches
+from tidemark.operators import daily, sketches, tallies
 from tidemark.sources.snapshots import SnapshotTable
 
 
@@ -56,6 +56,8 @@ MARTS = (
     Mart("cohorts", daily.COHORTS, "day", {"entries": (0, 0), "events": (14, 0)}, lambda s, _: daily.entry_cohorts(s["entries"], s["events"])),
     Mart("actives", sketches.ACTIVES, "day", {"events": (0, 0)}, lambda s, _: sketches.actives(s["events"])),
     Mart("latencies", sketches.LATENCIES, "day", {"events": (0, 0)}, lambda s, _: sketches.latencies(s["events"])),
+    Mart("accounts", tallies.ACCOUNTS, "day", {"events": (0, 0)}, lambda s, _: tallies.accounts(s["events"])),
+    Mart("values", tallies.VALUES, "day", {"events": (0, 0)}, lambda s, _: tallies.values(s["events"])),
     Mart("revenue", daily.REVENUE, "month", {"first_charges": (0, 0), "charges": (2, 0)}, lambda s, wanted: daily.revenue(s["charges"], s["first_charges"], wanted)),
     Mart("months", daily.MONTHS, "month", {"charges": (0, 0)}, lambda s, _: daily.months(s["charges"], s["segments"])),
     Mart("returned", daily.RETURNED, "month", {"returns": (0, 0)}, lambda s, _: daily.returned(s["returns"])),
