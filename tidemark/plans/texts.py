@@ -228,7 +228,7 @@ SELECT 'error' AS level, 'emoji' AS rule, count(*) AS n, count(*) AS docs FROM o
 UNION ALL SELECT 'error', 'no_evidence', count(*), count(*) FROM o WHERE weak UNION ALL SELECT 'error', 'no_decisions', count(*), count(*) FROM o WHERE weak UNION ALL SELECT 'note', 'no_date', count(*), count(*) FROM o WHERE NOT dated
 """)
 def lint_summary(spark, sf):
-    return lint.summary(lint.lint(decks(spark, sf)))
+    return lint.summary(lint.lint(decks(spark, sf)), T.tasks(T.read(spark, sf, "orders")))
 
 
 _GOOD, _LAST = "# Revenue grew by 5 percent\n", "---\n# Decide on the price now please\n@human choose"

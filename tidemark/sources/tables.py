@@ -18,10 +18,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows in as many partitions as there are cores, where a small file has fewer: for work that takes long a row and shuffles nothing."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+#: Rows of a task that reads texts or counts what stood in them, so that neither its time nor what it holds grows with the table; many enough that starting it, some seconds for the rules, weighs little.
+A_TASK = 100_000
+
+
+def tasks(rows: DataFrame, most: int = A_TASK) -> int:
+    """How many tasks of at most about `most` rows there are in rows, and one for each core at least. Parquet knows its number of rows without a scan."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+
+
+def spread(rows: DataFrame, most: int = A_TASK) -> DataFrame:
+    """rows in partitions of about `most` rows, as a file of few bytes may have many: for work that takes long a row and shuffles nothing."""
+    parts = tasks(rows, most)
+    return rows if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts)
 
 
 RAW_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
