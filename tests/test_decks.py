@@ -1,11 +1,12 @@
 """Deck queries over a table whose file is small for its number of rows."""
 
 import pytest
-from conftest import SF
+from conftest import SF, held_against
 from pyspark.sql import functions as F
 
-from tidemark.plans import QUERIES, texts
+from tidemark.plans import ORACLES, QUERIES, texts
 from tidemark.sources import tables as T
+from tidemark.sources.markdown import blocks
 
 N = 450_000
 
@@ -32,7 +33,7 @@ def test_where_few_rows_are_a_task_all_cores_have_some(spark):
     assert T.spread(spark.range(0, 95, 1, 1), 10).rdd.getNumPartitions() == 10 and largest(T.spread(spark.range(0, 95, 1, 1), 10)) <= 11
 
 
-@pytest.mark.parametrize("name", ["lint_summary"])
+@pytest.mark.parametrize("name", ["lint_summary", "deck_blocks"])
 def test_documents_are_counted_in_tasks_of_few(spark, many, name):
     """Cut by document into as many tasks as the table asks for; nothing is aggregated by document before, and nothing cut again by it after."""
     plan = QUERIES[name](spark, many)._jdf.queryExecution().executedPlan().toString()
@@ -40,6 +41,14 @@ def test_documents_are_counted_in_tasks_of_few(spark, many, name):
     assert len(by_doc) == 1 and ", 5), REPARTITION_BY_NUM" in by_doc[0]
 
 
+def test_blocks_of_many_orders(spark, many):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{many}/orders.parquet/*.parquet')")
+    held_against(c, ORACLES["deck_blocks"], QUERIES["deck_blocks"](spark, many))
+
+
 def test_a_document_that_comes_again_counts_once(spark):
     """All decks under one id, in many tasks."""
     from tidemark.operators import lint
@@ -48,3 +57,4 @@ def test_a_document_that_comes_again_counts_once(spark):
     n = docs.count()
     got = {(r["level"], r["rule"]): (r["n"], r["docs"]) for r in lint.summary(lint.lint(docs), 3).collect()}
     assert got["error", "emoji"] == (n, 1) and {d for _, d in got.values()} == {1}
+    assert blocks(docs).select("doc_id").distinct().count() == 1

@@ -278,7 +278,8 @@ SELECT kind, CAST(count(*) AS BIGINT) AS items, count(DISTINCT k) AS docs FROM (
 """)
 def deck_blocks(spark, sf):
     """Items by kind of block."""
-    return markdown.blocks(decks(spark, sf)).groupBy("kind").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("doc_id").alias("docs"))
+    items = markdown.blocks(decks(spark, sf)).select("kind", "doc_id").repartition(T.tasks(T.read(spark, sf, "orders")), "doc_id")
+    return items.groupBy("kind").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("doc_id").alias("docs"))
 
 
 @R.query("SELECT o_orderkey AS doc_id, 'Board' AS title, CASE WHEN o_orderstatus = 'F' THEN '2026-01-01' ELSE '' END AS date FROM orders")
