@@ -58,3 +58,21 @@ def test_a_document_that_comes_again_counts_once(spark):
     got = {(r["level"], r["rule"]): (r["n"], r["docs"]) for r in lint.summary(lint.lint(docs), 3).collect()}
     assert got["error", "emoji"] == (n, 1) and {d for _, d in got.values()} == {1}
     assert blocks(docs).select("doc_id").distinct().count() == 1
+
+
+def test_emoji_are_looked_for_without_the_other_rules(spark, many):
+    """They are cut into as many tasks as the table asks for, and no other rule is judged to be dropped afterwards."""
+    plan = QUERIES["lint_emoji"](spark, many)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(5)" in plan and "emoji" in plan
+    assert not any(rule in plan for rule in ("no_title", "topic_title", "empty_phrase", "long_sentence", "no_evidence", "no_decisions"))
+
+
+@pytest.mark.parametrize("wanted", [lambda level, rule: rule == "emoji", lambda level, rule: level == "error", lambda level, rule: level == "note", lambda level, rule: rule == "no_decisions", lambda level, rule: False])
+def test_wanted_rules_find_what_they_find_among_all(spark, wanted):
+    """By decks that break each of the sixteen rules."""
+    from tidemark.operators import lint
+
+    docs = spark.createDataFrame(list(enumerate(texts.BROKEN)), "doc_id long, text string")
+    found = sorted(map(tuple, lint.lint(docs).collect()), key=repr)
+    assert len({f[3] for f in found}) == 16
+    assert sorted(map(tuple, lint.lint(docs, wanted).collect()), key=repr) == [f for f in found if wanted(f[1], f[3])]

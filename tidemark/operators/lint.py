@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tidemark.functions import text as X
 from tidemark.sources import markdown
 
 ERROR, NOTE = "error", "note"
+#: Of a level and a rule, whether it is asked for.
+Wanted = Callable[[str, str], bool]
 
 
 def contains_any(c: Column, words: tuple[str, ...]) -> Column:
@@ -51,12 +55,22 @@ def _finding(level: str, rule: str, quote: Column | None = None) -> Column:
 _NONE = "cast(array() as array<struct<level:string,rule:string,quote:string>>)"
 
 
-def _one(test: Column, level: str, rule: str, quote: Column | None = None) -> Column:
-    return F.when(test, F.array(_finding(level, rule, quote))).otherwise(F.expr(_NONE))
+def _one(test: Column, level: str, rule: str, quote: Column | None = None) -> tuple[str, str, Column]:
+    return level, rule, F.when(test, F.array(_finding(level, rule, quote))).otherwise(F.expr(_NONE))
+
+
+def _each(quotes: Column, level: str, rule: str) -> tuple[str, str, Column]:
+    return level, rule, F.transform(quotes, lambda q: _finding(level, rule, q))
+
 
+def _of(parts: list[tuple[str, str, Column]], wanted: Wanted | None) -> Column:
+    """One array of what the wanted rules find. A rule that is left out here costs nothing; a filter after the explode would pay for it in every slide."""
+    kept = [found for level, rule, found in parts if wanted is None or wanted(level, rule)]
+    return F.concat(*kept) if kept else F.expr(_NONE)
 
-def slide_findings() -> Column:
-    """All findings of a slide, of the columns that slides() makes, as one array."""
+
+def slide_findings(wanted: Wanted | None = None) -> Column:
+    """All wanted findings of a slide, of the columns that slides() makes, as one array."""
     title, low, n = F.col("title"), F.col("low"), F.col("title_words")
     bare = F.regexp_replace(F.lower(title), r"^[ .:—-]+|[ .:—-]+$", "")
     topic, short = bare.isin(*P.TOPICS), (n < P.TITLE_MIN) & ~X.has_digit(title)
@@ -78,29 +92,25 @@ def slide_findings() -> Column:
     parts.append(_each(F.transform(F.filter("sizes", lambda x: x > P.BULLETS), lambda x: x.cast("string")), NOTE, "many_bullets"))
     wordy = F.filter("items", lambda e: (e["kind"] == "bullets") & (X.word_count(e["text"]) > P.BULLET_WORDS))
     parts.append(_each(F.transform(wordy, lambda e: F.concat(F.substring(e["text"], 1, 90), F.lit("…"))), NOTE, "long_bullet"))
-    return F.concat(*parts)
-
+    return _of(parts, wanted)
 
-def _each(quotes: Column, level: str, rule: str) -> Column:
-    return F.transform(quotes, lambda q: _finding(level, rule, q))
 
-
-def lint(docs: DataFrame) -> DataFrame:
-    """(doc_id, level, slide, rule, quote) of decks (doc_id, text); slide is null for what concerns a whole deck."""
+def lint(docs: DataFrame, wanted: Wanted | None = None) -> DataFrame:
+    """(doc_id, level, slide, rule, quote) of decks (doc_id, text); slide is null for what concerns a whole deck. wanted says of a level and a rule whether to judge by it; all are, without it."""
     n = F.coalesce(F.size("slides"), F.lit(0))
     closing = lambda x: (x["kind"] == "human") | F.contains(F.lower(x["s"]), F.lit(P.CANCELLED))
     closed = F.exists(F.slice("slides", F.greatest(n - 1, F.lit(1)), F.lit(2)), lambda lines: F.exists(lines, closing))
-    whole = F.concat(
+    whole = [
         _one(n == 0, ERROR, "no_slides"),
         _one(n > P.SLIDES, NOTE, "many_slides", n.cast("string")),
         _one((n > 0) & (F.col("date") == ""), NOTE, "no_date"),
         _one((n > 0) & ~closed, ERROR, "no_decisions"),
-    )
-    rows = markdown.decks(docs).select("doc_id", whole.alias("whole"), F.posexplode_outer("slides").alias("pos", "lines"))
+    ]
+    rows = markdown.decks(docs).select("doc_id", _of(whole, wanted).alias("whole"), F.posexplode_outer("slides").alias("pos", "lines"))
     rows = slides(markdown.with_blocks(rows, "lines"))
     at = lambda slide: lambda f: F.struct(slide.cast("int").alias("slide"), f["level"].alias("level"), f["rule"].alias("rule"), f["quote"].alias("quote"))
     first = F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, F.col("whole")).otherwise(F.expr(_NONE))  # once a deck
-    own = F.when(F.col("pos").isNotNull(), slide_findings()).otherwise(F.expr(_NONE))
+    own = F.when(F.col("pos").isNotNull(), slide_findings(wanted)).otherwise(F.expr(_NONE))
     found = F.concat(F.transform(first, at(F.lit(None))), F.transform(own, at(F.col("pos") + 1)))
     return rows.select("doc_id", F.explode_outer(found).alias("f")).where("f is not null").select("doc_id", "f.level", "f.slide", "f.rule", "f.quote")
 

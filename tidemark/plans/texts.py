@@ -269,7 +269,7 @@ def lint_rules(spark, sf):
 
 @R.query("SELECT o_orderkey AS doc_id, 1 AS slide, '😀' AS quote FROM orders")
 def lint_emoji(spark, sf):
-    return lint.lint(decks(spark, sf)).where("rule = 'emoji'").select("doc_id", "slide", "quote")
+    return lint.lint(decks(spark, sf), lambda level, rule: rule == "emoji").select("doc_id", "slide", "quote")
 
 
 @R.query("""
