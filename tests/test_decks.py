@@ -67,6 +67,12 @@ def test_emoji_are_looked_for_without_the_other_rules(spark, many):
     assert not any(rule in plan for rule in ("no_title", "topic_title", "empty_phrase", "long_sentence", "no_evidence", "no_decisions"))
 
 
+def test_findings_are_ranked_in_tasks_of_few_decks(spark, many):
+    """Each task hands on its first five only, so what is left for the last one is five rows a task."""
+    plan = QUERIES["findings_top5"](spark, many)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(5)" in plan and "TakeOrderedAndProject(limit=5" in plan and "rangepartitioning" not in plan
+
+
 @pytest.mark.parametrize("wanted", [lambda level, rule: rule == "emoji", lambda level, rule: level == "error", lambda level, rule: level == "note", lambda level, rule: rule == "no_decisions", lambda level, rule: False])
 def test_wanted_rules_find_what_they_find_among_all(spark, wanted):
     """By decks that break each of the sixteen rules."""
